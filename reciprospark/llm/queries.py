@@ -4,15 +4,73 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import rules
+from . import binary, quality, rollups, rules, spm, toxicity, urls, warc
+from .storage import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(id_col: Column, n: int) -> Column:
+    """crc32 of the id as text, modulo ``n``."""
+    return F.crc32(id_col.cast("string").cast("binary")) % n
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "token-ids")
+    binary.write_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    n_bytes = F.octet_length("ids")
+    return binary.read_ids(spark, path).select("doc_id", "start", (n_bytes / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents enter; those labelled toxic are deleted; those labelled low quality are counted again without symbols;
+    the last two batches are committed once more, which changes nothing."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    tokenizer, store = public_tokenizers.path("byte_bpe_50k.json"), rollups.RollupStore(spark, shared_dir(spark, "rollups"))
+    store.commit("1-all", rollups.insertions(docs, {"byte_bpe_50k": tokenizer}))
+    toxic = labels.filter("toxic = 1").select("doc_id")
+    later = {
+        "2-toxic": docs.join(toxic, "doc_id", "left_semi").select(F.lit("delete").alias("op"), "doc_id", F.lit("byte_bpe_50k").alias("tokenizer"), "source", "lang", F.lit(0).alias("n_tokens")),
+        "3-cleaned": rollups.insertions(docs.join(labels.filter("quality = 0").select("doc_id"), "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", rules.SYMBOLS, "")), {"byte_bpe_50k": tokenizer}, op="revise"),
+    }
+    for batch_id in ("2-toxic", "3-cleaned", "2-toxic", "3-cleaned"):
+        store.commit(batch_id, later[batch_id])
+    return store.totals()
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _table(spark, sf_dir, "documents"), lambda i: _remainder(i, 3) == 1
+    vectors = quality.word_vectors(docs)
+    network = quality.fitted(docs, _table(spark, sf_dir, "labels"), vectors, trains=lambda i: ~held(i))
+    return quality.scores(docs, vectors, network).select("doc_id", held(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    return warc.payload_report(warc.captures(warc.read_records(spark, path)))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.digests(spm.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _table(spark, sf_dir, "documents"), lambda i: _remainder(i, 5) == 0
+    model = toxicity.fitted(docs, _table(spark, sf_dir, "labels"), trains=lambda i: ~held(i))
+    return toxicity.scores(docs, model).select("doc_id", held(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.quality_rules(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -44,6 +102,13 @@ FROM m
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filter": op2_url_filter,
+    "op3_token_binary": op3_token_binary,
+    "op4_token_rollups": op4_token_rollups,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op7_warc_transactions": op7_warc_transactions,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 
