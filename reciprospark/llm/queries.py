@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, quality, rollups, rules, spm, toxicity, urls, warc
+from . import binary, minhash, quality, rollups, rules, spm, toxicity, urls, warc
 from .storage import shared_dir
 
 
@@ -21,6 +21,10 @@ def _remainder(id_col: Column, n: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % n
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -102,6 +106,7 @@ FROM m
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_token_binary": op3_token_binary,
     "op4_token_rollups": op4_token_rollups,

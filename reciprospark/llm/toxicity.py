@@ -1,10 +1,11 @@
 """Toxicity: averaged subword embeddings under a linear softmax, trained jointly in numpy.
 
-A text is the bag of the byte n-grams (3 to 6 bytes, A-Z folded) of its words with their borders. Each n-gram has
-an embedding by hash; the text's mean embedding goes into a two-class softmax. Embeddings and softmax are
-fitted together by Adagrad on a bounded sample of labelled rows, so an unseen spelling scores through the
-n-grams it shares. The bias of the balanced sample is undone, then the decision point is set, on rows of the sample that the
-fit didn't see. For two classes the fitted model is one number per n-gram hash, which is all that scoring needs.
+A text is cut into passages of about ``PASSAGE`` words. A passage is the bag of the byte n-grams (3 to 6 bytes, A-Z
+folded) of its words with their borders. Each n-gram has an embedding by hash; the passage's mean embedding goes into a
+two-class softmax, and a text is as toxic as its worst passage. Embeddings and softmax are fitted together by Adagrad on a
+bounded sample of labelled rows, so an unseen spelling scores through the n-grams it shares. A logistic fit on rows of the
+sample held back, weighted to the labels' true shares, makes the scores probabilities. For two classes
+the fitted model is one number per n-gram hash, which is all that scoring needs.
 
 Defined cases: null and empty texts have no n-gram and score the model's prior; labels that are null or
 absent leave a row unlabelled; without both classes every text scores 0; repeated rows are scored each by
@@ -25,11 +26,19 @@ from . import bytewords as bw
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 17
 DIMENSIONS = 8
-EPOCHS = 8
-BATCH = 32
+#: Passes of the first and of the second fit.
+EPOCHS = (3, 8)
+BATCH = 64
+#: Words of a passage, and passages of one text that a fit takes at most.
+PASSAGE = 32
+FEW = 12
+#: A bag with fewer n-grams is filled up to so many by the zero vector.
+LEAST = 300
 RATE = 0.3
 #: At most so many labelled rows of each class are fitted on, the first in the order of a hash of the id.
 SAMPLE_PER_CLASS = 2000
+#: N-grams in fewer texts of the sample have no embedding: they would be learnt by heart.
+MIN_TEXTS = 8
 #: Part of the sample that sets the decision point.
 HELD_BACK = 4
 
@@ -63,55 +72,64 @@ def ngram_hashes(part: bw.Slice, sizes: tuple[int, ...] = SIZES) -> Iterator[tup
         yield ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 17)).astype(np.int64), ok
 
 
-def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text its n-gram buckets and their shares."""
+def passages(part: bw.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The passage of each byte, numbered through the slice; each text's first passage (one more number closes the
+    list); and which bytes count, those of a word's first occurrence in its passage.
+
+    A text has a passage for every PASSAGE words, at least one, of nearly equal length. White space goes with the next word.
+    """
+    first, ends, bounds = bw.word_spans(part)
+    words = np.diff(bounds)
+    n = np.maximum(1, words // PASSAGE)
+    firsts = np.concatenate([[0], np.cumsum(n)])
+    of_text = np.repeat(np.arange(len(words)), words)
+    of_word = firsts[of_text] + (np.arange(len(first)) - bounds[of_text]) * n[of_text] // words[of_text]
+    new = np.zeros(len(first), bool)
+    names = bw.span_hashes(bw.folded(part.data), first, ends)
+    order = np.lexsort((names, of_word))  # stable: the first occurrence comes first
+    new[order] = np.append(True, (np.diff(names[order]) != 0) | (np.diff(of_word[order]) > 0)) if len(first) else False
+    starts = np.zeros(len(part.data) + 1, np.int64)
+    starts[first] = 1
+    text = np.repeat(np.arange(len(words)), part.ends - part.starts)
+    word = np.clip(np.cumsum(starts)[1:] - 1, bounds[text], np.maximum(bounds[text + 1] - 1, bounds[text]))
+    if not len(first):
+        return firsts[text], firsts, np.zeros(len(text), bool)
+    word = np.minimum(word, len(first) - 1)
+    return np.where(words[text] > 0, of_word[word], firsts[text]), firsts, new[word]
+
+
+def bags(texts: list[str | None]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """Per text, for each passage its n-gram buckets and their weights in the mean."""
     out = []
     for part in bw.text_slices(pa.array(texts, pa.string()), limit=1):
-        found = np.concatenate([h[ok] for h, ok in ngram_hashes(part)] or [np.zeros(0, np.int64)])
-        ids, counts = np.unique(found, return_counts=True)
-        out.append((ids.astype(np.int32), (counts / max(1, len(found))).astype(np.float32)))
+        of, firsts, new = passages(part)
+        keys = np.concatenate([of[ok] * BUCKETS + h[ok] for h, found in ngram_hashes(part) for ok in [found & new]] or [np.zeros(0, np.int64)])
+        ids, counts = np.unique(keys, return_counts=True)
+        cuts = np.searchsorted(ids, np.arange(1, firsts[-1]) * BUCKETS)
+        out.append([((i % BUCKETS).astype(np.int32), (c / max(LEAST, c.sum())).astype(np.float32)) for i, c in zip(np.split(ids, cuts), np.split(counts, cuts))])
     return out
 
 
-def fit(texts: list[str | None], labels: np.ndarray, weight_of_1: float, weight_of_0: float, seed: int = 11) -> np.ndarray:
-    """The model as BUCKETS numbers and a bias: the log-odds of label 1 are the bag's mean number plus the bias.
-
-    ``weight_of_1`` and ``weight_of_0``: rows of the whole labelled table that one row of the sample stands for.
-    """
-    model = np.zeros(BUCKETS + 1, np.float32)
-    if not (labels == 1).any() or not (labels == 0).any():
-        model[-1] = -40.0
-        return model
-    rng = np.random.default_rng(seed)
-    held = np.arange(len(labels)) % HELD_BACK == 0
-    if len(set(labels[~held])) < 2 or len(set(labels[held])) < 2:
-        held[:] = False
-    own = bags(texts)
-    rows = np.flatnonzero(~held)
-    table = (rng.standard_normal((BUCKETS, DIMENSIONS)) * 0.1).astype(np.float32)
-    soft = (rng.standard_normal((DIMENSIONS, 2)) * 0.5).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    grown_t, grown_s, grown_b = np.full((BUCKETS, DIMENSIONS), 1e-6, np.float32), np.full((DIMENSIONS, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    share = np.array([0.5 / (labels[rows] == 0).mean(), 0.5 / (labels[rows] == 1).mean()], np.float32)
-    for _ in range(EPOCHS):
+def descend(own: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, table: np.ndarray, soft: np.ndarray, bias: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
+    """Adagrad on the weighted cross-entropy; changes ``table``, ``soft`` and ``bias`` in place."""
+    grown_t, grown_s, grown_b = (np.full(x.shape, 1e-10, np.float32) for x in (table, soft, bias))
+    rows = np.arange(len(own))
+    for _ in range(epochs):
         rng.shuffle(rows)
         for lo in range(0, len(rows), BATCH):
             pick = rows[lo : lo + BATCH]
-            sizes = np.array([len(own[i][0]) for i in pick])
             ids, w = np.concatenate([own[i][0] for i in pick]), np.concatenate([own[i][1] for i in pick])
-            doc = np.repeat(np.arange(len(pick)), sizes)
+            bag = np.repeat(np.arange(len(pick)), [len(own[i][0]) for i in pick])
             used, place = np.unique(ids, return_inverse=True)
             part = table[used]
-            mean = np.stack([np.bincount(doc, part[place, d] * w, len(pick)) for d in range(DIMENSIONS)], 1).astype(np.float32)
+            mean = np.stack([np.bincount(bag, part[place, d] * w, len(pick)) for d in range(DIMENSIONS)], 1).astype(np.float32)
             z = mean @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            y = labels[pick]
-            g = p
-            g[np.arange(len(pick)), y] -= 1
-            g *= share[y][:, None] / len(pick)
+            p[np.arange(len(pick)), y[pick]] -= 1
+            g = p * (weight[pick][:, None] / len(pick))
             back = g @ soft.T
-            grad = np.stack([np.bincount(place, back[doc, d] * w, len(used)) for d in range(DIMENSIONS)], 1).astype(np.float32)
+            grad = np.stack([np.bincount(place, back[bag, d] * w, len(used)) for d in range(DIMENSIONS)], 1).astype(np.float32)
             grown_t[used] += grad * grad
             table[used] = part - RATE * grad / np.sqrt(grown_t[used])
             gs, gb = mean.T @ g, g.sum(0)
@@ -119,11 +137,50 @@ def fit(texts: list[str | None], labels: np.ndarray, weight_of_1: float, weight_
             grown_b += gb * gb
             soft -= 0.1 * gs / np.sqrt(grown_s)
             bias -= 0.1 * gb / np.sqrt(grown_b)
-    model[:-1] = table @ (soft[:, 1] - soft[:, 0])
+
+
+def fit(texts: list[str | None], labels: np.ndarray, weight_of_1: float, weight_of_0: float, seed: int = 11) -> np.ndarray:
+    """The model as BUCKETS numbers and a bias: a passage's log-odds are its bag's mean number plus the bias, a text's its highest passage's.
+
+    First every passage carries its text's label; then a labelled text is learnt again from its highest
+    passages alone. ``weight_of_1`` and ``weight_of_0``: rows of the whole labelled table that one row of the sample stands for.
+    """
+    model = np.zeros(BUCKETS + 1, np.float32)
+    if not (labels == 1).any() or not (labels == 0).any():
+        model[-1] = -40.0
+        return model
+    rng = np.random.default_rng(seed)
+    held = np.arange(len(labels)) % HELD_BACK == 0
+    if len(set(labels[~held])) < 2 or len(set(labels[held])) < 2:
+        held[:] = False
+    own = bags(texts)
+    in_texts = np.zeros(BUCKETS, np.int64)
+    for i in np.flatnonzero(~held):
+        in_texts[np.unique(np.concatenate([ids for ids, _ in own[i]]))] += 1
+    common = in_texts >= min(MIN_TEXTS, 1 + (~held).sum() // 50)
+    own = [[(ids[common[ids]], w[common[ids]]) for ids, w in passages_] for passages_ in own]
+    table = (rng.standard_normal((BUCKETS, DIMENSIONS)) * 0.01).astype(np.float32)
+    soft = (rng.standard_normal((DIMENSIONS, 2)) * 0.5).astype(np.float32)
+    bias = np.zeros(2, np.float32)
+    numbers = lambda: np.where(common, table @ (soft[:, 1] - soft[:, 0]), 0).astype(np.float32)
+    for stage, epochs in enumerate(EPOCHS):
+        flat, y, now = [], [], numbers()
+        for i in np.flatnonzero(~held):
+            if labels[i] == 1 and stage:  # the passages that carry the label, as the model sees it
+                height = np.array([float(now[ids] @ w) for ids, w in own[i]])
+                pick = np.argsort(-height, kind="stable")[: max(1, min(len(height) // 3, FEW))]
+            else:
+                pick = rng.permutation(len(own[i]))[:FEW]
+            flat += [own[i][k] for k in pick]
+            y += [labels[i]] * len(pick)
+        y = np.array(y)
+        share = np.array([0.5 / (y == 0).mean(), 0.5 / (y == 1).mean()], np.float32)
+        descend(flat, y, share[y], table, soft, bias, epochs, rng)
+    model[:-1] = numbers()
     model[-1] = bias[1] - bias[0]
     if held.any():
-        ratio = np.array([float((model[:-1][own[i][0]] * own[i][1]).sum() + model[-1]) for i in np.flatnonzero(held)])
-        slope, shift = platt(ratio, labels[held], np.where(labels[held] == 1, weight_of_1, weight_of_0))
+        height = np.array([max(float(model[ids] @ w) for ids, w in own[i]) + model[-1] for i in np.flatnonzero(held)])
+        slope, shift = platt(height, labels[held], np.where(labels[held] == 1, weight_of_1, weight_of_0))
         model[:-1] *= slope
         model[-1] = model[-1] * slope + shift
     return model
@@ -175,15 +232,13 @@ def scores(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
         for batch in batches:
             ids, out = batch.column(0), np.empty(batch.num_rows)
             for part in bw.text_slices(batch.column(1)):
-                total, count = np.zeros(len(part.starts)), np.zeros(len(part.starts))
+                of, firsts, new = passages(part)
+                total, count = np.zeros(firsts[-1]), np.zeros(firsts[-1])
                 for h, ok in ngram_hashes(part):
-                    sums = np.zeros(len(ok) + 1)
-                    np.cumsum(np.where(ok, table[h], 0), dtype=np.float64, out=sums[1:])
-                    total += sums[part.ends] - sums[part.starts]
-                    n = np.zeros(len(ok) + 1, np.int64)
-                    np.cumsum(ok, out=n[1:])
-                    count += n[part.ends] - n[part.starts]
-                z = total / np.maximum(count, 1) + bias
+                    ok &= new
+                    total += np.bincount(of, np.where(ok, table[h], 0), firsts[-1])
+                    count += np.bincount(of, ok, firsts[-1])
+                z = np.maximum.reduceat(total / np.maximum(count, LEAST), firsts[:-1]) + bias
                 out[part.first : part.first + len(z)] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(out)], ["id", "score"])
 
