@@ -189,3 +189,18 @@ def _report(sketched: DataFrame, label: DataFrame, id_col: str) -> DataFrame:
     joined = sketched.select("id", "n_shingles").join(label.select(F.col("u").alias("id"), F.col("v").alias("least")), "id", "left")
     component = F.coalesce("least", "id")
     return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
+
+
+def drop_copies(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one of each group, with their own columns. Of rows that repeat an id one stays."""
+    found = stored(near_duplicates(docs, percent, id_col, text_col), "minhash-kept")
+    gone = stored(found.filter(~F.col("kept")).select(id_col).distinct(), "minhash-gone")
+    if gone.count() <= 2_000_000:  # 16 MB of ids; more are joined by a shuffle
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    repeated = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col)
+    if not repeated.take(1):
+        return kept
+    repeated = stored(repeated, "minhash-repeated")
+    once = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.join(repeated, id_col, "left_anti").unionByName(once.select(*docs.columns))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, minhash, quality, rollups, rules, spm, toxicity, urls, warc
+from . import binary, decontaminate, minhash, quality, rollups, rules, spm, toxicity, urls, warc
 from .storage import shared_dir
 
 
@@ -59,6 +59,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, vectors, network).select("doc_id", held(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_binary": op3_token_binary,
     "op4_token_rollups": op4_token_rollups,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_decontamination": op6_decontamination,
     "op7_warc_transactions": op7_warc_transactions,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,

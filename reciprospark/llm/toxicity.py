@@ -224,23 +224,40 @@ def fitted(docs: DataFrame, labels: DataFrame, trains, id_col: str = "doc_id", t
     return np.frombuffer(got[0]["model"], np.float32) if got else fit([], np.zeros(0, int), 1, 1)
 
 
+def judged(part: bw.Slice, model: np.ndarray) -> np.ndarray:
+    """The probability of label 1 of each text of the slice."""
+    of, firsts, new = passages(part)
+    total, count = np.zeros(firsts[-1]), np.zeros(firsts[-1])
+    for h, ok in ngram_hashes(part):
+        ok &= new
+        total += np.bincount(of, np.where(ok, model[h], 0), firsts[-1])
+        count += np.bincount(of, ok, firsts[-1])
+    z = np.maximum.reduceat(total / np.maximum(count, LEAST), firsts[:-1]) + model[-1]
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 def scores(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row, ``score`` the probability of label 1."""
 
     def run(batches):
-        table, bias = model[:-1], float(model[-1])
         for batch in batches:
-            ids, out = batch.column(0), np.empty(batch.num_rows)
-            for part in bw.text_slices(batch.column(1)):
-                of, firsts, new = passages(part)
-                total, count = np.zeros(firsts[-1]), np.zeros(firsts[-1])
-                for h, ok in ngram_hashes(part):
-                    ok &= new
-                    total += np.bincount(of, np.where(ok, table[h], 0), firsts[-1])
-                    count += np.bincount(of, ok, firsts[-1])
-                z = np.maximum.reduceat(total / np.maximum(count, LEAST), firsts[:-1]) + bias
-                out[part.first : part.first + len(z)] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out)], ["id", "score"])
+            found = [judged(part, model) for part in bw.text_slices(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: np.ndarray, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with their own columns; judged where they are read."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for part in bw.text_slices(batch.column(place)):
+                found = judged(part, model)
+                keep[part.first : part.first + len(found)] = found < threshold
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
