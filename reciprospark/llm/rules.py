@@ -133,5 +133,6 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, id_col:
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns. Needs no join: a row is judged where it is read."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("judged_text"))
-    kept = quality_rules(row, rules, "row", "judged_text").filter("kept")
-    return kept.select("row.*")
+    # the number keeps the optimiser from moving the filter below the projections, where it would repeat their work for each word
+    judged = quality_rules(row, rules, "row", "judged_text").withColumn("number", F.monotonically_increasing_id())
+    return judged.filter("kept AND number >= 0").select("row.*")
