@@ -12,7 +12,7 @@ import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -161,36 +161,36 @@ def pixel_to_hkl(geo: Geometry, x: Column, y: Column, z: Column) -> list[Column]
     return _times(np.linalg.inv(geo.ub), gvec(geo, x, y, z))
 
 
-def hkl_to_pixels(geo: Geometry, h: Column, k: Column, l: Column) -> Column:  # noqa: E741
-    """An array of (x, y, z): the up to two frames and pixels where a reflection meets the Ewald sphere, in closed form.
+def hkl_to_pixels(reflections: DataFrame, geo: Geometry) -> DataFrame:
+    """``reflections`` (h, k, l, ...) with x, y, z: the up to two frames and pixels where each meets the Ewald sphere, in closed form.
 
-    z is held in one turn: below 25 it moves up by a turn, above a turn and 25 down.
+    z is held in one turn: below 25 frames it moves up by a turn. Reflections that never meet the sphere have no row.
     """
-    v = _times(geo.ub, [h.cast("double"), k.cast("double"), l.cast("double")])
+    own = reflections.columns
     base, turn = geo.gonio(), abs(360.0 / geo.phi_step)
     g = base.T @ np.array([1.0 / geo.wavelength, 0.0, 0.0])
+    v = _times(geo.ub, [F.col(c).cast("double") for c in "hkl"])
+    rows = reflections.select(*own, *[c.alias(f"_v{i}") for i, c in enumerate(v)])
+    v = [F.col(f"_v{i}") for i in range(3)]
     a, b = float(g[0]) * v[0] + float(g[1]) * v[1], float(g[1]) * v[0] - float(g[0]) * v[1]
-    size = v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
-    c = -size / 2 - float(g[2]) * v[2]
-    reach = F.sqrt(a * a + b * b)
-    away, mid = F.acos(c / reach), F.atan2(b, a)
-
-    def point(phi: Column) -> Column:
-        turned = [F.cos(phi) * v[0] - F.sin(phi) * v[1], F.sin(phi) * v[0] + F.cos(phi) * v[1], v[2]]
-        k_out = _times(base, turned)
-        k_out = [k_out[0] + 1.0 / geo.wavelength, k_out[1], k_out[2]]
-        # the detector plane: points whose own third coordinate is 0
-        back = orientation_matrix(geo.orientation) @ np.linalg.inv(geo.detector)
-        normal = back[2]
-        scale = float(normal[0]) * geo.distance / _row(back, 2, k_out)
-        on = [scale * q for q in k_out]
-        flat = _times(back, [on[0] - geo.distance, on[1], on[2]])
-        z = (F.degrees(phi) - geo.phi) / geo.phi_step
-        z = F.pmod(z, F.lit(turn))
-        z = F.when(z < 25, z + turn).otherwise(z)
-        return F.struct((flat[0] / geo.pixel_size + geo.xc).alias("x"), (flat[1] / geo.pixel_size + geo.yc).alias("y"), z.alias("z"))
-
-    return F.when((reach > 0) & (F.abs(c) <= reach), F.array(point(mid + away), point(mid - away))).otherwise(F.array().cast("array<struct<x:double,y:double,z:double>>"))
+    c = -(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]) / 2 - float(g[2]) * v[2]
+    rows = rows.select(*own, *v, F.atan2(b, a).alias("_mid"), F.try_divide(c, F.sqrt(a * a + b * b)).alias("_c"))
+    rows = rows.select(*own, *v, F.explode(F.filter(F.transform(F.array(F.lit(1.0), F.lit(-1.0)), lambda side: F.col("_mid") + side * F.acos("_c")), lambda p: ~F.isnan(p) & p.isNotNull())).alias("_phi"))
+    phi = F.col("_phi")
+    k_out = _times(base, [F.cos(phi) * v[0] - F.sin(phi) * v[1], F.sin(phi) * v[0] + F.cos(phi) * v[1], v[2]])
+    k_out = [k_out[0] + 1.0 / geo.wavelength, k_out[1], k_out[2]]
+    # back to detector axes; the detector is where the third coordinate is 0
+    back = orientation_matrix(geo.orientation) @ np.linalg.inv(geo.detector)
+    rows = rows.select(*own, phi, *[_row(back, i, k_out).alias(f"_d{i}") for i in range(3)])
+    origin = back @ np.array([geo.distance, 0.0, 0.0])
+    scale = float(origin[2]) / F.col("_d2")
+    z = F.pmod((F.degrees(phi) - geo.phi) / geo.phi_step, F.lit(turn))
+    return rows.select(
+        *own,
+        ((scale * F.col("_d0") - float(origin[0])) / geo.pixel_size + geo.xc).alias("x"),
+        ((scale * F.col("_d1") - float(origin[1])) / geo.pixel_size + geo.yc).alias("y"),
+        F.when(z < 25, z + turn).otherwise(z).alias("z"),
+    )
 
 
 def on_detector(geo: Geometry, x: Column, y: Column, z: Column, frames: int = 3648) -> Column:

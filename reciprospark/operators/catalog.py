@@ -75,10 +75,9 @@ def pending_tasks(wanted: DataFrame, tasks: DataFrame, overwrite: bool = False,
     done = latest_task(tasks).filter(F.col("status") == DONE).select("file", "task", "entry").distinct()
     todo = wanted if overwrite else wanted.join(done, ["file", "task", "entry"], "left_anti")
     entries = wanted.select("file", "entry").distinct()
-    required = wanted.sparkSession.createDataFrame(list(needs), "task string, need string")
-    state = entries.join(done.select("file", F.col("task").alias("need"), "entry", F.lit(True).alias("ok")), ["file", "entry"], "left")
-    missing = entries.crossJoin(F.broadcast(required.select("need").distinct())).join(state.filter("ok").select("file", "entry", "need"), ["file", "entry", "need"], "left_anti")
-    blocked = missing.join(F.broadcast(required), "need").select("file", "task").distinct()
+    required = F.array(*[F.struct(F.lit(t).alias("task"), F.lit(n).alias("need")) for t, n in needs])
+    asked = entries.select("file", "entry", F.explode(required).alias("r")).select("file", "entry", "r.*")
+    blocked = asked.join(done.withColumnRenamed("task", "need"), ["file", "entry", "need"], "left_anti").select("file", "task").distinct()
     return todo.join(blocked, ["file", "task"], "left_anti")
 
 

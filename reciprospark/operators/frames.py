@@ -175,4 +175,4 @@ def frame_diff(frames: DataFrame) -> DataFrame:
 
 def score(peaks: DataFrame, weight: Column, deviation: Column) -> DataFrame:
     """Weighted mean of a deviation by entry."""
-    return peaks.groupBy("entry").agg((F.sum(weight * deviation) / F.sum(weight)).alias("score"))
+    return peaks.groupBy("entry").agg(F.try_divide(F.sum(weight * deviation), F.sum(weight)).alias("score"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reciprospark.functions.geometry import angle_between, b_matrix, d_spacing
+from reciprospark.functions.geometry import b_matrix, d_spacing
 
 
 def absent(h: Column, k: Column, l: Column, centring: str) -> Column:  # noqa: E741
@@ -55,8 +56,8 @@ def miller_indices(spark: SparkSession, cell: tuple[float, ...], d_min: float, c
     """(h, k, l, d, multiplicity): one allowed reflection per class with d at least ``d_min``, by d descending."""
     symops = symops or identity()
     edge = [math.floor(e / d_min) + 1 for e in cell[:3]]
-    axis = lambda n, m: spark.range(-m, m + 1).select(F.col("id").cast("int").alias(n))
-    every = axis("h", edge[0]).crossJoin(axis("k", edge[1])).crossJoin(axis("l", edge[2])).filter("h <> 0 OR k <> 0 OR l <> 0")
+    axis = lambda m: F.explode(F.sequence(F.lit(-m), F.lit(m)))
+    every = spark.range(-edge[0], edge[0] + 1).select(F.col("id").cast("int").alias("h")).withColumn("k", axis(edge[1])).withColumn("l", axis(edge[2])).filter("h <> 0 OR k <> 0 OR l <> 0")
     h, k, l = (F.col(c) for c in "hkl")  # noqa: E741
     ok = every.withColumn("d", d_spacing(cell, h, k, l)).filter((F.col("d") >= d_min) & ~absent(h, k, l, centring) & ~absent_by_symmetry(h, k, l, symops))
     first = ok.withColumn("all", equivalents(h, k, l, symops)).filter(F.col("all")[0] == F.struct("h", "k", "l"))
@@ -101,9 +102,15 @@ def assign_rings(peaks: DataFrame, rings: DataFrame) -> DataFrame:
 def match_pair_angles(pairs: DataFrame, primary: DataFrame, secondary: DataFrame, cell: tuple[float, ...], tolerance: float = 5.0) -> DataFrame:
     """For each observed angle (pair_id, angle) the two ring members whose angle is nearest, if nearer than the tolerance. Ring members are a few dozen rows."""
     b = b_matrix(*cell)
-    vec = lambda p: [sum(float(b[i, j]) * F.col(f"{p}{c}") for j, c in enumerate("hkl")) for i in range(3)]
-    named = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in "hkl"])
-    members = named(primary, "a").crossJoin(named(secondary, "b")).withColumn("between", angle_between(vec("a"), vec("b")))
-    near = pairs.join(F.broadcast(members), F.abs(pairs["angle"] - members["between"]) < tolerance)
-    best = F.min_by(F.struct(*[p + c for p in "ab" for c in "hkl"], "between"), F.struct(F.abs(F.col("angle") - F.col("between")), *[p + c for p in "ab" for c in "hkl"]))
-    return near.groupBy("pair_id", "angle").agg(best.alias("m")).select("pair_id", "angle", "m.*")
+    first, second = ([np.array([r["h"], r["k"], r["l"]], float) for r in df.select("h", "k", "l").distinct().orderBy("h", "k", "l").collect()] for df in (primary, secondary))
+    known = []
+    for p in first:
+        for q in second:
+            u, v = b @ p, b @ q
+            known.append((round(math.degrees(math.acos(max(-1.0, min(1.0, float(u @ v / (np.linalg.norm(u) * np.linalg.norm(v))))))), 3), *map(int, p), *map(int, q)))
+    names = ["between", "ah", "ak", "al", "bh", "bk", "bl"]
+    if not known:
+        return pairs.select("pair_id", "angle", *[F.lit(None).cast("double" if n == "between" else "int").alias(n) for n in names]).filter("false")
+    members = F.array(*[F.struct(F.abs(F.col("angle") - m[0]).alias("off"), *[F.lit(v).alias(n) for n, v in zip(names, m)]) for m in known])
+    best = pairs.select("pair_id", "angle", F.array_min(members).alias("m")).filter(F.col("m.off") < tolerance)
+    return best.select("pair_id", "angle", *[f"m.{n}" for n in names])

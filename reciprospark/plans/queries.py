@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reciprospark.functions import geometry as geo
 from reciprospark.functions import scalars
-from reciprospark.operators import catalog, frames, lattice, masks, peaks, volume
+from reciprospark.operators import catalog, frames, lattice, masks, orient, pdf, peaks, volume
 from reciprospark.plans import views
 from reciprospark.plans.views import FRAMES_SQL, HITS3_SQL, HITS_GEOMETRY, HITS_SQL, LOG_SQL, TASKS_SQL
 
@@ -444,6 +444,141 @@ def natural_key(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), key["numbers"][0].alias("first"))
 
 
+# Pair distribution functions, on a 9 x 9 x 9 volume
+
+
+_RECIPROCAL = (1.5, 1.5, 1.5)
+
+
+def _dense() -> str:
+    return f"""{_VOX}, dense AS (SELECT a.i AS il, b.i AS ik, c.i AS ih, coalesce(v / n, 0.0) AS signal FROM range(9) a(i), range(9) b(i), range(9) c(i) LEFT JOIN vox ON il = a.i AND ik = b.i AND ih = c.i)"""
+
+
+_TAPER = "(CASE WHEN r <= 1 THEN 1.0 WHEN r >= 2 THEN 0.0 ELSE 0.5 * (1 - cos(r * pi())) END)"
+
+
+def _signal(spark, d):
+    return _vox(spark, d).withColumn("signal", F.col("v") / F.col("n")).select("il", "ik", "ih", "signal")
+
+
+@query(f"""WITH {_dense()}, q AS (SELECT *, sqrt(pow((ih - 4) * 1.5, 2) + pow((ik - 4) * 1.5, 2) + pow((il - 4) * 1.5, 2)) * (2.0 / 12.0) AS r FROM dense WHERE signal <> 0)
+SELECT il, ik, ih, round(signal * {_TAPER}, 6) AS value FROM q""")
+def taper_volume(spark, d):
+    return pdf.tapered(_signal(spark, d), _SMALL, _RECIPROCAL, 12.0).select("il", "ik", "ih", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {_dense()}, q AS (SELECT *, sqrt(pow((ih - 4) * 1.5, 2) + pow((ik - 4) * 1.5, 2) + pow((il - 4) * 1.5, 2)) * (2.0 / 12.0) AS r FROM dense WHERE il < 8 AND ik < 8 AND ih < 8),
+t AS (SELECT il, ik, ih, signal * {_TAPER} AS v FROM q)
+SELECT z.i AS iz, y.i AS iy, x.i AS ix, round(sum(v * cos(2 * pi() * ((z.i - 4) * (il - 4) + (y.i - 4) * (ik - 4) + (x.i - 4) * (ih - 4)) / 8.0)) / 512, 6) + 0 AS pdf
+FROM t, range(8) z(i), range(8) y(i), range(8) x(i) GROUP BY 1, 2, 3""")
+def total_pdf(spark, d):
+    return pdf.total_pdf(_signal(spark, d), _SMALL, _RECIPROCAL, 12.0).select("iz", "iy", "ix", (F.round("pdf", 6) + 0).alias("pdf"))
+
+
+@query()
+def delta_pdf(spark, d):
+    return pdf.delta_pdf(_signal(spark, d), _SMALL, _RECIPROCAL, 12.0, 1.6).select("iz", "iy", "ix", F.round("pdf", 6).alias("pdf"))
+
+
+@query(f"""WITH {_VOX}, s AS (SELECT il, ik, ih, v / n AS signal FROM vox), hole AS (SELECT DISTINCT a.il + d.l AS il, a.ik + d.k AS ik, a.ih + d.h AS ih
+FROM (SELECT 4 AS il, 4 AS ik, 4 AS ih) a, (VALUES (0, 0, 0), (0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0)) d(l, k, h))
+SELECT s.il, s.ik, s.ih, round(CASE WHEN hole.il IS NULL THEN signal ELSE 0.0 END, 6) AS signal FROM s LEFT JOIN hole ON s.il = hole.il AND s.ik = hole.ik AND s.ih = hole.ih""")
+def punch(spark, d):
+    centres = _signal(spark, d).filter("il = 4 AND ik = 4 AND ih = 4")
+    offsets = pdf.hole_offsets(1.5, _SMALL.steps, _RECIPROCAL)
+    return pdf.punch(_signal(spark, d), centres, offsets, "signal").select("il", "ik", "ih", F.round("signal", 6).alias("signal"))
+
+
+@query(f"""WITH {_dense()}, c AS (SELECT il, ik, ih FROM dense WHERE il BETWEEN 1 AND 7 AND ik BETWEEN 1 AND 7 AND ih BETWEEN 1 AND 7 AND (il + ik + ih) % 4 = 0),
+f AS (SELECT c.il, c.ik, c.ih, sum(n.signal) / 6 AS fill FROM c JOIN dense n ON abs(c.il - n.il) + abs(c.ik - n.ik) + abs(c.ih - n.ih) = 1 GROUP BY 1, 2, 3)
+SELECT d.il, d.ik, d.ih, round(CASE WHEN fill > 0 THEN fill ELSE signal END, 6) AS signal FROM dense d LEFT JOIN f ON d.il = f.il AND d.ik = f.ik AND d.ih = f.ih""")
+def fill_holes(spark, d):
+    """Single voxels filled by the mean of their six neighbours, in a dense volume."""
+    places = spark.range(729).select((F.col("id") / 81).cast("int").alias("il"), ((F.col("id") / 9).cast("int") % 9).alias("ik"), (F.col("id") % 9).cast("int").alias("ih"))
+    dense = places.join(_signal(spark, d), ["il", "ik", "ih"], "left").withColumn("signal", F.coalesce("signal", F.lit(0.0)))
+    inner = F.col("il").between(1, 7) & F.col("ik").between(1, 7) & F.col("ih").between(1, 7)
+    centres = dense.filter(inner & ((F.col("il") + F.col("ik") + F.col("ih")) % 4 == 0)).select("il", "ik", "ih")
+    return pdf.fill_holes(dense, centres, [(0, 0, 0)], "signal").select("il", "ik", "ih", F.round("signal", 6).alias("signal"))
+
+
+@query(f"""WITH {_VOX}, r AS (SELECT DISTINCT l_partkey % 13 - 6 AS h, l_suppkey % 11 - 5 AS k, l_linenumber - 4 AS l FROM lineitem),
+p AS (SELECT h, k, l, CASE WHEN abs(h) > 4 OR abs(k) > 4 OR abs(l) > 4 THEN 'off_grid' WHEN greatest(abs(h), abs(k), abs(l)) > 2 THEN 'edge' WHEN v IS NULL OR v <= 0 THEN 'no_signal' ELSE 'punched' END AS outcome
+FROM r LEFT JOIN vox ON ih = h + 4 AND ik = k + 4 AND il = l + 4) SELECT outcome, count(*) AS n FROM p GROUP BY 1""")
+def punch_outcomes(spark, d):
+    rows = views.table(spark, d, "lineitem").select((F.col("l_partkey") % 13 - 6).alias("h"), (F.col("l_suppkey") % 11 - 5).alias("k"), (F.col("l_linenumber") - 4).alias("l")).distinct()
+    return volume.punch_outcomes(volume.reflections_on_grid(rows, _SMALL, _vox(spark, d), 2)).select("outcome", "n")
+
+
+@query()
+def matern_fill(spark, d):
+    """Gaps in the hourly log, day by day."""
+    log = views.log(spark, d).select(F.floor(F.col("frame") / 24).cast("long").alias("group"), (F.col("frame") % 24).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("k"), F.when(F.col("frame") % 5 != 2, F.col("monitor")).alias("value"))
+    return pdf.matern_fill(log, order=2, eps=0.1).select("group", "i", F.round("value", 4).alias("value"))
+
+
+# Orientation
+
+
+def _qs(spark, d, least: int = 60):
+    rows = views.hits(spark, d).filter(F.col("counts") > least)
+    g = geo.gvec(HITS_GEOMETRY, F.col("x"), F.col("y"), F.col("frame"))
+    return rows.select("frame", "y", "x", *[c.alias(n) for c, n in zip(g, ("qx", "qy", "qz"))])
+
+
+@query()
+def gvec(spark, d):
+    return _qs(spark, d, 0).select("frame", "y", "x", *[F.round(c, 6).alias(c) for c in ("qx", "qy", "qz")])
+
+
+@query()
+def hkl_to_pixel(spark, d):
+    """Where whole reflections near the hits meet the detector."""
+    hkl = geo.pixel_to_hkl(HITS_GEOMETRY, F.col("x"), F.col("y"), F.col("frame"))
+    near = views.hits(spark, d).select(*[F.rint(c).cast("int").alias(n) for c, n in zip(hkl, "hkl")]).distinct()
+    spots = geo.hkl_to_pixels(near, HITS_GEOMETRY)
+    return spots.filter(geo.on_detector(HITS_GEOMETRY, F.col("x"), F.col("y"), F.col("z"), 385)).select("h", "k", "l", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+@query()
+def projection_histogram(spark, d):
+    axes = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(orient.hemisphere(0.5))], "direction int, tx double, ty double, tz double")
+    return orient.projection_histogram(_qs(spark, d), axes, 64)
+
+
+@query(f"""WITH {HITS_SQL}, p AS (SELECT *, {_POLAR} AS polar FROM hits), r(ring, a) AS (VALUES (0, 3.0), (1, 6.0), (2, 9.0)),
+n AS (SELECT ring, cast(floor(radians(degrees(atan2(0.5 * (x - 31.5), 0.5 * (y - 31.5))) + 180) / 0.2) AS INT) AS sector, y, x, counts FROM (SELECT y, x, max(polar) AS polar, max(counts) AS counts FROM p GROUP BY 1, 2) JOIN r ON abs(polar - a) <= 0.3)
+SELECT ring, sector, x, y, counts FROM n QUALIFY row_number() OVER (PARTITION BY ring, sector ORDER BY counts DESC, y, x) = 1""")
+def ring_points(spark, d):
+    one = views.hits(spark, d).groupBy("y", "x").agg(F.max("counts").alias("counts"))
+    return orient.ring_points(one, HITS_GEOMETRY, [(0, 3.0), (1, 6.0), (2, 9.0)], 0.3).select("ring", "sector", "x", "y", "counts")
+
+
+@query()
+def niggli_cells(spark, d):
+    """Reduced cells of one lattice per supplier."""
+    s = views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    edge = [0.25 / (1 + (F.col("id") % m) / 10.0) for m in (5, 7, 11)]
+    ub = F.array(edge[0], edge[1] * 0.2, F.lit(0.0), F.lit(0.0), edge[1], edge[2] * 0.1, F.lit(0.0), F.lit(0.0), edge[2])
+    found = orient.niggli_cells(s.select("id", ub.alias("ub")), 2)
+    return found.select("id", *[F.round(c, 5).alias(c) for c in ("a", "b", "c", "alpha", "beta", "gamma")])
+
+
+@query()
+def ring_table(spark, d):
+    """Rings of the reflections near the hits' directions."""
+    rows = views.table(spark, d, "lineitem").select((F.col("l_partkey") % 7).cast("int").alias("h"), (F.col("l_suppkey") % 5).cast("int").alias("k"), (F.col("l_linenumber") % 4).cast("int").alias("l")).distinct().filter("h + k + l > 0")
+    angle = geo.two_theta_hkl((4.0, 4.1, 4.2, 90.0, 95.0, 90.0), 0.5, F.col("h"), F.col("k"), F.col("l"))
+    table = lattice.ring_table(rows.select(F.lit(0).alias("lattice"), "h", "k", "l", angle.alias("two_theta"), F.lit(2).alias("multiplicity")), 0.3)
+    return table.select("h", "k", "l", "ring", F.round("ring_angle", 6).alias("ring_angle"))
+
+
+@query(f"""WITH {HITS_SQL}, p AS (SELECT frame, y, x, {_POLAR} AS polar FROM hits), r(ring, a) AS (VALUES (0, 2.0), (1, 3.5), (2, 5.5), (3, 8.0))
+SELECT frame, y, x, (SELECT ring FROM r ORDER BY abs(p.polar - a), ring LIMIT 1) AS ring FROM p""")
+def assign_rings(spark, d):
+    rings = spark.createDataFrame([(0, 2.0), (1, 3.5), (2, 5.5), (3, 8.0)], "ring int, ring_angle double")
+    return lattice.assign_rings(_polar(views.hits(spark, d)), rings).select("frame", "y", "x", "ring")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Frame sums without hot pixels, trimmed annulus sums, transmission and frame weights in one table."""
     f = views.frames(spark, d)
