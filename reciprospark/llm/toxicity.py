@@ -28,6 +28,8 @@ BUCKETS = 1 << 17
 DIMENSIONS = 8
 #: Passes of the first and of the second fit.
 EPOCHS = (3, 8)
+#: Steps of either fit at least: a small sample is passed over more often.
+LEAST_STEPS = (400, 1200)
 BATCH = 64
 #: Words of a passage, and passages of one text that a fit takes at most.
 PASSAGE = 32
@@ -175,6 +177,7 @@ def fit(texts: list[str | None], labels: np.ndarray, weight_of_1: float, weight_
             y += [labels[i]] * len(pick)
         y = np.array(y)
         share = np.array([0.5 / (y == 0).mean(), 0.5 / (y == 1).mean()], np.float32)
+        epochs = max(epochs, -(-LEAST_STEPS[stage] * BATCH // len(y)))
         descend(flat, y, share[y], table, soft, bias, epochs, rng)
     model[:-1] = numbers()
     model[-1] = bias[1] - bias[0]
