@@ -77,7 +77,7 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Impacts by term: items ``item[at[t]:at[t + 1]]`` with ``impact``; ``top`` by term, ``block_top`` by term and block."""
+    """Impacts by term: items ``item[at[t]:at[t + 1]]`` with ``impact``, those of block b from ``block_at[t, b]`` on; greatest impacts ``top`` by term and ``block_top`` by term and block."""
 
     item_ids: list
     parts: list[tuple[np.ndarray, np.ndarray]]
@@ -88,6 +88,7 @@ class Index:
     impact: np.ndarray
     top: np.ndarray
     block_top: np.ndarray
+    block_at: np.ndarray
 
     @staticmethod
     def of(items: list[tuple]) -> "Index | None":
@@ -114,44 +115,54 @@ class Index:
         place, item, impact = place[order], item[order], impact[order]
         block_top = np.zeros((len(terms), -(-len(ids) // BLOCK)), np.float32)
         np.maximum.at(block_top, (place, item // BLOCK), np.nextafter(impact.astype(np.float32), np.float32(2)))
-        return Index(ids, parts, max(STRIDE, int(sizes.max())), terms, np.searchsorted(place, np.arange(len(terms) + 1)), item, impact, block_top.max(1), block_top)
+        n_blocks = block_top.shape[1]
+        key = place * n_blocks + item // BLOCK
+        block_at = np.searchsorted(key, np.arange(len(terms))[:, None] * n_blocks + np.arange(n_blocks + 1))
+        return Index(ids, parts, max(STRIDE, int(sizes.max())), terms, np.searchsorted(place, np.arange(len(terms) + 1)), item, impact, block_top.max(1), block_top, block_at)
 
     def wand(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """Every (item, score) at or above the threshold for a set of terms, by block-max WAND."""
-        lists = [[int(self.at[t]), int(self.at[t + 1]), int(t)] for t in terms]  # place, end, term
-        found = []
-        item, impact, top, block_top = self.item, self.impact, self.top, self.block_top
-        while lists:
-            lists.sort(key=lambda c: item[c[0]])
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(lists):
-                bound += top[c[2]]
-                if bound >= threshold:
-                    pivot = k
+        """Every (item, score) at or above the threshold for a set of terms, by block-max WAND.
+
+        Blocks whose summed maxima stay below the threshold are skipped as a whole; in the others the lists, cut to the block, are
+        moved from pivot to pivot, with the block's maxima as bounds.
+        """
+        tops = self.block_top[terms]
+        item, impact, found = self._lists()
+        for block in np.flatnonzero(tops.sum(0) >= threshold).tolist():
+            held = np.flatnonzero(tops[:, block] > 0)
+            own, bounds = terms[held], tops[held, block].tolist()
+            lists = [[lo, hi, bound] for lo, hi, bound in zip(self.block_at[own, block].tolist(), self.block_at[own, block + 1].tolist(), bounds)]
+            while lists:
+                lists.sort(key=lambda c: item[c[0]])
+                bound, pivot = 0.0, -1
+                for k, c in enumerate(lists):
+                    bound += c[2]
+                    if bound >= threshold:
+                        pivot = k
+                        break
+                if pivot < 0:
                     break
-            if pivot < 0:
-                return found
-            doc = int(item[lists[pivot][0]])
-            while pivot + 1 < len(lists) and item[lists[pivot + 1][0]] == doc:
-                pivot += 1
-            block = doc // BLOCK
-            if sum(float(block_top[c[2], block]) for c in lists[: pivot + 1]) >= threshold:
+                doc = item[lists[pivot][0]]
+                while pivot + 1 < len(lists) and item[lists[pivot + 1][0]] == doc:
+                    pivot += 1
+                target = doc
                 if item[lists[0][0]] == doc:
                     score = math.fsum(impact[c[0]] for c in lists[: pivot + 1])
                     if score >= threshold:
                         found.append((doc, score))
                     target = doc + 1
-                else:
-                    target = doc
-            else:  # nothing in this block before the next list begins can do it
-                target = (block + 1) * BLOCK
-                if pivot + 1 < len(lists):
-                    target = max(doc + 1, min(target, int(item[lists[pivot + 1][0]])))
-            for c in lists[: pivot + 1]:
-                c[0] += int(np.searchsorted(item[c[0] : c[1]], target))
-            lists = [c for c in lists if c[0] < c[1]]
+                for c in lists[: pivot + 1]:
+                    while c[0] < c[1] and item[c[0]] < target:
+                        c[0] += 1
+                lists = [c for c in lists if c[0] < c[1]]
         return found
 
+    def _lists(self) -> tuple[list, list, list]:
+        """Items and impacts as Python lists, which single look-ups are faster on, and an empty list."""
+        if not hasattr(self, "_plain"):
+            self._plain = self.item.tolist(), self.impact.tolist()
+        return (*self._plain, [])
+
     def overlaps(self, k: int, words: np.ndarray) -> tuple[float, float]:
         """The parts of the shingles of item ``k``'s question and answer that ``words`` hold; an absent part counts as held."""
         out = []
@@ -189,10 +200,7 @@ class Index:
             return []
         cuts = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(passage)]):
-            own = term[lo:hi]
-            if self.block_top[own].sum(0).max() < threshold:
-                continue
-            for k, score in self.wand(own, threshold):
+            for k, score in self.wand(term[lo:hi], threshold):
                 t = int(np.searchsorted(firsts, passage[lo], "right")) - 1
                 start = bounds[t] + (passage[lo] - firsts[t]) * self.stride
                 around = words[max(bounds[t], start - self.stride) : min(bounds[t + 1], start + 3 * self.stride)]
