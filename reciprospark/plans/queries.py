@@ -321,12 +321,12 @@ def inherit_parameters(spark, d):
 
 
 @query(f"""WITH {_SUB}, v AS (SELECT file, entry, subentry, max(id) AS value FROM tasks WHERE id % 4 <> 1 GROUP BY 1, 2, 3), w AS (SELECT DISTINCT file, entry, 'sub' AS subentry FROM tasks)
-SELECT w.file, w.entry, coalesce(s.value, m.value) AS value FROM w LEFT JOIN v s ON s.file = w.file AND s.entry = w.entry AND s.subentry = 'sub' LEFT JOIN v m ON m.file = w.file AND m.entry = w.entry AND m.subentry = ''""")
+SELECT w.file, w.entry, coalesce(s.value, m.value, -1) AS value FROM w LEFT JOIN v s ON s.file = w.file AND s.entry = w.entry AND s.subentry = 'sub' LEFT JOIN v m ON m.file = w.file AND m.entry = w.entry AND m.subentry = ''""")
 def find_group(spark, d):
     t = _sub(spark, d)
     values = t.filter("id % 4 <> 1").groupBy("file", "entry", "subentry").agg(F.max("id").alias("value")).withColumn("name", F.lit("n"))
     wanted = t.select("file", "entry", F.lit("sub").alias("subentry"), F.lit("n").alias("name")).distinct()
-    return catalog.find_group(wanted, values).select("file", "entry", "value")
+    return catalog.find_group(wanted, values).select("file", "entry", F.coalesce("value", F.lit(-1)).alias("value"))
 
 
 @query("""SELECT o_orderkey AS scan, ('run_' || o_custkey) LIKE 'run\\_1%' ESCAPE '\\' OR o_orderstatus = 'F' AS selected FROM orders""")
