@@ -18,6 +18,8 @@ from reciprospark.functions import geometry as geo
 from reciprospark.functions.geometry import Geometry
 
 STEP, BINS, TOP = 0.03, 512, 500
+#: Vectors of which triples are formed.
+MOST_VECTORS = 12
 
 
 def hemisphere(step: float = STEP) -> np.ndarray:
@@ -49,13 +51,54 @@ def projection_histogram(qs: DataFrame, directions: DataFrame, bins: int = BINS)
     return qs.select("qx", "qy", "qz").mapInPandas(project, "direction long, bin int, n long").groupBy("direction", "bin").agg(F.sum("n").alias("n"))
 
 
+def tallied(qs: DataFrame, vectors: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all real-space vectors in one pass over the scattering vectors that each indexes: their number, the sum of q q^T and the sum of n q.
+
+    Every batch sends one row per vector; a few hundred rows reach the driver.
+    """
+    v = np.asarray(vectors, float).reshape(-1, 3)
+    names = [f"s{i}" for i in range(12)]
+
+    def run(batches):
+        for pdf in batches:
+            q = pdf[["qx", "qy", "qz"]].to_numpy(float)
+            n = np.zeros(len(v), np.int64)
+            sums = np.zeros((len(v), 12))
+            for k, d in enumerate(v):
+                p = q @ d
+                near = np.abs(p - np.rint(p)) <= tolerance
+                own = q[near]
+                n[k] = near.sum()
+                sums[k, :9] = (own.T @ own).ravel()
+                sums[k, 9:] = np.rint(p[near]) @ own
+            yield pd.DataFrame({"k": np.arange(len(v)), "n": n, **{c: sums[:, i] for i, c in enumerate(names)}})
+
+    got = qs.select("qx", "qy", "qz").mapInPandas(run, "k long, n long, " + ", ".join(f"{c} double" for c in names)).groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]).collect()
+    n, m, b = np.zeros(len(v), int), np.zeros((len(v), 3, 3)), np.zeros((len(v), 3))
+    for r in got:
+        n[r["k"]], m[r["k"]], b[r["k"]] = r["n"], np.array(r[2:11]).reshape(3, 3), np.array(r[11:14])
+    return n, m, b
+
+
 def index_count(qs: DataFrame, candidates: list[np.ndarray], tolerance: float) -> list[int]:
-    """For each real-space vector the number of scattering vectors whose product with it is near a whole number: one pass, one row."""
-    tests = []
-    for d in candidates:
-        p = sum(float(v) * F.col(c) for v, c in zip(d, ("qx", "qy", "qz")))
-        tests.append(F.sum(F.when(F.abs(p - F.rint(p)) <= tolerance, 1).otherwise(0)))
-    return [int(v or 0) for v in qs.agg(*tests).first()] if tests else []
+    """For each real-space vector the number of scattering vectors whose product with it is near a whole number."""
+    return tallied(qs, np.array(candidates), tolerance)[0].tolist() if len(candidates) else []
+
+
+def refined_vectors(qs: DataFrame, vectors: np.ndarray, tolerance: float) -> np.ndarray:
+    """One least squares step of each vector: its products with the scattering vectors it indexes become whole numbers."""
+    _, m, b = tallied(qs, vectors, tolerance)
+    return np.array([np.linalg.lstsq(mk, bk, rcond=None)[0] for mk, bk in zip(m, b)]).reshape(-1, 3)
+
+
+def near_patterns(qs: DataFrame, vectors: np.ndarray, tolerance: float) -> dict[tuple[int, int], int]:
+    """How many scattering vectors have each pattern of (near a whole number, near zero) over at most a dozen vectors, as bit masks."""
+    near, zero = F.lit(0), F.lit(0)
+    for i, d in enumerate(vectors):
+        p = sum(float(x) * F.col(c) for x, c in zip(d, ("qx", "qy", "qz")))
+        near = near + F.when(F.abs(p - F.rint(p)) <= tolerance, 1 << i).otherwise(0)
+        zero = zero + F.when(F.round(p, 4) == 0, 1 << i).otherwise(0)
+    return {(r["near"], r["zero"]): r["count"] for r in qs.select(near.alias("near"), zero.alias("zero")).groupBy("near", "zero").count().collect()}
 
 
 def index_count_3d(qs: DataFrame, ub: np.ndarray, tolerance: float) -> int:
@@ -68,18 +111,6 @@ def index_count_3d(qs: DataFrame, ub: np.ndarray, tolerance: float) -> int:
     return int(qs.agg(F.sum(F.when(near & ~zero, 1).otherwise(0))).first()[0] or 0)
 
 
-def refined_vector(qs: DataFrame, d: np.ndarray, tolerance: float) -> np.ndarray:
-    """One least squares step of a real-space vector: its products with the vectors it indexes become whole numbers."""
-    names = ("qx", "qy", "qz")
-    p = sum(float(v) * F.col(c) for v, c in zip(d, names))
-    own = qs.select(*names, F.rint(p).alias("n"), F.abs(p - F.rint(p)).alias("off")).filter(F.col("off") <= tolerance)
-    sums = own.agg(*[F.sum(F.col(a) * F.col(b)) for a in names for b in names], *[F.sum(F.col("n") * F.col(a)) for a in names]).first()
-    if sums[0] is None:
-        return d
-    m = np.array(sums[:9], float).reshape(3, 3)
-    return np.linalg.lstsq(m, np.array(sums[9:], float), rcond=None)[0]
-
-
 def dedupe_directions(vectors: list[tuple[np.ndarray, int]], length: float = 0.1, angle: float = 5.0) -> list[tuple[np.ndarray, int]]:
     """Of vectors alike in length (10 %) and direction (5 degrees, either sense) the one that indexes most peaks stays; by length."""
     kept: list[tuple[np.ndarray, int]] = []
@@ -129,13 +160,15 @@ def index_lattice(qs: DataFrame, min_d: float, max_d: float, tolerance: float =
     vectors = [around[r["direction"]] * r["d"] for r in top]
     counts = index_count(qs, vectors, tolerance)
     good = sorted(((v, c) for v, c in zip(vectors, counts) if c >= 0.5 * n), key=lambda x: -x[1])[:60]
-    fine = []
-    for v, _ in dedupe_directions(good):
-        for _ in range(5):
-            v = refined_vector(qs, v, tolerance)
-        fine.append(v)
-    scored = [(v, c) for v, c in zip(fine, index_count(qs, fine, tolerance)) if c >= 0.75 * n and np.linalg.norm(v) > 0]
-    scored = dedupe_directions(scored)
+    fine = np.array([v for v, _ in dedupe_directions(good)])
+    if len(fine) < 3:
+        return None
+    for _ in range(5):
+        fine = refined_vectors(qs, fine, tolerance)
+    scored = [(v, c) for v, c in zip(fine, index_count(qs, fine, tolerance)) if c >= 0.75 * n and np.linalg.norm(v) > 0.8 * min_d]
+    scored = sorted(dedupe_directions(scored), key=lambda x: -x[1])[:MOST_VECTORS]
+    scored.sort(key=lambda x: np.linalg.norm(x[0]))
+    patterns = near_patterns(qs, [v for v, _ in scored], tolerance)
     best, best_n = None, 0
     for i in range(len(scored)):
         for j in range(i + 1, len(scored)):
@@ -143,15 +176,14 @@ def index_lattice(qs: DataFrame, min_d: float, max_d: float, tolerance: float =
                 m = np.array([scored[i][0], scored[j][0], scored[k][0]])
                 if abs(np.linalg.det(m)) <= min_d**3 / 4:
                     continue
-                if np.linalg.det(m) < 0:
-                    m[2] = -m[2]
-                c = index_count_3d(qs, np.linalg.inv(m), tolerance)
-                if c > 1.2 * best_n or best is None:
-                    best, best_n = m, c
+                bits = 1 << i | 1 << j | 1 << k
+                c = sum(count for (near, zero), count in patterns.items() if near & bits == bits and zero & bits != bits)
+                if best is None or c > 1.2 * best_n:
+                    best, best_n = m if np.linalg.det(m) > 0 else m * [[1], [1], [-1]], c
     if best is None:
         return None
     for _ in range(4):
-        best = np.array([refined_vector(qs, row, tolerance) for row in best])
+        best = refined_vectors(qs, best, tolerance)
     return np.linalg.inv(best)
 
 

@@ -45,10 +45,12 @@ def read_scan_logs(spark: SparkSession, head: str, meta: str) -> tuple[DataFrame
     lines = spark.read.text(head)
     pair = F.split("value", ",", 2)
     heads = lines.filter(F.col("value").contains(",")).select(F.trim(pair[0]).alias("key"), F.trim(pair[1]).alias("value")).withColumn("number", F.expr("try_cast(value AS double)"))
-    whole = spark.read.option("wholetext", "true").text(meta).select(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("lines"))
-    rows = whole.select(F.split(F.col("lines")[0], ",").alias("names"), F.posexplode(F.slice("lines", 2, 1 << 30)).alias("frame", "line"))
-    cells = rows.select("frame", F.explode(F.arrays_zip("names", F.split("line", ",").alias("cells"))).alias("c"))
-    return heads, cells.select("frame", F.trim("c.names").alias("name"), F.trim("c.cells").alias("value"))
+    whole = spark.read.text(meta, wholetext=True).select(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("lines"))
+    rows = whole.select(F.split(F.col("lines")[0], ",").alias("names"), F.posexplode(F.filter("lines", lambda line, i: i > 0)).alias("frame", "line"))
+    pairs = F.zip_with("names", F.split("line", ","), lambda n, v: F.struct(F.trim(n).alias("name"), F.trim(v).alias("value")))
+    cells = rows.select("frame", F.explode(pairs).alias("c"))
+    return heads, cells.select("frame", "c.name", "c.value")
+
 
 
 def read_spec_scans(spark: SparkSession, path: str) -> DataFrame:
@@ -56,11 +58,11 @@ def read_spec_scans(spark: SparkSession, path: str) -> DataFrame:
 
     A file is split into numbered lines; the scan a line belongs to is a running count of headers within its file.
     """
-    whole = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
     by = Window.partitionBy("path").orderBy("n")
     lines = whole.withColumn("scan_no", F.sum(F.col("line").startswith("#S ").cast("int")).over(by)).filter("scan_no > 0")
     pick = lambda mark: F.max(F.when(F.col("line").startswith(mark), F.trim(F.expr(f"substring(line, {len(mark) + 1})"))))
-    floats = lambda c: F.transform(F.split(F.trim(c), r"\s+"), lambda s: F.expr("try_cast(s AS double)") if False else s.try_cast("double"))
+    floats = lambda c: F.transform(F.split(F.trim(c), r"\s+"), lambda s: s.try_cast("double"))
     motors = F.array_sort(F.collect_list(F.when(F.col("line").rlike(r"^#P\d+ "), F.col("line"))))
     heads = lines.groupBy("path", "scan_no").agg(pick("#S ").alias("command"), F.split(pick("#L "), r"\s{2,}").alias("columns"), motors.alias("motors"))
     data = lines.filter(F.col("line").rlike(r"^\s*[-+.\d]")).withColumn("row", F.row_number().over(Window.partitionBy("path", "scan_no").orderBy("n")) - 1)

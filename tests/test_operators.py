@@ -145,13 +145,13 @@ def test_index_and_refine(spark):
     u = g.rotmat("x", 20) @ g.rotmat("y", 35) @ g.rotmat("z", 50)
     geo = g.Geometry(xc=32.0, yc=32.0, pixel_size=6.0, nx=64, ny=64, cell=(4.0, 4.0, 4.0, 90.0, 90.0, 90.0), u=tuple(map(tuple, u)))
     rows = spark.createDataFrame([(h, k, l) for h in range(-4, 5) for k in range(-4, 5) for l in range(-4, 5) if (h, k, l) != (0, 0, 0)], "h int, k int, l int")
-    spots = g.hkl_to_pixels(rows, geo).filter(g.on_detector(geo, F.col("x"), F.col("y"), F.col("z"))).limit(150).cache()
+    spots = g.hkl_to_pixels(rows, geo).filter(g.on_detector(geo, F.col("x"), F.col("y"), F.col("z"))).orderBy(F.xxhash64("h", "k", "l", "z")).limit(200).cache()
     q = spots.select(*[c.alias(n) for c, n in zip(g.gvec(geo, F.col("x"), F.col("y"), F.col("z")), ("qx", "qy", "qz"))]).cache()
     ub = orient.index_lattice(q, 3.0, 5.0)
     edges = np.linalg.norm(np.linalg.inv(orient.reduced_cell(ub, 2)), axis=1)
     assert np.allclose(edges, 4.0, atol=0.05)
     start = geo.with_(cell=(4.03, 4.03, 4.03, 90.0, 90.0, 90.0), chi=0.3)
-    better = orient.refine_orientation(spots, start, "cubic", angles=(), rounds=8)
+    better = orient.refine_orientation(spots, start, "cubic", angles=(), rounds=4)
     assert better.cell[0] == pytest.approx(4.0, abs=1e-4)
 
 
