@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
+from .storage import stored
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 17
@@ -210,11 +211,12 @@ def fitted(docs: DataFrame, labels: DataFrame, trains, id_col: str = "doc_id", t
     """
     y = F.col(label_col).cast("int")
     given = labels.filter(trains(F.col(id_col)) & y.isin(0, 1)).groupBy(F.col(id_col).alias("labelled_id")).agg(F.max(y).alias("label"))
-    known = docs.select(F.col(id_col).alias("labelled_id"), F.col(text_col).alias("text")).join(given, "labelled_id")
-    counts = {r["label"]: r["count"] for r in given.join(docs.select(F.col(id_col).alias("labelled_id")), "labelled_id", "left_semi").groupBy("label").count().collect()}
+    given = stored(given.join(docs.select(F.col(id_col).alias("labelled_id")), "labelled_id", "left_semi"), "toxic-labels")
+    counts = {r["label"]: r["count"] for r in given.groupBy("label").count().collect()}
     order = F.xxhash64("labelled_id")
     parts = [given.filter(F.col("label") == c).orderBy(order, "labelled_id").limit(SAMPLE_PER_CLASS) for c in (0, 1)]
-    sample = known.select("labelled_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "labelled_id")
+    # only the sample's texts move: its ids are few, and go to where the texts are read
+    sample = docs.select(F.col(id_col).alias("labelled_id"), F.col(text_col).alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "labelled_id")
     weights = [counts.get(c, 0) / max(1, min(counts.get(c, 0), SAMPLE_PER_CLASS)) for c in (0, 1)]
 
     def train(batches):
@@ -223,7 +225,7 @@ def fitted(docs: DataFrame, labels: DataFrame, trains, id_col: str = "doc_id", t
         model = fit([r[1] for r in rows], np.array([r[2] for r in rows], int), weights[1], weights[0])
         yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()], pa.binary())], ["model"])
 
-    got = sample.select("labelled_id", "text", "label").coalesce(1).mapInArrow(train, "model binary").collect()
+    got = sample.select("labelled_id", "text", "label").repartition(1).mapInArrow(train, "model binary").collect()
     return np.frombuffer(got[0]["model"], np.float32) if got else fit([], np.zeros(0, int), 1, 1)
 
 
