@@ -2,8 +2,9 @@
 
 A text's set holds the hashes of its 5-word shingles (A-Z folded, words ``[^\\x20\\x09-\\x0D]+``); with fewer words the whole
 sequence is one. Texts with equal sets are one node from the start. Each set has 126 minima of universal
-hashes in 21 bands of 6; texts that share a band are candidates. A candidate is dropped if its signatures agree
-in far too few places, and linked if the full sets do: 100 * intersection >= percent * union.
+hashes in bands whose length follows the asked similarity (``layout``: 21 bands of 6 at 85 percent, 25 of 5 at 80); texts
+that share a band are candidates. A candidate is dropped if its signatures agree in far too few places, and linked if
+the full sets do: 100 * intersection >= percent * union.
 
 Not all pairs of a bucket are formed. First every text meets the hub of its fullest bucket, then the hubs of all its buckets;
 after each step components are taken. Of what is left, only texts that lie in one bucket and in different
@@ -27,13 +28,23 @@ from .components import components
 from .storage import stored
 
 SHINGLE = 5
-BANDS, ROWS = 21, 6
+MINIMA = 126
+#: At most this part of the pairs of exactly the asked similarity share no band.
+MISSED = 5e-5
 #: Pairs whose signatures agree in a smaller part than the asked similarity less this (six standard deviations) are dropped.
 SLACK = 0.20
 
 _draw = np.random.default_rng(20210607)
-_A = _draw.integers(1, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _draw.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64)
+_A = _draw.integers(1, 2**63, (MINIMA, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _draw.integers(0, 2**63, (MINIMA, 1), dtype=np.uint64)
+
+
+def layout(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest bands of the minima that miss no more than ``MISSED`` of the pairs at the asked similarity."""
+    rows = 1
+    while (1 - (percent / 100) ** (rows + 1)) ** (MINIMA // (rows + 1)) <= MISSED:
+        rows += 1
+    return MINIMA // rows, rows
 
 
 def shingle_sets(part: bw.Slice, size: int = SHINGLE) -> list[np.ndarray]:
@@ -61,13 +72,23 @@ def shingle_sets(part: bw.Slice, size: int = SHINGLE) -> list[np.ndarray]:
 
 def signature(hashes: np.ndarray) -> np.ndarray:
     """The minima of multiply-and-shift hashes of a set, as unsigned 32-bit integers."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(hashes), 2048):
         least = np.minimum(least, (hashes[None, lo : lo + 2048] * _A + _B).min(1))
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def band_keys(signs: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of the bands of signatures (one a row)."""
+    bands, n_rows = layout(percent)
+    rows = signs[:, : bands * n_rows].reshape(len(signs), bands, n_rows).astype(np.uint64)
+    h = np.broadcast_to(np.arange(bands, dtype=np.uint64), rows.shape[:2]).copy()
+    for r in range(n_rows):
+        h = bw.mixed(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
+    return h.view(np.int64)
+
+
+def sketches(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, fingerprint of the set, signature, keys of its bands) of every row."""
     import hashlib
 
@@ -80,11 +101,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 full = [k for k, s in enumerate(signs) if s is not None]
                 keys: list = [None] * len(sets)
                 if full:
-                    rows = np.stack([signs[k] for k in full]).reshape(len(full), BANDS, ROWS).astype(np.uint64)
-                    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2]).copy()
-                    for r in range(ROWS):
-                        h = bw.mixed(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
-                    for k, row in zip(full, h.view(np.int64)):
+                    for k, row in zip(full, band_keys(np.stack([signs[k] for k in full]), percent)):
                         keys[k] = row
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -123,7 +140,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
     side = lambda s: nodes.select(F.col("id").alias(s), F.col("sign").alias(f"sign_{s}"), F.col("n_shingles").alias(f"n_{s}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     agree = F.size(F.filter(F.zip_with("sign_u", "sign_v", lambda a, b: a == b), lambda x: x))
-    near = both.filter((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & (agree >= int((percent / 100 - SLACK) * BANDS * ROWS))).select("u", "v")
+    near = both.filter((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & (agree >= int((percent / 100 - SLACK) * MINIMA))).select("u", "v")
     full = near.join(sets.select(F.col("id").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("set_v")), "v")
     common = F.size(F.array_intersect("set_u", "set_v"))
     return full.filter(100 * common >= percent * (F.size("set_u") + F.size("set_v") - common)).select("u", "v")
@@ -131,7 +148,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the least id reachable, its own included) and kept (it is that id)."""
-    sketched = stored(sketches(docs, id_col, text_col), "minhash-sketches")
+    sketched = stored(sketches(docs, percent, id_col, text_col), "minhash-sketches")
     sets_by_print = sketched.filter("print IS NOT NULL AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     # equal sets are one node; an id with several texts is one node too, through these edges
     same = sketched.filter("print IS NOT NULL AND id IS NOT NULL").select("id", "print").join(sets_by_print.filter("copies > 1"), "print").filter("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
