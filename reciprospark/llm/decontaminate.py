@@ -6,8 +6,10 @@ distinct indexed terms are its query. Passages whose term-wise upper bounds, the
 threshold are passed over in bulk; for the others block-max WAND retrieves every item at or above the threshold.
 A retrieved item is a leak if the text around the passage holds enough of the 5-word shingles of the question and of the answer.
 
-The index is built from at most ``ITEMS_AT_ONCE`` items at a time (a bound on what is sent to the executors); more
-items take more passes over the texts.
+The index holds only what the items' words need and is built from at most ``ITEMS_AT_ONCE`` items and ``WORDS_AT_ONCE`` words
+at a time (a bound on what is sent to the executors; an item of more words is alone in its index); more items take more
+passes over the texts, each written before the next. Document frequencies, mean length and passage length are those of all
+items, so results don't depend on the number of passes.
 
 Defined cases: null and empty texts have no passage; items that are null or have no word are left out; with a null or empty
 answer the question alone counts, and the reverse; a part of fewer than five words counts as one shingle; repeated texts are judged each by itself; empty tables on either
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
+from .storage import dropped, stored
 
 K1, B = 1.2, 0.75
 #: Part of an item's own BM25 score from which it is retrieved.
@@ -38,6 +42,10 @@ STRIDE = 64
 #: Items of a block of the index.
 BLOCK = 8
 ITEMS_AT_ONCE = 20_000
+#: At most some 60 bytes of index each.
+WORDS_AT_ONCE = 1_000_000
+#: Bytes of items that the driver asks for at once.
+FETCHED = 16_000_000
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
@@ -75,9 +83,35 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+def _runs(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The whole numbers from each ``lo`` to below its ``hi``, one run after another."""
+    n = hi - lo
+    return np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+
+
+@dataclass
+class Statistics:
+    """Of all items that have words: their number, mean and greatest number of words; ``df(terms)`` gives the numbers of items that hold the sorted terms."""
+
+    n: int
+    mean: float
+    longest: int
+    df: Callable[[np.ndarray], np.ndarray]
+
+
+def hashed(question: str | None, answer: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of an item's two parts."""
+    q, a = (words_of(next(bw.text_slices(pa.array([x or ""], pa.string()))))[0] for x in (question, answer))
+    return q, a
+
+
 @dataclass
 class Index:
-    """Impacts by term: items ``item[at[t]:at[t + 1]]`` with ``impact``, those of block b from ``block_at[t, b]`` on; greatest impacts ``top`` by term and ``block_top`` by term and block."""
+    """Impacts by term: items ``item[at[t]:at[t + 1]]`` with ``impact``; greatest impacts ``top`` by term.
+
+    Blocks that hold term t: ``block[block_at[t]:block_at[t + 1]]``, each with its greatest impact ``block_top``; the postings of
+    such an entry e are those from ``entry_at[e]`` to ``entry_at[e + 1]``.
+    """
 
     item_ids: list
     parts: list[tuple[np.ndarray, np.ndarray]]
@@ -87,38 +121,41 @@ class Index:
     item: np.ndarray
     impact: np.ndarray
     top: np.ndarray
-    block_top: np.ndarray
     block_at: np.ndarray
+    block: np.ndarray
+    block_top: np.ndarray
+    entry_at: np.ndarray
 
     @staticmethod
     def of(items: list[tuple]) -> "Index | None":
-        """From (item id, question, answer) rows."""
-        ids, parts, bags = [], [], []
-        for item_id, question, answer in items:
-            (q, bound), (a, _) = (words_of(next(bw.text_slices(pa.array([x or ""], pa.string())))) for x in (question, answer))
-            if len(q) + len(a):
-                ids.append(item_id)
-                parts.append((q, a))
-                bags.append(np.unique(np.concatenate([q, a]), return_counts=True))
-        if not ids:
-            return None
+        """From (item id, question, answer) rows, which are all there are."""
+        rows = [(item_id, parts) for item_id, question, answer in items for parts in [hashed(question, answer)] if len(parts[0]) + len(parts[1])]
+        return Index.of_words([r[0] for r in rows], [r[1] for r in rows]) if rows else None
+
+    @staticmethod
+    def of_words(ids: list, parts: list[tuple[np.ndarray, np.ndarray]], statistics: Statistics | None = None) -> "Index":
+        """From the word hashes of items; without ``statistics`` these are all items."""
+        bags = [np.unique(np.concatenate(p), return_counts=True) for p in parts]
         terms, df = np.unique(np.concatenate([b[0] for b in bags]), return_counts=True)
-        idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
         sizes = np.array([b[1].sum() for b in bags])
+        n, mean, longest = len(ids), sizes.mean(), int(sizes.max())
+        if statistics is not None:
+            n, mean, longest, df = statistics.n, statistics.mean, statistics.longest, statistics.df(terms)
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
         rows = []
         for k, (t, tf) in enumerate(bags):
             place = np.searchsorted(terms, t)
-            score = idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[k] / sizes.mean()))
-            rows.append((place, np.full(len(t), k), score / score.sum()))
+            score = idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[k] / mean))
+            rows.append((place, np.full(len(t), k, np.int32), score / score.sum()))
         place, item, impact = (np.concatenate(c) for c in zip(*rows))
         order = np.lexsort((item, place))
         place, item, impact = place[order], item[order], impact[order]
-        block_top = np.zeros((len(terms), -(-len(ids) // BLOCK)), np.float32)
-        np.maximum.at(block_top, (place, item // BLOCK), np.nextafter(impact.astype(np.float32), np.float32(2)))
-        n_blocks = block_top.shape[1]
-        key = place * n_blocks + item // BLOCK
-        block_at = np.searchsorted(key, np.arange(len(terms))[:, None] * n_blocks + np.arange(n_blocks + 1))
-        return Index(ids, parts, max(STRIDE, int(sizes.max())), terms, np.searchsorted(place, np.arange(len(terms) + 1)), item, impact, block_top.max(1), block_top, block_at)
+        block = item // BLOCK
+        first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (block[1:] != block[:-1])))
+        block_top = np.maximum.reduceat(np.nextafter(impact.astype(np.float32), np.float32(2)), first)
+        block_at = np.searchsorted(place[first], np.arange(len(terms) + 1))
+        top = np.maximum.reduceat(block_top, block_at[:-1])
+        return Index(ids, parts, max(STRIDE, longest), terms, np.searchsorted(place, np.arange(len(terms) + 1)), item, impact, top, block_at, block[first], block_top, np.append(first, len(item)))
 
     def wand(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """Every (item, score) at or above the threshold for a set of terms, by block-max WAND.
@@ -126,12 +163,24 @@ class Index:
         Blocks whose summed maxima stay below the threshold are skipped as a whole; in the others the lists, cut to the block, are
         moved from pivot to pivot, with the block's maxima as bounds.
         """
-        tops = self.block_top[terms]
-        item, impact, found = self._lists()
-        for block in np.flatnonzero(tops.sum(0) >= threshold).tolist():
-            held = np.flatnonzero(tops[:, block] > 0)
-            own, bounds = terms[held], tops[held, block].tolist()
-            lists = [[lo, hi, bound] for lo, hi, bound in zip(self.block_at[own, block].tolist(), self.block_at[own, block + 1].tolist(), bounds)]
+        found = []
+        entry = _runs(self.block_at[terms], self.block_at[terms + 1])
+        block = self.block[entry]
+        held = np.bincount(block, self.block_top[entry])[block] >= threshold
+        if not held.any():
+            return found
+        entry, block = entry[held], block[held]
+        order = np.argsort(block, kind="stable")
+        entry, block = entry[order], block[order]
+        lo, hi = self.entry_at[entry], self.entry_at[entry + 1]
+        own = _runs(lo, hi)
+        # as Python lists, which single look-ups are faster on
+        item, impact = self.item[own].tolist(), self.impact[own].tolist()
+        ends = np.cumsum(hi - lo)
+        spans = list(zip((ends - hi + lo).tolist(), ends.tolist(), self.block_top[entry].tolist()))
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(spans)]):
+            lists = [list(c) for c in spans[first:last]]
             while lists:
                 lists.sort(key=lambda c: item[c[0]])
                 bound, pivot = 0.0, -1
@@ -157,12 +206,6 @@ class Index:
                 lists = [c for c in lists if c[0] < c[1]]
         return found
 
-    def _lists(self) -> tuple[list, list, list]:
-        """Items and impacts as Python lists, which single look-ups are faster on, and an empty list."""
-        if not hasattr(self, "_plain"):
-            self._plain = self.item.tolist(), self.impact.tolist()
-        return (*self._plain, [])
-
     def overlaps(self, k: int, words: np.ndarray) -> tuple[float, float]:
         """The parts of the shingles of item ``k``'s question and answer that ``words`` hold; an absent part counts as held."""
         out = []
@@ -216,15 +259,52 @@ class Index:
         return self._table
 
 
+def statistics_of(items: DataFrame, parts_of: Callable) -> Statistics:
+    """The statistics of all items, counted by Spark. ``items``: the columns ``parts_of`` takes, after the id."""
+
+    def run(batches):
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns[1:]]):
+                words = np.concatenate(hashed(*parts_of(*row)))
+                if len(words):
+                    terms = np.unique(words)
+                    yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array([len(words)] + [None] * (len(terms) - 1), pa.int64())], ["term", "size"])
+
+    # an item's number of words stands beside its first term
+    counted = stored(items.mapInArrow(run, "term long, size long").groupBy("term").agg(F.count("*").alias("df"), F.count("size").alias("n"), F.sum("size").alias("total"), F.max("size").alias("longest")), "item-terms")
+    n, total, longest = counted.agg(F.sum("n"), F.sum("total"), F.max("longest")).first()
+
+    def df(terms: np.ndarray) -> np.ndarray:
+        own = items.sparkSession.createDataFrame(pa.table({"term": terms.view(np.int64)}))
+        found = counted.select("term", "df").join(own, "term").toArrow()
+        at, out = found["term"].to_numpy().view(np.uint64), np.zeros(len(terms), np.int64)
+        out[np.searchsorted(terms, at)] = found["df"].to_numpy()
+        return out
+
+    return Statistics(n, total / n, longest, df)
+
+
 def indexes(items: DataFrame, id_col: str = "item_id", text_col: str | None = "text", question_col: str | None = None, answer_col: str | None = None):
-    """An ``Index`` after another, of at most ``ITEMS_AT_ONCE`` items each; from question and answer columns, or from a text column that is cut in two."""
-    shards = -(-items.count() // ITEMS_AT_ONCE)
-    columns = [F.col(id_col)] + ([F.col(question_col), F.col(answer_col)] if question_col else [F.col(text_col)])
-    for k in range(shards):
-        own = items.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)) == k).select(*columns).orderBy(id_col).collect()
-        index = Index.of([(r[0], r[1], r[2]) if question_col else (r[0], *question_and_answer(r[1])) for r in own])
-        if index is not None:
-            yield index
+    """(``Index``, whether it is the only one) after another, within the bounds; from question and answer columns, or from a text column that is cut in two."""
+    columns = [F.col(question_col), F.col(answer_col)] if question_col else [F.col(text_col)]
+    parts_of = (lambda q, a: (q, a)) if question_col else question_and_answer
+    own = items.select(F.col(id_col).alias("id"), *[c.cast("string").alias(f"part_{k}") for k, c in enumerate(columns)])
+    n_bytes = own.agg(F.sum(sum(F.coalesce(F.octet_length(f"part_{k}"), F.lit(0)) for k in range(len(columns))))).first()[0] or 0
+    ids, parts, n_words, statistics = [], [], 0, None
+    for row in own.repartition(max(1, -(-n_bytes // FETCHED))).toLocalIterator():
+        p = hashed(*parts_of(*row[1:]))
+        size = len(p[0]) + len(p[1])
+        if not size:
+            continue
+        if ids and (len(ids) >= ITEMS_AT_ONCE or n_words + size > WORDS_AT_ONCE):
+            statistics = statistics or statistics_of(own, parts_of)
+            yield Index.of_words(ids, parts, statistics), False
+            ids, parts, n_words = [], [], 0
+        ids.append(row[0])
+        parts.append(p)
+        n_words += size
+    if ids:
+        yield Index.of_words(ids, parts, statistics), statistics is None
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", **columns) -> DataFrame:
@@ -232,7 +312,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
     schema = f"doc {kind}, item {item_kind}, score double, question_overlap double, answer_overlap double"
     found = None
-    for index in indexes(items, item_id_col, **columns):
+    for index, only in indexes(items, item_id_col, **columns):
 
         def run(batches, index=index):
             for batch in batches:
@@ -244,6 +324,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), ids, *numbers], ["doc", "item", "score", "question_overlap", "answer_overlap"])
 
         own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+        own = own if only else stored(own, "leaks")
         found = own if found is None else found.unionByName(own)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
@@ -252,8 +333,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
 def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP, text_col: str = "text", item_id_col: str = "item_id", **columns) -> DataFrame:
     """The rows of ``docs`` whose text leaks no item, with their own columns; judged where they are read, without a join."""
-    place = docs.columns.index(text_col)
-    for index in indexes(items, item_id_col, **columns):
+    place, before = docs.columns.index(text_col), None
+    for index, only in indexes(items, item_id_col, **columns):
 
         def run(batches, index=index):
             for batch in batches:
@@ -263,4 +344,9 @@ def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not only:
+            docs = stored(docs, "without-leaks")
+            if before is not None:
+                dropped(before)
+            before = docs
     return docs
