@@ -274,39 +274,57 @@ def ring_points(image: DataFrame, geometry: Geometry, rings: list[tuple[int, flo
     return rows.groupBy("ring", "ring_angle", "sector").agg(best.alias("p")).select("ring", "ring_angle", "sector", "p.*")
 
 
-def reduced_cell(ub: np.ndarray, reach: int = 5) -> np.ndarray:
-    """The UB of the cell with the shortest edges whose axes are combinations (up to ``reach``) of the given ones; of equals the one with most angles off 90 degrees."""
+def reduced_cell(ub: np.ndarray, reach: int = 5) -> np.ndarray | None:
+    """The UB of the cell with the shortest edges whose axes are combinations (up to ``reach``) of the given ones; of equals the one with most angles off 90 degrees. None without a cell.
+
+    All combinations count: pairs of axes are taken by length, and the third axis is the first that gives the volume, until no
+    longer vector can improve the total.
+    """
+    ub = np.asarray(ub, float)
+    if not np.isfinite(ub).all() or np.linalg.cond(ub) > 1e12:
+        return None
     axes = np.linalg.inv(ub)
     n = np.array([(a, b, c) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) for c in range(-reach, reach + 1) if (a, b, c) > (0, 0, 0)])
     v = n @ axes
-    v = v[np.argsort(np.linalg.norm(v, axis=1), kind="stable")][:60]
-    volume, best, key = abs(np.linalg.det(axes)), None, None
+    order = np.argsort(np.linalg.norm(v, axis=1), kind="stable")
+    n, v = n[order], v[order]
+    best, key = None, None
     size = np.linalg.norm(v, axis=1)
-    for i in range(len(v)):
-        for j in range(i + 1, len(v)):
-            for k in range(j + 1, len(v)):
+    over = lambda total: key is not None and total > key[0] * 1.001
+    for i in range(len(v) - 2):
+        if over(size[i] + size[i + 1] + size[i + 2]):
+            break
+        for j in range(i + 1, len(v) - 1):
+            if over(size[i] + size[j] + size[j + 1]):
+                break
+            # the volume is that of the given cell where the combinations' determinant is 1
+            for k in (j + 1 + np.flatnonzero(np.abs(n[j + 1 :] @ np.cross(n[i], n[j])) == 1)).tolist():
                 total = size[i] + size[j] + size[k]
-                if key is not None and total > key[0] * 1.001:
+                if over(total):
                     break
                 m = v[[i, j, k]]
-                if abs(abs(np.linalg.det(m)) - volume) > 1e-3 * volume:
-                    continue
-                off = sum(abs(m[a] @ m[b]) > 1e-6 * size[i] * size[j] for a, b in ((0, 1), (0, 2), (1, 2)))
+                off = sum(abs(m[a] @ m[b]) > 1e-6 * np.linalg.norm(m[a]) * np.linalg.norm(m[b]) for a, b in ((0, 1), (0, 2), (1, 2)))
                 if key is None or total < key[0] * 0.999 or (total <= key[0] * 1.001 and off > key[1]):
                     best, key = m, (total if key is None else min(total, key[0]), off)
+    if best is None:
+        return None
     if np.linalg.det(best) < 0:
         best = -best
     return np.linalg.inv(best)
 
 
 def niggli_cells(ubs: DataFrame, reach: int = 5) -> DataFrame:
-    """(id, a, b, c, alpha, beta, gamma) of the reduced cell of each row (id, ub array of 9)."""
+    """(id, a, b, c, alpha, beta, gamma) of the reduced cell of each row (id, ub array of 9); nulls where ``ub`` is null, singular or has no cell."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for i, ub in zip(pdf["id"], pdf["ub"]):
-                m = np.linalg.inv(reduced_cell(np.asarray(ub, float).reshape(3, 3), reach))
+                cell = None if ub is None or len(ub) != 9 else reduced_cell(np.asarray(ub, float).reshape(3, 3), reach)
+                if cell is None:
+                    out.append((i, *[None] * 6))
+                    continue
+                m = np.linalg.inv(cell)
                 e = np.linalg.norm(m, axis=1)
                 ang = [math.degrees(math.acos(max(-1, min(1, m[p] @ m[q] / (e[p] * e[q]))))) for p, q in ((1, 2), (0, 2), (0, 1))]
                 out.append((i, *map(float, e), *ang))

@@ -555,11 +555,12 @@ def ring_points(spark, d):
 
 @query()
 def niggli_cells(spark, d):
-    """Reduced cells of one lattice per supplier."""
+    """Reduced cells of one lattice per supplier; every third has a long axis."""
     s = views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
     edge = [0.25 / (1 + (F.col("id") % m) / 10.0) for m in (5, 7, 11)]
+    edge[2] /= F.when(F.col("id") % 3 == 0, 8.0).otherwise(1.0)
     ub = F.array(edge[0], edge[1] * 0.2, F.lit(0.0), F.lit(0.0), edge[1], edge[2] * 0.1, F.lit(0.0), F.lit(0.0), edge[2])
-    found = orient.niggli_cells(s.select("id", ub.alias("ub")), 2)
+    found = orient.niggli_cells(s.select("id", ub.alias("ub")))
     return found.select("id", *[F.round(c, 5).alias(c) for c in ("a", "b", "c", "alpha", "beta", "gamma")])
 
 
