@@ -7,17 +7,20 @@ that share a band are candidates. A candidate is dropped if its signatures agree
 the full sets do: 100 * intersection >= percent * union.
 
 Not all pairs of a bucket are formed. First every text meets the hub of its fullest bucket, then the hubs of all its buckets;
-after each step components are taken. Of what is left, only texts that lie in one bucket and in different
-components are compared, pair by pair, so no link between components is lost whatever the size of a bucket; pairs inside
-a component can't change the result.
-
-Defined cases: null, empty and blank texts have an empty set and are linked with nothing; rows that repeat an id share
-its component and are judged by their own texts; rows with a null id are left out of linking and get a null
-component; an empty table gives an empty table; other columns don't take part.
+after each step components are taken. Texts of buckets that still hold several components are open. Two open texts are only compared if they
+share one of their rarest shingles at places that leave room for enough more in common (``prefixes``): a condition that every link
+meets, and that texts which have only a common template between them don't. So no link is lost whatever the size of a bucket;
+pairs inside a component can't change the result.
+
+Defined cases: null, empty and blank texts have an empty set and are linked with nothing; rows that repeat an id are
+one document, linked with whatever any of their texts is linked with; rows with a null id are left out of linking and get a null
+component; ids may be of any type that has an order; an empty table gives an empty table; other columns don't take part.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .components import components
-from .storage import stored
+from .storage import Scratch, stored
 
 SHINGLE = 5
 MINIMA = 126
@@ -33,6 +36,8 @@ MINIMA = 126
 MISSED = 5e-5
 #: Pairs whose signatures agree in a smaller part than the asked similarity less this (six standard deviations) are dropped.
 SLACK = 0.20
+#: Shingles are put in order by how full their place in a table of so many counts is (4 bytes each, sent to the executors); any order gives the same links.
+COUNTS = 1 << 19
 
 _draw = np.random.default_rng(20210607)
 _A = _draw.integers(1, 2**63, (MINIMA, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,15 +93,18 @@ def band_keys(signs: np.ndarray, percent: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def print_of(hashes: np.ndarray) -> bytes | None:
+    """128 bits that name a set; null for the empty one."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
 def sketches(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, fingerprint of the set, signature, keys of its bands) of every row."""
-    import hashlib
+    """(id, n_shingles, print of the set, signature, keys of its bands) of every row."""
 
     def run(batches):
         for batch in batches:
             for part in bw.text_slices(batch.column(1)):
                 sets = shingle_sets(part)
-                prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 signs = [signature(s) if len(s) else None for s in sets]
                 full = [k for k, s in enumerate(signs) if s is not None]
                 keys: list = [None] * len(sets)
@@ -107,7 +115,7 @@ def sketches(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
                     [
                         batch.column(0).slice(part.first, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(prints, pa.binary()),
+                        pa.array([print_of(s) for s in sets], pa.binary()),
                         pa.array([None if s is None else s.view(np.int32) for s in signs], pa.list_(pa.int32())),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
@@ -120,79 +128,122 @@ def sketches(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, set array<long>) of the documents whose id is in ``wanted`` (id)."""
+    """(num, set array<long>) of the nodes ``wanted`` (num, print, node). A node's text is read from a row of the id ``node``."""
 
     def run(batches):
         for batch in batches:
-            for part in bw.text_slices(batch.column(1)):
-                sets = [s.view(np.int64) for s in shingle_sets(part)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(sets)), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+            for part in bw.text_slices(batch.column(0)):
+                sets = shingle_sets(part)
+                yield pa.RecordBatch.from_arrays([pa.array([print_of(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["print", "set"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    if wanted.count() <= 2_000_000:  # 16 MB of ids
-        wanted = F.broadcast(wanted)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi")
-    return rows.mapInArrow(run, f"id {kind}, set array<long>").dropDuplicates(["id"])
+    ids = wanted.select(F.col("node").alias("id")).distinct()
+    if wanted.count() <= 500_000:  # 32 bytes each for integer ids
+        ids, wanted = F.broadcast(ids), F.broadcast(wanted)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi").select("text")
+    return rows.mapInArrow(run, "print binary, set array<long>").join(wanted.select("num", "print"), "print").select("num", "set").dropDuplicates(["num"])
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that are links: signatures first, then full sets. A set meets a pair once on either side."""
-    side = lambda s: nodes.select(F.col("id").alias(s), F.col("sign").alias(f"sign_{s}"), F.col("n_shingles").alias(f"n_{s}"))
+    side = lambda s: nodes.select(F.col("num").alias(s), F.col("sign").alias(f"sign_{s}"), F.col("n_shingles").alias(f"n_{s}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     agree = F.size(F.filter(F.zip_with("sign_u", "sign_v", lambda a, b: a == b), lambda x: x))
     near = both.filter((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & (agree >= int((percent / 100 - SLACK) * MINIMA))).select("u", "v")
-    full = near.join(sets.select(F.col("id").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("set_v")), "v")
+    full = near.join(sets.select(F.col("num").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("num").alias("v"), F.col("set").alias("set_v")), "v")
     common = F.size(F.array_intersect("set_u", "set_v"))
     return full.filter(100 * common >= percent * (F.size("set_u") + F.size("set_v") - common)).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def prefixes(open_: DataFrame, percent: int) -> DataFrame:
+    """(token, at, num, n, c) of the rarest shingles of each of ``open_`` (num, set, c): its first (100 - percent) percent and one more, with their places.
+
+    All sets are sorted by one order, rare shingles first. Let two sets of n and m <= n shingles be linked, and look at the first shingle
+    in this order that they share: what each has from there on must hold the whole intersection, so it lies among these places.
+    """
+    places = open_.select(F.explode("set").alias("token")).groupBy(F.shiftrightunsigned("token", 64 - COUNTS.bit_length() + 1).alias("place")).count().toArrow()
+    counts = np.zeros(COUNTS, np.int32)
+    counts[places["place"].to_numpy()] = np.minimum(places["count"].to_numpy(), 2**31 - 1)
+    shift = np.uint64(64 - COUNTS.bit_length() + 1)
+
+    def run(batches):
+        for batch in batches:
+            for num, c, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1)):
+                tokens = own.values.to_numpy(zero_copy_only=False)
+                order = np.lexsort((tokens, counts[(tokens.view(np.uint64) >> shift).astype(np.int64)]))
+                n = len(tokens)
+                first = order[: n * (100 - percent) // 100 + 1]
+                same = lambda x: pa.array(np.full(len(first), x, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[first]), pa.array(np.arange(len(first), dtype=np.int32)), same(num), same(n), same(c)], ["token", "at", "num", "n", "c"])
+
+    return open_.select("num", "set", "c").mapInArrow(run, "token long, at int, num long, n long, c long")
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of ``prefixes``' rows in different components that can be links. The smaller set needs fewer places."""
+    side = lambda s: rows.select("token", *[F.col(x).alias(f"{x}_{s}") for x in ("at", "num", "n", "c")])
+    short = side("b").filter((100 + percent) * (F.col("n_b") - F.col("at_b")) >= 2 * percent * F.col("n_b"))
+    need = percent * (F.col("n_a") + F.col("n_b"))
+    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("num_a") > F.col("num_b")))
+    room = ((100 + percent) * (F.col("n_a") - F.col("at_a")) >= need) & ((100 + percent) * (F.col("n_b") - F.col("at_b")) >= need)
+    met = side("a").withColumnRenamed("token", "token_a").join(short, (F.col("token_a") == F.col("token")) & larger & room & (F.col("c_a") != F.col("c_b")))
+    return met.select(F.greatest("num_a", "num_b").alias("u"), F.least("num_a", "num_b").alias("v")).distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the least id reachable, its own included) and kept (it is that id)."""
+    scratch = Scratch()
     sketched = stored(sketches(docs, percent, id_col, text_col), "minhash-sketches")
-    sets_by_print = sketched.filter("print IS NOT NULL AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    # equal sets are one node; an id with several texts is one node too, through these edges
-    same = sketched.filter("print IS NOT NULL AND id IS NOT NULL").select("id", "print").join(sets_by_print.filter("copies > 1"), "print").filter("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    nodes = sketched.join(sets_by_print.select("node", F.col("print").alias("p")), (F.col("id") == F.col("node")) & (F.col("print") == F.col("p")), "left_semi")
-    nodes = nodes.dropDuplicates(["id"]).select("id", "n_shingles", "sign", "bands")
+    linkable = sketched.filter("print IS NOT NULL AND id IS NOT NULL")
+    # equal sets are one node, with a number of its own
+    grouped = linkable.groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
+    nodes = scratch.stored(grouped.withColumn("num", F.monotonically_increasing_id()), "minhash-nodes")
+    again = _of_repeated_ids(linkable, nodes, scratch)
 
-    rows = nodes.select("id", F.explode("bands").alias("key"))
+    rows = nodes.select("num", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = stored(rows.join(shared, "key"), "minhash-buckets")
+    buckets = scratch.stored(rows.join(shared, "key"), "minhash-buckets")
     if not buckets.take(1):
-        return _report(sketched, components(same), id_col)
+        return _report(sketched, nodes, again, id_col, scratch)
     # the hub of a bucket: the text that stands with most others over all its buckets
-    weight = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
-    weighed = stored(buckets.join(weight, "id"), "minhash-weighed")
-    hubs = weighed.groupBy("key").agg(F.min_by("id", F.struct(-F.col("weight"), F.col("id"))).alias("hub"))
-    met = weighed.join(hubs, "key").filter("id <> hub").select("id", "hub", "size").groupBy("id", "hub").agg(F.count("*").alias("common"), F.max("size").alias("size"))
-    met = stored(met, "minhash-hubs")
-    wanted = buckets.select("id").distinct()
-    small = stored(nodes.join(wanted, "id", "left_semi").select("id", "n_shingles", "sign"), "minhash-nodes")
-    sets = stored(full_sets(docs, wanted, id_col, text_col), "minhash-sets")
-
-    pair = lambda a, b: (F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    best = met.groupBy("id").agg(F.max_by("hub", F.struct("common", "size", -F.col("hub"))).alias("hub")).select(*pair("id", "hub")).distinct()
-    links = stored(_links(best, small, sets, percent), "minhash-links")
+    weight = buckets.groupBy("num").agg(F.sum("size").alias("weight"))
+    weighed = scratch.stored(buckets.join(weight, "num"), "minhash-weighed")
+    hubs = weighed.groupBy("key").agg(F.min_by("num", F.struct(-F.col("weight"), F.col("num"))).alias("hub"))
+    met = weighed.join(hubs, "key").filter("num <> hub").select("num", "hub", "size").groupBy("num", "hub").agg(F.count("*").alias("common"), F.max("size").alias("size"))
+    met = scratch.stored(met, "minhash-hubs")
+    wanted = buckets.select("num").distinct()
+    small = scratch.stored(nodes.join(wanted, "num", "left_semi").select("num", "print", "node", "n_shingles", "sign"), "minhash-wanted")
+    sets = scratch.stored(full_sets(docs, small.select("num", "print", "node"), id_col, text_col), "minhash-sets")
+
+    pair = F.greatest("num", "hub").alias("u"), F.least("num", "hub").alias("v")
+    best = met.groupBy("num").agg(F.max_by("hub", F.struct("common", "size", -F.col("hub"))).alias("hub")).select(*pair).distinct()
+    links = scratch.stored(_links(best, small, sets, percent), "minhash-links")
     label = components(links)
 
     # every other hub of a text, where it isn't in the text's component by now
-    other = _apart(met.select(*pair("id", "hub")).distinct().join(best, ["u", "v"], "left_anti"), label)
-    links = links.unionByName(stored(_links(other, small, sets, percent), "minhash-links"))
+    other = _apart(met.select(*pair).distinct().join(best, ["u", "v"], "left_anti"), label)
+    links = links.unionByName(scratch.stored(_links(other, small, sets, percent), "minhash-links"))
     label = components(links)
 
-    # what is left: texts of one bucket in different components
-    in_bucket = buckets.select("key", "id").join(label.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-    in_bucket = stored(in_bucket, "minhash-open")
-    parts = in_bucket.groupBy("key", "c").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = in_bucket.join(largest, "key")
-    # one side is never of the bucket's largest component, so few of the pairs that meet are of one component
-    a = open_.filter("c <> main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-    b = open_.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), "main")
-    cross = a.join(b, "key").filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))).select(*pair("a", "b")).distinct()
-    cross = cross.join(best, ["u", "v"], "left_anti").join(met.select(*pair("id", "hub")).distinct(), ["u", "v"], "left_anti")
-    links = links.unionByName(stored(_links(cross, small, sets, percent), "minhash-links"))
-    return _report(sketched, components(links.unionByName(same)), id_col)
+    # what is left: texts of buckets that hold several components
+    in_bucket = buckets.select("key", "num").join(label.select(F.col("u").alias("num"), F.col("v").alias("c")), "num", "left").select("key", "num", F.coalesce("c", "num").alias("c"))
+    in_bucket = scratch.stored(in_bucket, "minhash-open")
+    mixed = in_bucket.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("key")
+    open_ = in_bucket.join(mixed, "key", "left_semi").select("num", "c").distinct()
+    open_ = scratch.stored(sets.join(open_, "num"), "minhash-open")
+    pairs = prefix_pairs(scratch.stored(prefixes(open_, percent), "minhash-prefixes"), percent)
+    links = links.unionByName(scratch.stored(_links(scratch.stored(pairs, "minhash-pairs"), small, sets, percent), "minhash-links"))
+    return _report(sketched, nodes, links.unionByName(again), id_col, scratch)
+
+
+def _of_repeated_ids(linkable: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (u, v) between the nodes of each id that has several texts."""
+    repeated = linkable.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    repeated = scratch.stored(repeated, "minhash-repeated")
+    if not repeated.take(1):
+        return nodes.sparkSession.createDataFrame([], "u long, v long")
+    own = linkable.select("id", "print").join(repeated, "id", "left_semi").distinct().join(nodes.select("print", "num"), "print")
+    least = own.groupBy("id").agg(F.min("num").alias("v"))
+    return scratch.stored(own.join(least, "id").filter("num <> v").select(F.col("num").alias("u"), "v").distinct(), "minhash-same")
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -202,22 +253,36 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
 
-def _report(sketched: DataFrame, label: DataFrame, id_col: str) -> DataFrame:
-    joined = sketched.select("id", "n_shingles").join(label.select(F.col("u").alias("id"), F.col("v").alias("least")), "id", "left")
-    component = F.coalesce("least", "id")
-    return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
-
-
-def drop_copies(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but one of each group, with their own columns. Of rows that repeat an id one stays."""
-    found = stored(near_duplicates(docs, percent, id_col, text_col), "minhash-kept")
-    gone = stored(found.filter(~F.col("kept")).select(id_col).distinct(), "minhash-gone")
-    if gone.count() <= 2_000_000:  # 16 MB of ids; more are joined by a shuffle
+def _report(sketched: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
+    label = components(links)
+    # (num, root) of the nodes that are linked, roots with themselves; a component's least id is the least of its nodes'
+    linked = label.select(F.col("u").alias("num"), F.col("v").alias("root")).unionByName(label.select(F.col("v").alias("num"), F.col("v").alias("root")).distinct())
+    linked = scratch.stored(linked.join(nodes.select("num", "print", "node"), "num"), "minhash-linked")
+    least = linked.groupBy("root").agg(F.min("node").alias("least"))
+    by_link = linked.join(least, "root").select("print", "least")
+    copied = nodes.filter("copies > 1").select("print", F.col("node").alias("least")).join(by_link.select("print"), "print", "left_anti")
+    by_print = stored(by_link.unionByName(copied), "minhash-classes")
+    scratch.clear()
+    full = sketched.filter("print IS NOT NULL").select("id", "n_shingles", "print").join(by_print, "print", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component"))
+    empty = sketched.filter("print IS NULL").select("id", "n_shingles", F.col("id").alias("component"))
+    every = full.unionByName(empty)
+    return every.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), (F.col("id").isNull() | (F.col("component") == F.col("id"))).alias("kept"))
+
+
+def drop_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one of each group, with their own columns.
+
+    Of rows that repeat an id one stays, that with the least text. Rows with a null id or an empty text and an id of their own stay.
+    """
+    found = stored(near_duplicates(docs, percent, id_col, text_col).select(F.col(id_col).alias("id"), "kept"), "minhash-kept")
+    gone = stored(found.filter(~F.col("kept")).select("id").distinct(), "minhash-gone")
+    if gone.count() <= 2_000_000:  # 16 MB of long ids; more are joined by a shuffle
         gone = F.broadcast(gone)
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    repeated = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col)
+    key = docs[id_col]
+    kept = docs.join(gone, key == gone["id"], "left_anti")
+    repeated = stored(found.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "minhash-repeated")
     if not repeated.take(1):
         return kept
-    repeated = stored(repeated, "minhash-repeated")
-    once = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, id_col, "left_anti").unionByName(once.select(*docs.columns))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.join(repeated, F.col(f"`{id_col}`") == repeated["id"], "left_semi").groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.min_by(whole, F.struct(F.col(f"`{text_col}`"), F.to_json(whole))).alias("row"))
+    return kept.join(repeated, F.col(f"`{id_col}`") == repeated["id"], "left_anti").unionByName(once.select("row.*"))

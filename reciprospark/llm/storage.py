@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (tests) a folder is made and set."""
+    """A new path below ``spark.checkpoint.dir``. Where that is unset a master on this machine (tests) gets a folder; a cluster must name one."""
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="reciprospark-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -32,3 +34,19 @@ def dropped(df: DataFrame) -> None:
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(conf).delete(path, True)
+
+
+class Scratch:
+    """Tables that a single computation stores, all deleted together when its result doesn't need them any more."""
+
+    def __init__(self):
+        self.kept: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.kept.append(stored(df, name))
+        return self.kept[-1]
+
+    def clear(self) -> None:
+        for df in self.kept:
+            dropped(df)
+        self.kept = []

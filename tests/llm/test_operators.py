@@ -66,7 +66,7 @@ def test_near_duplicates_against_all_pairs(spark):
             texts.append(" ".join(own))
             base = own if k % 2 else base
         texts.append(texts[-1])
-    found = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    found = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, texts), percent=85).collect()}
     sets = [sets_of(t) for t in texts]
     least = list(range(len(texts)))
     for _ in texts:
@@ -76,7 +76,7 @@ def test_near_duplicates_against_all_pairs(spark):
                     least[i] = least[j] = min(least[i], least[j])
     assert [found[i].component_id for i in range(len(texts))] == least
     assert [found[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
-    kept = minhash.drop_copies(docs(spark, texts))
+    kept = minhash.drop_copies(docs(spark, texts), percent=85)
     assert {r.doc_id for r in kept.collect()} == {i for i, c in enumerate(least) if c == i} and kept.columns[0] == "doc_id"
 
 
