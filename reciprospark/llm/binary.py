@@ -8,8 +8,9 @@ Documents are encoded where they are read; the ids, as 2 or 4 bytes each, are de
 with the bounds of the parts taken from the id column alone. Chunks decode independently; only documents that
 lie in several chunks are put together again by a shuffle.
 
-Defined cases: a null or empty text has the end id alone; documents with a null id come first; repeated rows are written
-each; an empty table gives an empty file set; other columns don't take part.
+Defined cases: ids are integers (others raise an error, for files are in the order of ids); a null or empty text has the end id alone; documents with
+a null id come first; repeated rows and rows that share an id are written each, one after another; a text of any length is written whole, over as many chunks as it needs; an empty table
+gives an empty file set; other columns, whatever their names, don't take part.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytewords as bw
 from . import tokens
 
 BLOCK = 1 << 16
@@ -73,6 +75,8 @@ class _Part:
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, planes: str = "byte", block: int = BLOCK) -> None:
     """Encodes every text, appends ``end_id`` and writes the chunk table to ``path`` in ascending order of the integer id."""
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be an integer column")
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = parts or 4 * shuffles
@@ -81,13 +85,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
 
     def encode(batches):
         model = tokens.opened(tokenizer)
-        tail = np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                own = batch.slice(lo, 512)
-                ids = [np.frombuffer(b, "<u4").astype(f"<u{width}").tobytes() + tail for b in model.encode(own.column(1).to_pylist())]
-                part = np.searchsorted(np.array(bounds, np.int64), own.column(0).fill_null(-(2**63)).to_numpy(), "right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), own.column(0), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
+            part = np.searchsorted(np.array(bounds, np.int64), batch.column(0).fill_null(-(2**63)).to_numpy(), "right").astype(np.int32)
+            for texts in bw.text_slices(batch.column(1)):
+                ids, n = model.ids(texts)
+                ends = np.cumsum(n + 1)
+                out = np.full(int(ends[-1]), end_id, f"<u{width}")
+                mine = np.ones(len(out), bool)
+                mine[ends - 1] = False
+                out[mine] = ids
+                offsets = width * np.concatenate([[0], ends])
+                rows = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([pa.array(part[texts.first : texts.first + len(n)]), batch.column(0).slice(texts.first, len(n)), rows], ["part", "doc_id", "ids"])
 
     def cut(batches):
         now = None

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone and whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -86,9 +86,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed(h + (ends - starts).astype(np.uint64))
 
 
-def word_spans(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, and for each text the number of its first word (one more number closes the list)."""
-    inside = ~_SPACE[part.data]
+def word_spans(part: Slice, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts, and for each text the number of its first word (one more number closes the list).
+
+    Words are ``[^\\x20\\x09-\\x0D]+``, or runs of the bytes that ``between`` doesn't mark.
+    """
+    inside = ~between[part.data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
