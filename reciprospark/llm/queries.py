@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import binary, decontaminate, minhash, quality, rollups, rules, spm, toxicity, urls, warc
-from .storage import shared_dir
+from .storage import shared_dir, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,14 +39,12 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents enter; those labelled toxic are deleted; those labelled low quality are counted again without symbols;
     the last two batches are committed once more, which changes nothing."""
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    tokenizer, store = public_tokenizers.path("byte_bpe_50k.json"), rollups.RollupStore(spark, shared_dir(spark, "rollups"))
-    store.commit("1-all", rollups.insertions(docs, {"byte_bpe_50k": tokenizer}))
-    toxic = labels.filter("toxic = 1").select("doc_id")
-    later = {
-        "2-toxic": docs.join(toxic, "doc_id", "left_semi").select(F.lit("delete").alias("op"), "doc_id", F.lit("byte_bpe_50k").alias("tokenizer"), "source", "lang", F.lit(0).alias("n_tokens")),
-        "3-cleaned": rollups.insertions(docs.join(labels.filter("quality = 0").select("doc_id"), "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", rules.SYMBOLS, "")), {"byte_bpe_50k": tokenizer}, op="revise"),
-    }
+    labels, store = _table(spark, sf_dir, "labels"), rollups.RollupStore(spark, shared_dir(spark, "rollups"))
+    # every text is counted once, with and without its symbols; from here on only counts move
+    counts = stored(rollups.counted(_table(spark, sf_dir, "documents"), {"byte_bpe_50k": public_tokenizers.path("byte_bpe_50k.json")}, without={"cleaned": rules.SYMBOLS}), "token-counts")
+    of = lambda condition: counts.join(labels.filter(condition).select("doc_id"), "doc_id", "left_semi")
+    store.commit("1-all", rollups.insertions(counts))
+    later = {"2-toxic": rollups.insertions(of("toxic = 1"), op="delete"), "3-cleaned": rollups.insertions(of("quality = 0"), op="revise", count_col="n_cleaned")}
     for batch_id in ("2-toxic", "3-cleaned", "2-toxic", "3-cleaned"):
         store.commit(batch_id, later[batch_id])
     return store.totals()

@@ -2,105 +2,151 @@
 
 A store keeps, per committed batch, a ledger (one row per document and tokenizer version that the batch touched, with its new
 count) and the batch's additive deltas by source, language and tokenizer version. Totals are the sum of the
-deltas of all batches. A batch is written under its own id: one that is already there is left
-alone, one that was cut off is overwritten, so committing again never counts twice.
+deltas of all batches. Batches have a sequence number of their own, in the order in which they were committed; a batch's id says
+only whether it is there already. A batch that is there is left alone, one that was cut off is written anew, so committing again
+never counts twice. A store has one writer at a time.
 
 Changes: ``insert`` (a known document is revised by it), ``delete`` and ``revise`` (nothing happens for an unknown document).
 Signed deltas come from joining the changes with the last known state. A document moves its whole
-count when a change gives it another source or language.
+count when a change gives it another source or language. After every ``COMPACT_AFTER`` batches the state is written as a snapshot, so that
+a commit reads one snapshot and a few ledgers, not the whole history.
+
+Texts are counted where they are read (``counted``); only counts are joined and shuffled.
 
 Defined cases: of several changes to one document and version in a batch the greatest (operation in the order delete, insert,
 revise; then count, source, language) holds, so repeated rows count once; rows with a null id or version are left out; null
-source or language is a group of its own; a null count is 0; empty batches commit; other columns don't take part.
+source or language is a group of its own; a null count is 0, and so is a null or empty text's; empty batches commit; other columns don't take part.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytewords as bw
 from . import tokens
 
 KEYS = ("source", "lang", "tokenizer")
-LEDGER = "doc_id long, tokenizer string, source string, lang string, n_tokens long, alive boolean"
 DELTAS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+#: Ledgers that a commit reads at most beside a snapshot.
+COMPACT_AFTER = 8
 
 
 class RollupStore:
-    """A store below ``path``, in a file system that driver and executors share."""
+    """A store below ``path``, in a file system that driver and executors share. ``id_type``: Spark's type of the document ids."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, id_type: str = "long"):
+        self.spark, self.path, self.id_type = spark, path.rstrip("/"), id_type
+        self.ledger = f"doc_id {id_type}, tokenizer string, source string, lang string, n_tokens long, alive boolean"
 
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _has(self, path: str) -> bool:
-        fs, p = self._fs(path)
-        return fs.exists(p)
+    def _whole(self, kind: str) -> list[tuple[int, str, str]]:
+        """(sequence number, batch id, path) of the finished folders of a kind, in order."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        done = [n for n in names if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{n}/_SUCCESS"))]
+        return sorted((int(n.split("-", 1)[0]), n.split("-", 1)[1], f"{self.path}/{kind}/{n}") for n in done)
 
     def batches(self) -> list[str]:
-        """Ids of the committed batches in the order of commitment, which the ids' sort order must follow."""
-        fs, p = self._fs(f"{self.path}/deltas")
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return sorted(n.removeprefix("batch=") for n in names if self._has(f"{self.path}/deltas/{n}/_SUCCESS"))
-
-    def state(self, before: str | None = None) -> DataFrame:
-        """The last ledger row of each document and version that is still there, over batches with ids below ``before``."""
-        ids = [b for b in self.batches() if before is None or b < before]
-        if not ids:
-            return self.spark.createDataFrame([], LEDGER).drop("alive")
-        rows = [self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger/batch={b}").withColumn("at", F.lit(k)) for k, b in enumerate(ids)]
-        every = rows[0]
-        for r in rows[1:]:
-            every = every.unionByName(r)
+        """Ids of the committed batches in the order of commitment."""
+        return [b for _, b, _ in self._whole("deltas")]
+
+    def _rows(self) -> tuple[DataFrame | None, int]:
+        """The rows of the last snapshot and of the ledgers after it, with ``at``, and the number of these ledgers."""
+        snapshots = self._whole("snapshots")[-1:]
+        upto = snapshots[0][0] if snapshots else 0
+        later = [(k, b) for k, b, _ in self._whole("deltas") if k > upto]
+        parts = [(upto, p) for _, _, p in snapshots] + [(k, f"{self.path}/ledger/{k:09d}-{b}") for k, b in later]
+        every = None
+        for k, path in parts:
+            rows = self.spark.read.schema(self.ledger).parquet(path).withColumn("at", F.lit(k))
+            every = rows if every is None else every.unionByName(rows)
+        return every, len(later)
+
+    def state(self) -> DataFrame:
+        """The last row of each document and version that is still there."""
+        every, _ = self._rows()
+        if every is None:
+            return self.spark.createDataFrame([], self.ledger).drop("alive")
         last = every.groupBy("doc_id", "tokenizer").agg(F.max_by(F.struct("source", "lang", "n_tokens", "alive"), "at").alias("s"))
         return last.filter("s.alive").select("doc_id", "tokenizer", "s.source", "s.lang", "s.n_tokens")
 
+    def compact(self) -> None:
+        """Writes the state as a snapshot; ledgers before it aren't read any more."""
+        upto = self._whole("deltas")[-1:]
+        if upto:
+            self.state().withColumn("alive", F.lit(True)).write.mode("overwrite").parquet(f"{self.path}/snapshots/{upto[0][0]:09d}-state")
+
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Commits ``changes`` (op, doc_id, tokenizer, source, lang, n_tokens) once. False: the batch was there already."""
-        ledger, deltas = f"{self.path}/ledger/batch={batch_id}", f"{self.path}/deltas/batch={batch_id}"
-        if self._has(f"{deltas}/_SUCCESS"):
+        if not re.fullmatch(r"[\w.=-]+", batch_id):
+            raise ValueError(f"a batch id is made of letters, digits and _ . = -, not {batch_id!r}")
+        there = self._whole("deltas")
+        if batch_id in (b for _, b, _ in there):
             return False
+        if self._rows()[1] >= COMPACT_AFTER:
+            self.compact()
+        name = f"{there[-1][0] + 1 if there else 1:09d}-{batch_id}"
         rank = F.when(F.col("op") == "delete", 0).when(F.col("op") == "insert", 1).when(F.col("op") == "revise", 2)
         row = F.struct(rank.alias("rank"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "source", "lang")
-        asked = changes.filter("doc_id IS NOT NULL AND tokenizer IS NOT NULL").filter(rank.isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "tokenizer").agg(F.max(row).alias("new"))
-        known = self.state(batch_id).select("doc_id", "tokenizer", F.struct("source", "lang", "n_tokens").alias("old"))
+        asked = changes.filter("doc_id IS NOT NULL AND tokenizer IS NOT NULL").filter(rank.isNotNull()).groupBy(F.col("doc_id").cast(self.id_type).alias("doc_id"), "tokenizer").agg(F.max(row).alias("new"))
+        known = self.state().select("doc_id", "tokenizer", F.struct("source", "lang", "n_tokens").alias("old"))
         met = asked.join(known, ["doc_id", "tokenizer"], "left").filter("new.rank = 1 OR old IS NOT NULL")
         keep = F.col("new.rank") > 0
         pick = lambda c: F.when(keep, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c)
         old = lambda c: F.col(f"old.{c}").alias(f"old_{c}")
         full = met.select("doc_id", "tokenizer", pick("source"), pick("lang"), pick("n_tokens"), keep.alias("alive"), F.col("old").isNotNull().alias("was"), old("source"), old("lang"), old("n_tokens"))
-        full.write.mode("overwrite").parquet(ledger)
-        done = self.spark.read.schema(full.schema).parquet(ledger)
+        full.write.mode("overwrite").parquet(f"{self.path}/ledger/{name}")
+        done = self.spark.read.schema(full.schema).parquet(f"{self.path}/ledger/{name}")
         plus = done.filter("alive").select(*KEYS, F.lit(1).alias("d"), F.col("n_tokens").alias("t"))
         minus = done.filter("was").select(F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), "tokenizer", F.lit(-1).alias("d"), (-F.col("old_n_tokens")).alias("t"))
         summed = plus.unionByName(minus).groupBy(*KEYS).agg(F.sum("d").cast("long").alias("n_docs"), F.sum("t").cast("long").alias("n_tokens"))
-        summed.coalesce(1).write.mode("overwrite").parquet(deltas)
+        summed.write.mode("overwrite").parquet(f"{self.path}/deltas/{name}")
         return True
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches, groups without documents left out."""
-        every = self.spark.createDataFrame([], DELTAS)
-        for b in self.batches():
-            every = every.unionByName(self.spark.read.schema(DELTAS).parquet(f"{self.path}/deltas/batch={b}"))
+        paths = [p for _, _, p in self._whole("deltas")]
+        every = self.spark.read.schema(DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], DELTAS)
         return every.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 OR n_tokens <> 0")
 
 
-def insertions(docs: DataFrame, tokenizers: dict[str, str], op: str = "insert", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """Changes that count every whole text under each tokenizer (version name -> file)."""
+def counted(docs: DataFrame, tokenizers: dict[str, str], without: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, source, lang, tokenizer, n_tokens) of every whole text under each tokenizer (version name -> file).
 
-    def count(batches):
+    ``without`` (name -> pattern) adds a column n_<name>: the count of the text without what the pattern (for ``re``, on strings) finds.
+    """
+    others = {name: re.compile(pattern) for name, pattern in (without or {}).items()}
+
+    def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                own = batch.slice(lo, 512)
-                texts = own.column(3).to_pylist()
+            for part in bw.text_slices(batch.column(3)):
+                n_texts = len(part.starts)
+                own = batch.slice(part.first, n_texts)
+                cut = {}  # per name: numbers of the texts that change, and these
+                for name, pattern in others.items():
+                    texts = [(k, new) for k, old in enumerate(own.column(3).to_pylist()) if old for new, found in [pattern.subn("", old)] if found]
+                    cut[name] = [k for k, _ in texts], pa.array([t for _, t in texts], pa.string())
                 for version, path in tokenizers.items():
-                    n = [len(ids) // 4 for ids in tokens.opened(path).encode(texts)]
-                    same = lambda value: pa.array([value] * len(n), pa.string())
-                    yield pa.RecordBatch.from_arrays([same(op), own.column(0), same(version), own.column(1), own.column(2), pa.array(n, pa.int64())], ["op", "doc_id", "tokenizer", "source", "lang", "n_tokens"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(count, "op string, doc_id long, tokenizer string, source string, lang string, n_tokens long")
+                    model = tokens.opened(path)
+                    n = model.counts(part)
+                    more = []
+                    for at, texts in cut.values():
+                        changed = n.copy()
+                        changed[at] = np.concatenate([np.zeros(0, np.int64), *[model.counts(p) for p in bw.text_slices(texts)]])
+                        more.append(pa.array(changed, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array([version] * n_texts, pa.string()), pa.array(n, pa.int64()), *more], names)
+
+    names = ["doc_id", "source", "lang", "tokenizer", "n_tokens", *[f"n_{name}" for name in others]]
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, source string, lang string, tokenizer string, " + ", ".join(f"{n} long" for n in names[4:]))
+
+
+def insertions(counts: DataFrame, op: str = "insert", count_col: str = "n_tokens") -> DataFrame:
+    """``counted`` rows as changes of one kind."""
+    return counts.select(F.lit(op).alias("op"), "doc_id", "tokenizer", "source", "lang", F.col(count_col).alias("n_tokens"))
