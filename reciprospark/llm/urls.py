@@ -10,8 +10,8 @@ Everything is DataFrame work: URLs are exploded to (context, character) grams an
 partial aggregation; only distinct grams meet the count tables; two means and variances reach the driver.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is judged by
-the model as an empty string; without accepted or without rejected URLs the model allows; rows that repeat are
-judged each by itself; an empty table gives an empty table; other columns don't take part.
+the model as an empty string; URLs of any length are judged whole; without accepted or without rejected URLs the model allows; even odds allow; rows that repeat are
+judged each by itself, and in the counts each; ids may be of any type and null; an empty table gives an empty table; other columns, whatever their names, don't take part.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import free
 from .storage import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,8 +72,8 @@ def longest_rule(rules: tuple[HostRule, ...], host: Column, path: Column) -> Col
 
 
 def split_urls(pages: DataFrame, rules: tuple[HostRule, ...], id_col: str, url_col: str) -> DataFrame:
-    """(id, host, path, rule, ruled): ruled is the verdict of the rule, null without one."""
-    parts = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    """(row_id, host, path, rule, ruled): ruled is the verdict of the rule, null without one."""
+    parts = pages.select(F.col(id_col).alias("row_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     parts = parts.withColumn("rule", longest_rule(rules, F.col("host"), F.col("path")))
     verdict = F.coalesce(*[F.when(F.col("rule") == r.text, F.lit(r.verdict)) for r in rules]) if rules else F.lit(None).cast("string")
     return parts.withColumn("ruled", verdict)
@@ -104,7 +105,11 @@ def log_ratios(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     seen = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
     contexts = shorter.groupBy(context.alias("context")).agg(F.sum("a").alias("na"), F.sum("r").alias("nr"), seen("a").alias("ta"), seen("r").alias("tr"))
     asked = wanted.select("gram", F.posexplode(F.transform(orders, lambda k: suffix(F.col("gram"), k))).alias("k", "g")).withColumn("context", context)
-    found = asked.join(contexts, "context", "left").join(shorter, "g", "left")
+    # every gram asks for the empty context, which would be one key of a fifth of the rows: its four numbers go into the plan
+    whole = contexts.filter("context = ''").first()
+    found = asked.filter("k > 0").join(contexts.filter("context <> ''"), "context", "left").unionByName(
+        asked.filter("k = 0").select("*", *[F.lit(whole[c] if whole else None).cast("long").alias(c) for c in ("na", "nr", "ta", "tr")])
+    ).join(shorter, "g", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c)
     by_order = found.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("k", *[zero(c) for c in ("a", "r", "na", "nr", "ta", "tr")]))).alias("orders"))
 
@@ -132,7 +137,8 @@ def calibration(held_out: DataFrame) -> tuple[float, float]:
 
 
 def url_filter(pages: DataFrame, rules: tuple[HostRule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Per row of ``pages``: id, host, path, rule, verdict, ratio and probability (both null where a rule decides)."""
+    """Per row of ``pages``: id, host, path, rule, verdict, ratio and probability (both null where a rule decides); beside an id column of such a name with an underscore behind it."""
+    named_out = lambda df: df.select(F.col("row_id").alias(id_col), *[F.col(c).alias(free(c, id_col)) for c in df.columns[1:]])
     urls = split_urls(pages, rules, id_col, url_col)
     named = urls.withColumn("name", F.xxhash64("host", "path"))
     decided, open_ = named.filter("ruled IS NOT NULL"), named.filter("ruled IS NULL")
@@ -143,10 +149,10 @@ def url_filter(pages: DataFrame, rules: tuple[HostRule, ...] = RULES, id_col: st
     if not (both[0] and both[1]):
         verdict = F.coalesce("ruled", F.lit("allow"))
         none = F.lit(None).cast("double")
-        return urls.select(id_col, "host", "path", "rule", verdict.alias("verdict"), none.alias("ratio"), none.alias("probability"))
+        return named_out(urls.select("row_id", "host", "path", "rule", verdict.alias("verdict"), none.alias("ratio"), none.alias("probability")))
     ratios = stored(log_ratios(counts, grams(to_score).distinct()), "url-ratios")
     slope, middle = calibration(scored(decided.filter(held), ratios, "name", "ruled"))
-    keep = [id_col, "host", "path", "rule"]
+    keep = ["row_id", "host", "path", "rule"]
     probability = 1 / (1 + F.exp(-slope * (F.col("ratio") - middle)))
     # equal strings have equal scores, so each distinct string is scored once
     scores = scored(open_.select("name", "host", "path").distinct(), ratios, "name", "host", "path")
@@ -154,4 +160,4 @@ def url_filter(pages: DataFrame, rules: tuple[HostRule, ...] = RULES, id_col: st
     by_model = judged.select(*keep, F.when(F.col("probability") >= 0.5, "allow").otherwise("block").alias("verdict"), "ratio", "probability")
     none = F.lit(None).cast("double")
     by_rule = decided.select(*keep, F.col("ruled").alias("verdict"), none.alias("ratio"), none.alias("probability"))
-    return by_rule.unionByName(by_model)
+    return named_out(by_rule.unionByName(by_model))

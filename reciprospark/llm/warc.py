@@ -6,24 +6,25 @@ largest id is the response and the others are revisits that refer to it. Records
 expressions and written by Spark's text writer, whose line separator is the WARC record end; files are gzip streams of
 at most ``RECORDS_PER_FILE`` pages each, in any file system that Spark writes to.
 
-Reading: archives are parsed by Content-Length, record by record from a streaming decompressor, so a payload may hold
-anything. Request, response and metadata records are joined through their concurrent-to identifiers into
+Reading: Spark's text reader streams gzip files (of any number of members) in pieces that end where a record may end; records are put together by
+Content-Length, so a payload may hold anything and no file is held whole. Files that aren't compressed are read whole, one a row. Request, response and
+metadata records are joined through their concurrent-to identifiers, of which a record may have several and which either side may give, into
 one nested row per capture.
 
-Defined cases: a null html is an empty payload; a null url is left out of the headers and comes back null; rows that repeat an id are captures of
-their own with equal identifiers, assembled as one; a null id is dropped; a capture without request or
-metadata has null there; an empty table gives an empty archive; other columns don't take part.
+Defined cases: a null html is an empty payload; a null url is left out of the headers and comes back null; rows that repeat an id are captures with
+equal identifiers, a row each; a null id is dropped; of several requests or metadata records of a capture the greatest counts; a capture without request or
+metadata has null there; records without a capture are left out; an empty table gives an empty archive; other columns, whatever their names, don't take part.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .components import components
 from .storage import stored
 
 MIN_REVISIT = 1000
@@ -31,7 +32,7 @@ RECORDS_PER_FILE = 4000
 #: Date written into records whose capture time isn't known.
 NO_DATE = "1970-01-01T00:00:00Z"
 END = "\r\n\r\n"
-RECORDS = "record_id string, record_type string, concurrent_to string, target_uri string, refers_to string, header_digest string, fields map<string,string>, http_headers string, http_length long, payload binary"
+RECORDS = "record_id string, record_type string, concurrent_to array<string>, target_uri string, refers_to string, header_digest string, fields map<string,string>, http_headers string, http_length long, payload binary"
 
 
 def _record_id(kind: str, page_id: Column) -> Column:
@@ -80,26 +81,9 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def _inflated(raw: memoryview) -> Iterator[bytes]:
-    """The plain bytes of a file: gzip with any number of members, or not compressed."""
-    if bytes(raw[:2]) != b"\x1f\x8b":
-        yield from (bytes(raw[k : k + (1 << 20)]) for k in range(0, len(raw), 1 << 20))
-        return
-    press, at = zlib.decompressobj(31), 0
-    while at < len(raw):
-        piece = bytes(raw[at : at + (1 << 18)])
-        at += len(piece)
-        while piece:
-            yield press.decompress(piece)
-            if not press.eof:
-                break
-            piece, press = press.unused_data, zlib.decompressobj(31)
-    yield press.flush()
-
-
-def parse(raw: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of a file."""
-    source, held, at = _inflated(raw), b"", 0
+def parse(source: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record of plain bytes that come in pieces. Values of a repeated header are parted by line ends."""
+    held, at = b"", 0
 
     def more() -> bool:
         nonlocal held, at
@@ -121,7 +105,10 @@ def parse(raw: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
         lines = held[at:cut].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a record: {lines[0][:60]!r}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        headers: dict[str, str] = {}
+        for name, _, value in (line.partition(":") for line in lines[1:]):
+            name = name.strip().lower()
+            headers[name] = f"{headers[name]}\n{value.strip()}" if name in headers else value.strip()
         at, size = cut + 4, int(headers["content-length"])
         if len(held) - at < size:  # many pieces at once: joined once
             pieces, have = [held[at:]], len(held) - at
@@ -136,52 +123,78 @@ def parse(raw: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
         at += size
 
 
+def _rows(source: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """``RECORDS`` of the plain bytes of whole files, some megabytes at a time."""
+    names = [c.split()[0] for c in RECORDS.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64(), pa.binary()]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
+    rows, size = [], 0
+    for h, block in parse(source):
+        http = payload = length = None
+        fields: dict[str, str] = {}
+        if h.get("content-type", "").startswith("application/http"):
+            head, _, body = block.partition(b"\r\n\r\n")
+            http = head.decode("utf-8", "replace")
+            said = [line.partition(":")[2].strip() for line in http.split("\r\n") if line.lower().startswith("content-length:")]
+            length = int(said[0]) if said and said[0].isdigit() else None
+            payload = body if h.get("warc-type") == "response" else None
+        elif h.get("content-type", "").startswith("application/warc-fields"):
+            fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n") if x)}
+        digest = h.get("warc-payload-digest", "").partition(":")[2] or None
+        near = h["warc-concurrent-to"].split("\n") if "warc-concurrent-to" in h else []
+        rows.append((h.get("warc-record-id"), h.get("warc-type"), near, h.get("warc-target-uri"), h.get("warc-refers-to"), digest, list(fields.items()), http, length, payload))
+        size += len(block) + 500
+        if size > 1 << 22:
+            yield batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield batch(rows)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A row per record of the archive's files (``RECORDS``)."""
-    names = [c.split()[0] for c in RECORDS.split(", ")]
-    kinds = [pa.string()] * 6 + [pa.map_(pa.string(), pa.string()), pa.string(), pa.int64(), pa.binary()]
 
-    def run(batches):
+    def streamed(batches):
+        yield from _rows(piece.as_py() + END.encode() for batch in batches for piece in batch.column(0))
+
+    def whole(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows, size = [], 0
-                for h, block in parse(memoryview(content.as_buffer())):
-                    http = payload = length = None
-                    fields = []
-                    if h.get("content-type", "").startswith("application/http"):
-                        head, _, body = block.partition(b"\r\n\r\n")
-                        http = head.decode("utf-8", "replace")
-                        said = [line.partition(":")[2].strip() for line in http.split("\r\n") if line.lower().startswith("content-length:")]
-                        length = int(said[0]) if said and said[0].isdigit() else None
-                        payload = body if h.get("warc-type") == "response" else None
-                    elif h.get("content-type", "").startswith("application/warc-fields"):
-                        fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n") if x)]
-                    digest = h.get("warc-payload-digest", "").partition(":")[2] or None
-                    rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-refers-to"), digest, fields, http, length, payload))
-                    size += len(block)
-                    if size > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, RECORDS)
+                raw = memoryview(content.as_buffer())
+                yield from _rows(bytes(raw[k : k + (1 << 20)]) for k in range(0, len(raw), 1 << 20))
+
+    packed = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(path).select(F.col("value").cast("binary")).mapInArrow(streamed, RECORDS)
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*[!z]").load(path).select("content").mapInArrow(whole, RECORDS)
+    return packed.unionByName(plain)
 
 
 def captures(records: DataFrame) -> DataFrame:
     """One nested row per capture: record_id, page_id, target_uri, request, response (with payload, or of a revisit without), metadata.
 
-    Request and metadata records are few bytes each: they are gathered by the record that they name, then meet it in one join.
+    Request and metadata records go to the captures that they name or that name them; where there are none, to the least capture that
+    can be reached through concurrent-to identifiers. They are few bytes each: gathered by capture, then met in one join.
     """
-    about = records.filter("record_type IN ('request', 'metadata') AND concurrent_to IS NOT NULL").groupBy(F.col("concurrent_to").alias("record_id")).agg(
+    capture = F.col("record_type").isin("response", "revisit")
+    light = records.filter("record_id IS NOT NULL").select("record_id", "record_type", capture.alias("capture"), "concurrent_to", F.when(~capture, F.col("http_headers")).alias("http_headers"), "fields")
+    kinds = stored(light, "warc-identifiers")
+    named = kinds.select(F.col("record_id").alias("u"), F.explode("concurrent_to").alias("v"), "capture").filter("u <> v")
+    is_capture = kinds.filter("capture").select("record_id").distinct()
+    forth = named.filter("NOT capture").join(is_capture, F.col("v") == F.col("record_id"), "left").select("u", "v", F.col("record_id").isNotNull().alias("met"))
+    back = named.filter("capture").select(F.col("v").alias("u"), F.col("u").alias("v"))
+    of = stored(forth.filter("met").select("u", "v").unionByName(back).distinct().withColumnsRenamed({"u": "record_id", "v": "capture_id"}), "warc-partners")
+    lost = forth.filter("NOT met").select("u").distinct().join(of, F.col("u") == F.col("record_id"), "left_anti")
+    if lost.take(1):  # records that reach a capture only through others
+        edges = named.select("u", "v")
+        label = components(edges)
+        label = label.unionByName(label.select(F.col("v").alias("u"), "v").distinct())
+        root = label.join(is_capture, F.col("u") == F.col("record_id")).groupBy("v").agg(F.min("u").alias("capture_id"))
+        of = of.unionByName(lost.join(label, "u").join(root, "v").select(F.col("u").alias("record_id"), "capture_id"))
+    about = kinds.filter("record_type IN ('request', 'metadata')").join(of, "record_id").groupBy(F.col("capture_id").alias("record_id")).agg(
         F.max(F.when(F.col("record_type") == "request", F.struct("record_id", "http_headers"))).alias("request"),
         F.max_by(F.struct("record_id", "fields"), F.when(F.col("record_type") == "metadata", F.col("record_id"))).alias("metadata"),
     )
-    main = records.filter("record_type IN ('response', 'revisit')").select(
-        "record_id", "target_uri", F.struct("record_type", "http_headers", "http_length", "header_digest", "refers_to", "payload").alias("response")
-    )
-    joined = main.join(about, "record_id", "left")
+    responses = records.filter(capture).select("record_id", "target_uri", F.struct("record_type", "http_headers", "http_length", "header_digest", "refers_to", "payload").alias("response"))
+    joined = responses.join(about, "record_id", "left")
     return joined.select("record_id", F.col("metadata.fields")["pageId"].cast("long").alias("page_id"), "target_uri", "request", "response", "metadata")
 
 
@@ -198,5 +211,5 @@ def payload_report(found: DataFrame) -> DataFrame:
     )
     rows = stored(rows, "warc-report")
     named = rows.filter("refers_id IS NOT NULL").select("refers_id").distinct()
-    originals = rows.select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to")).join(named, "refers_id", "left_semi")
+    originals = rows.select(F.col("record_id").alias("refers_id"), "page_id").join(named, "refers_id", "left_semi").groupBy("refers_id").agg(F.max("page_id").alias("refers_to"))
     return rows.join(originals, "refers_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
