@@ -6,9 +6,9 @@ exactly in integers by Spark. A document pools its tokens' vectors (mean, spread
 neighbours). A network with one hidden layer is fitted on a bounded sample of labelled rows, and a temperature
 fitted on rows held back makes its outputs probabilities.
 
-Defined cases: null and empty texts pool to zeros and score as such; labels that are null or absent leave
-a row unlabelled; without both classes every text scores 0.5; repeated rows are scored each by itself; an
-empty table gives an empty table; other columns don't take part.
+Defined cases: null and empty texts pool to zeros and score as such; texts of any length are pooled whole; labels that are null or absent leave
+a row unlabelled; of several labels of one id the greatest counts; of rows that share a labelled id each is learnt from; without both classes every text
+scores 0.5; repeated rows are scored each by itself; an empty table gives an empty table; other columns, whatever their names, don't take part.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
+from .names import free
 
 #: Word vectors: hash buckets, dimensions, nonzero entries of an index vector, neighbours on either side.
 BUCKETS = 1 << 14
@@ -173,7 +174,7 @@ def fitted(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, trains, id_c
 
 
 def scores(docs: DataFrame, vectors: np.ndarray, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row, ``score`` the probability of label 1."""
+    """(id, score) of every row, ``score`` the probability of label 1 (``score_`` beside an id column of that name)."""
 
     def run(batches):
         for batch in batches:
@@ -181,4 +182,4 @@ def scores(docs: DataFrame, vectors: np.ndarray, network: Network, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double").select(F.col("id").alias(id_col), F.col("score").alias(free("score", id_col)))
