@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 FAILED, NOT_STARTED, QUEUED, RUNNING, DONE = -1, 0, 1, 2, 3
+#: Groups in which new records are numbered.
+SLOTS = 1024
 #: Steps that must be done in every entry before a step may start.
 NEEDS = (("refine", "find"), ("transform", "refine"), ("combine", "transform"), ("pdf", "combine"))
 
@@ -53,12 +55,20 @@ def catalog_status(finished: DataFrame) -> DataFrame:
 
 
 def record_task(tasks: DataFrame, new: DataFrame) -> DataFrame:
-    """The records with ``new`` ones added under ids that go on from the highest; a record that is there already (same keys and times) isn't added again."""
+    """The records with ``new`` ones added under ids that go on from the highest; a record that is there already (same keys and times) isn't added again.
+
+    Both may have further columns (machine, parameters, start and end times, process id); what one side lacks is null there.
+    """
     keys = ["file", "task", "entry", "subentry", "queue_time"]
     fresh = new.join(tasks.select(*keys), [new[k].eqNullSafe(tasks[k]) for k in keys], "left_anti")
     top = tasks.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    order = Window.partitionBy(F.lit(1)).orderBy(*[F.col(k) for k in keys])  # a batch of records is small
-    return tasks.unionByName(fresh.withColumn("id", top + F.row_number().over(order)), allowMissingColumns=True)
+    # numbered within slots, and the slots (a fixed number) by what lies before them
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+    placed = fresh.withColumn("slot", slot).withColumn("k", F.row_number().over(Window.partitionBy("slot").orderBy(*keys)))
+    sizes = placed.groupBy("slot").agg(F.count("*").alias("own"))
+    before = sizes.select("slot", (F.sum("own").over(Window.partitionBy(F.lit(1)).orderBy("slot")) - F.col("own")).alias("before"))
+    numbered = placed.join(F.broadcast(before), "slot").withColumn("id", top + F.col("before") + F.col("k")).drop("slot", "k", "before")
+    return tasks.unionByName(numbered, allowMissingColumns=True)
 
 
 def new_scans(files: DataFrame, listed: DataFrame) -> DataFrame:
@@ -119,8 +129,31 @@ def select_scans(scans: DataFrame, prefix: str) -> DataFrame:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key of a scan name: its numbers in order, then the name."""
-    return F.struct(F.transform(F.regexp_extract_all(name, F.lit(r"(\d+)")), lambda s: s.cast("long")).alias("numbers"), name.alias("name"))
+    """Sort key of a scan name: text and numbers in turn, numbers by value, as an array of (text, number)."""
+    numbers = F.transform(F.regexp_extract_all(name, F.lit(r"(\d+)")), lambda s: s.cast("long"))
+    return F.transform(F.arrays_zip(F.split(name, r"\d+", -1).alias("text"), numbers.alias("number")), lambda x: F.struct(x["text"].alias("text"), F.coalesce(x["number"], F.lit(-1)).alias("number")))
+
+
+def task_start(tasks: DataFrame, chosen: Column, now: Column, machine: Column | None = None, pid: Column | None = None) -> DataFrame:
+    """Chosen records running from ``now``; a record without a queue time was queued then."""
+    put = lambda c, v: F.when(chosen, v).otherwise(F.col(c) if c in tasks.columns else None).alias(c)
+    changed = {"status": F.lit(RUNNING), "queue_time": F.coalesce("queue_time", now), "start_time": now, "end_time": F.lit(None).cast("string"), "machine": F.lit(None).cast("string") if machine is None else machine, "pid": F.lit(None).cast("int") if pid is None else pid}
+    return tasks.select(*[F.col(c) for c in tasks.columns if c not in changed], *[put(c, v) for c, v in changed.items()])
+
+
+def task_end(tasks: DataFrame, chosen: Column, now: Column, failed: Column | None = None) -> DataFrame:
+    """Chosen records that run are done at ``now``, or failed; others stay as they are."""
+    own = chosen & (F.col("status") == RUNNING)
+    status = F.lit(DONE) if failed is None else F.when(failed, FAILED).otherwise(DONE)
+    return tasks.withColumns({"end_time": F.when(own, now).otherwise(F.col("end_time")), "status": F.when(own, status).otherwise(F.col("status"))})
+
+
+def update_settings(settings: DataFrame, changes: DataFrame) -> DataFrame:
+    """``settings`` with the values of ``changes`` (scope, file, subentry, name, value) written over them or added; null values change nothing. Of several changes the greatest value holds."""
+    keys = ["scope", "file", "subentry", "name"]
+    new = changes.filter("value IS NOT NULL").groupBy(*keys).agg(F.max("value").alias("value"))
+    kept = settings.join(new, [settings[k].eqNullSafe(new[k]) for k in keys], "left_anti")
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 def scan_files(paths: DataFrame) -> DataFrame:

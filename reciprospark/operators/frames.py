@@ -59,15 +59,20 @@ def partial_frames(frames: DataFrame, annulus: DataFrame) -> DataFrame:
 
     ``annulus``: (y, x) of the pixels inside, at most one detector image.
     """
-    order = Window.partitionBy("one").orderBy("y", "x")
-    pixels = annulus.select("y", "x", F.lit(1).alias("one")).withColumn("n", F.count("*").over(Window.partitionBy("one"))).withColumn("k", F.row_number().over(order) - 1)
+    # pixels are numbered by row: a window within each row, and one over the rows of the detector, which are few
+    rows = annulus.groupBy("y").agg(F.count("*").alias("own"))
+    before = Window.partitionBy(F.lit(1)).orderBy("y")
+    rows = rows.select("y", (F.sum("own").over(before) - F.col("own")).alias("before"), F.sum("own").over(Window.partitionBy(F.lit(1))).alias("n"))
+    pixels = annulus.select("y", "x", (F.row_number().over(Window.partitionBy("y").orderBy("x")) - 1).alias("k")).join(rows, "y")
     stride = F.greatest(F.lit(1), F.floor(F.col("n") / SUBSAMPLE))
-    pixels = pixels.filter(F.col("k") % stride == 0).select("y", "x", "n")
+    pixels = pixels.filter((F.col("before") + F.col("k")) % stride == 0).select("y", "x", "n")
+    # equal counts are one row per frame, so only distinct counts are put in order
+    held = clipped(frames).join(pixels, ["y", "x"]).groupBy("entry", "frame", "counts").agg(F.count("*").alias("pixels"), F.first("n").alias("n"))
     by_frame = Window.partitionBy("entry", "frame")
-    ranked = clipped(frames).join(pixels, ["y", "x"]).withColumn("taken", F.count("*").over(by_frame)).withColumn("rank", F.row_number().over(by_frame.orderBy("counts", "y", "x")))
+    ranked = held.withColumn("taken", F.sum("pixels").over(by_frame)).withColumn("lower", F.sum("pixels").over(by_frame.orderBy("counts")) - F.col("pixels"))
     keep = F.greatest(F.lit(1), F.floor(F.col("taken") * KEPT_TENTHS / 10)).cast("long")
-    kept = ranked.withColumn("keep", keep).filter("rank <= keep")
-    return kept.groupBy("entry", "frame").agg((F.sum("counts") * F.first("n") / F.first("keep")).alias("partial"))
+    kept = ranked.withColumn("keep", keep).withColumn("used", F.greatest(F.lit(0), F.least("pixels", F.col("keep") - F.col("lower"))))
+    return kept.groupBy("entry", "frame").agg((F.sum(F.col("counts") * F.col("used")) * F.first("n") / F.first("keep")).alias("partial"))
 
 
 def maximum(frames: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """From a symmetrized volume to the pair distribution function.
 
-Volumes are sparse tables (il, ik, ih, value). A three-dimensional transform is three passes; each groups one pencil of voxels
-per task row and transforms it, so no task holds more than a pencil at a time. Holes around Bragg peaks are filled by Laplace interpolation:
+Volumes are sparse tables (il, ik, ih, value). A three-dimensional transform is two passes over planes of voxels: two axes within a plane, then the
+third within planes across it, so no task holds more than a plane at a time. Holes around Bragg peaks are filled by Laplace interpolation:
 all holes of one shape share a linear map from the shell around them, which is computed once.
 """
 
@@ -20,51 +20,59 @@ from .volume import Grid
 DIRECT_VOXELS = 2000
 
 
-def taper(grid: Grid, reciprocal: tuple[float, float, float], q_max: float) -> Column:
-    """1 up to half of ``q_max``, then a cosine down to the full ``q_max``, as a function of the voxel columns; Q from the axes as if orthogonal."""
-    square = F.lit(0.0)
-    for c, origin, steps, length in zip(("ih", "ik", "il"), (grid.h0, grid.k0, grid.l0), grid.steps, reciprocal):
-        q = (F.col(c) / float(steps) + origin) * length
-        square = square + q * q
-    r = F.sqrt(square) * (2.0 / q_max)
-    return F.when(r <= 1, 1.0).when(r >= 2, taper_floor()).otherwise(0.5 * (1 - F.cos(r * math.pi)))
+def _square(grid: Grid, axis: int, reciprocal: tuple[float, float, float], at):
+    """The square of Q along one axis (h, k, l) at a voxel number."""
+    q = (at / float(grid.steps[axis]) + (grid.h0, grid.k0, grid.l0)[axis]) * reciprocal[axis]
+    return q * q
 
 
-def taper_floor() -> float:
-    """The least value of the taper, used outside."""
-    return 0.0
+def taper_floor(grid: Grid, reciprocal: tuple[float, float, float], q_max: float) -> float:
+    """The least value that the taper has on the grid within ``q_max``, which all voxels beyond get: that of the largest Q below it. 1 where no voxel lies on the slope."""
+    h, k, l = (_square(grid, i, reciprocal, np.arange(n)) for i, n in enumerate(grid.n))  # noqa: E741
+    h, top, best = np.sort(h), q_max * q_max, 0.0
+    for b in np.unique(l):  # a plane at a time
+        rest = np.unique(k) + b
+        place = np.searchsorted(h, top - rest) - 1
+        own = (h[place] + rest)[place >= 0]
+        best = max(best, float(own[own < top].max(initial=0.0)))
+    r = 2 * math.sqrt(best) / q_max
+    return 0.5 * (1 - math.cos(r * math.pi)) if r > 1 else 1.0
 
 
-def fft_taper_min(volume: DataFrame, value: Column) -> DataFrame:
-    return volume.agg(F.min(value).alias("taper_min"))
+def taper(grid: Grid, reciprocal: tuple[float, float, float], q_max: float) -> Column:
+    """1 up to half of ``q_max``, then a cosine down to the full ``q_max``, as a function of the voxel columns; Q from the axes as if orthogonal."""
+    square = sum((_square(grid, i, reciprocal, F.col(c)) for i, c in enumerate(("ih", "ik", "il"))), F.lit(0.0))
+    r = F.sqrt(square) * (2.0 / q_max)
+    return F.when(r <= 1, 1.0).when(r >= 2, taper_floor(grid, reciprocal, q_max)).otherwise(0.5 * (1 - F.cos(r * math.pi)))
 
 
 def tapered(volume: DataFrame, grid: Grid, reciprocal: tuple[float, float, float], q_max: float, value: str = "signal") -> DataFrame:
     return volume.select("il", "ik", "ih", (F.col(value) * taper(grid, reciprocal, q_max)).alias("value"))
 
 
-def _pencils(volume: DataFrame, axis: str, n: int) -> DataFrame:
-    others = [c for c in ("il", "ik", "ih") if c != axis]
+def _planes(volume: DataFrame, fixed: str, over: tuple[str, str], shape: tuple[int, int], axes: tuple[int, ...]) -> DataFrame:
+    """The centred transform of each plane (one value of ``fixed``, ``over`` in rows and columns) along the given of its axes."""
 
     def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        line = np.zeros(n, complex)
-        line[pdf[axis].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        out = np.fft.fftshift(np.fft.fft(np.fft.ifftshift(line)))
-        return pd.DataFrame({others[0]: pdf[others[0]].iloc[0], others[1]: pdf[others[1]].iloc[0], axis: np.arange(n), "re": out.real, "im": out.imag})
+        plane = np.zeros(shape, complex)
+        plane[pdf[over[0]].to_numpy(), pdf[over[1]].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        out = np.fft.fftshift(np.fft.fftn(np.fft.ifftshift(plane, axes), axes=axes), axes)
+        rows, columns = np.indices(shape)
+        return pd.DataFrame({fixed: pdf[fixed].iloc[0], over[0]: rows.ravel(), over[1]: columns.ravel(), "re": out.real.ravel(), "im": out.imag.ravel()})
 
-    return volume.groupBy(*others).applyInPandas(transform, f"{others[0]} int, {others[1]} int, {axis} int, re double, im double")
+    return volume.groupBy(fixed).applyInPandas(transform, f"{fixed} int, {over[0]} int, {over[1]} int, re double, im double")
 
 
 def fft3(volume: DataFrame, shape: tuple[int, int, int], value: str = "value") -> DataFrame:
     """(iz, iy, ix, pdf): the centred transform of a volume (il, ik, ih, value) of ``shape`` (l, k, h), real part over the number of voxels.
 
-    The last plane of each axis is dropped where the axis is odd, so that the zero is in the middle. Voxels not given are 0.
+    The last plane of each axis is dropped where the axis is odd, so that the zero is in the middle. Voxels not given are 0. A task holds a plane at a time.
     """
     nl, nk, nh = (n - n % 2 for n in shape)
     rows = volume.filter((F.col("il") < nl) & (F.col("ik") < nk) & (F.col("ih") < nh)).select(*[F.col(c).cast("int").alias(c) for c in ("il", "ik", "ih")], F.col(value).cast("double").alias("re"), F.lit(0.0).alias("im"))
-    for axis, n in (("ih", nh), ("ik", nk), ("il", nl)):
-        rows = _pencils(rows, axis, n)
-    return rows.select(F.col("il").alias("iz"), F.col("ik").alias("iy"), F.col("ih").alias("ix"), (F.col("re") / float(nl * nk * nh)).alias("pdf"))
+    flat = _planes(rows, "il", ("ik", "ih"), (nk, nh), (0, 1))
+    full = _planes(flat, "ik", ("il", "ih"), (nl, nh), (0,))
+    return full.select(F.col("il").alias("iz"), F.col("ik").alias("iy"), F.col("ih").alias("ix"), (F.col("re") / float(nl * nk * nh)).alias("pdf"))
 
 
 def hole_offsets(radius: float, steps: tuple[int, int, int], reciprocal: tuple[float, float, float]) -> list[tuple[int, int, int]]:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reciprospark.functions import geometry as geo
+from reciprospark.functions.geometry import Geometry
+
 SLAB, HALO, LINK = 50, 5, 10
 
 
@@ -32,43 +37,54 @@ def local_maxima(frames: DataFrame, threshold: int, min_pixels: int, ny: int, nx
     return mine.join(other, cond, "left_anti").drop("ty", "tx")
 
 
+def followed(frames: list[int], places: list[list[tuple[int, int, int]]], distance: int) -> list[tuple[int, int, int, int]]:
+    """(z, y, x, counts) of the peaks that end before the last frame. ``places``: (counts, y, x) of each frame's hits, the brightest first.
+
+    A hit that is nearer than ``distance`` in three dimensions to a peak of the frame before goes on with it: it takes the peak's place and frame if the peak is brighter.
+    """
+    done: list[tuple[int, int, int, int]] = []
+    last: list[list[int]] = []
+    for k, z in enumerate(frames):
+        if k and z != frames[k - 1] + 1:  # a frame without hits ends all
+            done += [tuple(p) for p in last]
+            last = []
+        now = [[z, y, x, c] for c, y, x in places[k]]
+        # hits by column; one may have moved by ``distance`` since, so twice that is looked at
+        order = sorted(range(len(now)), key=lambda i: now[i][2])
+        columns = [now[i][2] for i in order]
+        for p in last:
+            near = sorted(order[bisect_left(columns, p[2] - 2 * distance) : bisect_right(columns, p[2] + 2 * distance)])
+            met = False
+            for i in near:
+                own = now[i]
+                if (p[0] - own[0]) ** 2 + (p[1] - own[1]) ** 2 + (p[2] - own[2]) ** 2 < distance**2:
+                    met = True
+                    if p[3] > own[3]:
+                        own[:] = p
+            if not met:
+                done.append(tuple(p))
+        last = now
+    return done
+
+
 def link_peaks(hits: DataFrame, first: int, last: int, distance: int = LINK) -> DataFrame:
-    """(entry, z, y, x, counts): chains of hits in frames that follow, nearer than ``distance`` in three dimensions, as one peak each.
+    """(entry, z, y, x, counts): hits followed from frame to frame, one row per peak, where its brightest hit stands.
 
-    A peak stands at its largest hit (of equals the first by frame, y, x). Frames go in slabs of 50 with a halo of 5
-    at both ends; a slab reports the peaks that stand in its own frames.
+    Frames go in slabs of 50 with a halo of 5 at both ends, walked frame by frame; a slab reports the peaks that stand in its own frames. A peak that is
+    still followed in the last frame that a slab sees isn't reported by it, so peaks of the very last frame are left out. Peaks that end up in one place are one.
     """
     slabs = F.array_distinct(F.transform(F.array(F.lit(-HALO), F.lit(0), F.lit(HALO)), lambda d: F.floor((F.col("frame") - first + d) / SLAB)))
     dealt = hits.filter((F.col("frame") >= first) & (F.col("frame") < last)).withColumn("slab", F.explode(slabs)).filter("slab >= 0")
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values(["frame", "y", "x"]).reset_index(drop=True)
-        f, y, x, c = (pdf[k].to_numpy() for k in ("frame", "y", "x", "counts"))
-        root = list(range(len(pdf)))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        starts = {v: (np.searchsorted(f, v), np.searchsorted(f, v, "right")) for v in np.unique(f)}
-        for v, (lo, hi) in starts.items():
-            if v + 1 in starts:
-                a, b = starts[v + 1]
-                near = 1 + (y[lo:hi, None] - y[None, a:b]) ** 2 + (x[lo:hi, None] - x[None, a:b]) ** 2 < distance**2
-                for i, j in zip(*np.nonzero(near)):
-                    p, q = find(lo + i), find(a + j)
-                    root[max(p, q)] = min(p, q)
-        groups = np.array([find(i) for i in range(len(pdf))])
-        order = np.lexsort((x, y, f, -c, groups))
-        best = order[np.append(True, groups[order][1:] != groups[order][:-1])] if len(order) else order
-        own = pdf.iloc[best]
+        pdf = pdf.sort_values(["frame", "counts", "y", "x"], ascending=[True, False, True, True])
         start = first + int(pdf["slab"].iloc[0]) * SLAB
-        own = own[(own["frame"] >= start) & (own["frame"] < min(start + SLAB, last))]
-        return pd.DataFrame({"entry": own["entry"], "z": own["frame"], "y": own["y"], "x": own["x"], "counts": own["counts"]})
+        seen = min(start + SLAB + HALO, last) - 1
+        by = {int(f): list(zip(g["counts"].tolist(), g["y"].tolist(), g["x"].tolist())) for f, g in pdf.groupby("frame")}
+        frames = sorted(by)
+        found = followed([*frames, seen + 1], [*(by[f] for f in frames), []], distance) if frames[-1] < seen else followed(frames, [by[f] for f in frames], distance)
+        own = sorted({p for p in found if start <= p[0] < min(start + SLAB, last)})
+        return pd.DataFrame([(pdf["entry"].iloc[0], *p) for p in own], columns=["entry", "z", "y", "x", "counts"])
 
     kind = hits.schema["entry"].dataType.simpleString()
     return dealt.select("entry", "slab", "frame", "y", "x", "counts").groupBy("entry", "slab").applyInPandas(follow, f"entry {kind}, z long, y long, x long, counts long")
@@ -105,14 +121,30 @@ def find_peaks(frames: DataFrame, threshold: int, min_pixels: int, first: int, l
 
 def polar_default(peaks: DataFrame, rank: int = 201) -> DataFrame:
     """The largest polar angle used by default: the 201st smallest plus 0.1, else the largest."""
-    ranked = peaks.select("entry", "polar", F.row_number().over(Window.partitionBy("entry").orderBy("polar")).alias("k"))
-    return ranked.groupBy("entry").agg(F.coalesce(F.max(F.when(F.col("k") == rank, F.col("polar") + 0.1)), F.max("polar")).alias("polar_max"))
+    order = Window.partitionBy("entry").orderBy("polar")
+    least = peaks.select("entry", "polar", F.row_number().over(order).alias("k")).filter(F.col("k") <= rank)  # Spark keeps the first of each task
+    return least.groupBy("entry").agg((F.max("polar") + F.when(F.count("*") == rank, 0.1).otherwise(0.0)).alias("polar_max"))
 
 
 def polar_filter(peaks: DataFrame, limit: float | Column) -> DataFrame:
     return peaks.filter(F.col("polar") <= limit)
 
 
+def hkl_tolerance_filter(peaks: DataFrame, tolerance: float) -> DataFrame:
+    """Peaks whose hkl lies within the tolerance (``diff``, 1/angstrom)."""
+    return peaks.filter(F.col("diff") <= tolerance)
+
+
+def peak_table(peaks: DataFrame, geometry: Geometry, polar_max: float | None = None, tolerance: float | None = None) -> DataFrame:
+    """Peaks (x, y, z, ...) with polar, azimuth, h, k, l and diff, below a polar angle and within a tolerance where given."""
+    x, y, z = (F.col(c) for c in "xyz")
+    rows = peaks.select("*", geo.polar(geometry, x, y).alias("polar"), geo.azimuth(geometry, x, y).alias("azimuth"))
+    rows = rows if polar_max is None else polar_filter(rows, polar_max)
+    rows = rows.select("*", *[c.alias(n) for c, n in zip(geo.pixel_to_hkl(geometry, x, y, z), "hkl")])
+    rows = rows.withColumn("diff", geo.hkl_diff(geometry, [F.col(c) for c in "hkl"]))
+    return rows if tolerance is None else hkl_tolerance_filter(rows, tolerance)
+
+
 def export_peaks(peaks: DataFrame, correction: DataFrame, tolerance: float) -> DataFrame:
     """Peaks whose hkl lies within the tolerance, the intensity over the polarization at the rounded pixel."""
     at = peaks.filter(F.col("diff") < tolerance).withColumn("iy", F.rint("y").cast("int")).withColumn("ix", F.rint("x").cast("int"))

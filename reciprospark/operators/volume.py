@@ -38,9 +38,13 @@ def hkl_histogram(frames: DataFrame, geo: Geometry, grid: Grid, weights: DataFra
         frames = frames.join(weights.filter("weight > 0").select("entry", "frame", "weight"), ["entry", "frame"])
     h, k, l = pixel_to_hkl(geo, F.col("x"), F.col("y"), F.col("frame"))  # noqa: E741
     weight = (F.col("weight") if weights is not None else F.lit(1.0)) * (polarization(geo, F.col("x"), F.col("y")) if corrected else F.lit(1.0))
-    placed = frames.select("entry", grid.index(2, l).alias("il"), grid.index(1, k).alias("ik"), grid.index(0, h).alias("ih"), "counts", weight.alias("w"))
-    inside = placed.filter(F.col("ih").between(0, grid.n[0] - 1) & F.col("ik").between(0, grid.n[1] - 1) & F.col("il").between(0, grid.n[2] - 1))
-    return inside.groupBy("entry", "il", "ik", "ih").agg(F.sum("counts").cast("double").alias("v"), F.sum("w").alias("n"))
+    index = [grid.index(axis, value).alias(name) for axis, value, name in ((2, l, "il"), (1, k, "ik"), (0, h, "ih"))]
+    placed = frames.select("entry", *index, "counts", weight.alias("w"))
+    inside = F.col("ih").between(0, grid.n[0] - 1) & F.col("ik").between(0, grid.n[1] - 1) & F.col("il").between(0, grid.n[2] - 1)
+    # pixels outside make one group of their own, dropped after the sums: a filter on the voxel would be moved below the projection and evaluate all its terms again
+    keys = [F.when(inside, F.col(c)).alias(c) for c in ("il", "ik", "ih")]
+    sums = placed.groupBy("entry", *keys).agg(F.sum("counts").cast("double").alias("v"), F.sum("w").alias("n"), F.count(F.when(inside, 1)).alias("inside"))
+    return sums.filter("inside > 0").drop("inside")
 
 
 def combine(voxels: DataFrame) -> DataFrame:
@@ -152,6 +156,7 @@ def punch_outcomes(placed: DataFrame, examples: int = 3) -> DataFrame:
     """Number of reflections per outcome and the first few, in order of (h, k, l)."""
     from pyspark.sql.window import Window
 
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("outcome").orderBy("h", "k", "l")))
-    few = F.sort_array(F.collect_list(F.when(F.col("rank") <= examples, F.struct("h", "k", "l"))))
-    return ranked.groupBy("outcome").agg(F.count("*").alias("n"), few.alias("examples"))
+    order = Window.partitionBy("outcome").orderBy("h", "k", "l")
+    first = placed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= examples)  # Spark keeps the first few of each task
+    few = first.groupBy("outcome").agg(F.sort_array(F.collect_list(F.struct("h", "k", "l"))).alias("examples"))
+    return placed.groupBy("outcome").agg(F.count("*").alias("n")).join(few, "outcome")

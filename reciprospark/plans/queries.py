@@ -44,9 +44,15 @@ def _last(df: DataFrame) -> int:
 
 _WINDOW = "(SELECT frame FROM frames GROUP BY frame HAVING frame >= 10 AND frame < (SELECT max(frame) + 1 - 10 FROM frames))"
 _IN = "((x - 3.5) * (x - 3.5) + (y - 3.5) * (y - 3.5)) BETWEEN 1 AND 16"
+#: Three pixels that are stuck at 500, so that there is something to find.
+_STUCK_SQL = FRAMES_SQL.replace("frames AS", "plain AS", 1) + ", frames AS (SELECT scan, frame, y, x, CASE WHEN y = x AND y % 3 = 0 THEN 500 ELSE counts END AS counts FROM plain)"
 _HOT = """hot AS (SELECT y, x FROM frames WHERE frame BETWEEN 0 AND 9 GROUP BY y, x HAVING max(counts) * count(*) = sum(counts) AND max(counts) >= 100)"""
 
 
+def _stuck(spark, d):
+    return views.frames(spark, d).withColumn("counts", F.when((F.col("y") == F.col("x")) & (F.col("y") % 3 == 0), 500).otherwise(F.col("counts")).cast("long"))
+
+
 # Frames and series
 
 
@@ -66,9 +72,9 @@ def summed_data(spark, d):
     return frames.summed_data(frames.frame_window(views.hits(spark, d), FIRST, n_frames=360)).select("y", "x", "counts")
 
 
-@query(f"WITH {FRAMES_SQL}, {_HOT} SELECT frame, cast(sum(counts) AS BIGINT) AS counts FROM frames ANTI JOIN hot USING (y, x) GROUP BY frame")
+@query(f"WITH {_STUCK_SQL}, {_HOT} SELECT frame, cast(sum(counts) AS BIGINT) AS counts FROM frames ANTI JOIN hot USING (y, x) GROUP BY frame")
 def summed_frames(spark, d):
-    f = views.frames(spark, d)
+    f = _stuck(spark, d)
     return frames.summed_frames(masks.apply_pixel_mask(f, masks.hot_pixels(f))).select("frame", "counts")
 
 
@@ -110,10 +116,9 @@ def transmission(spark, d):
     return frames.transmission(partial, views.log(spark, d), FIRST, _last(f)).select("frame", F.round("transmission", 6).alias("transmission"))
 
 
-@query(f"WITH {LOG_SQL} SELECT frame, CASE WHEN frame < 10 OR frame > 600 THEN 0.0 ELSE cast(monitor AS DOUBLE) * (n % 7) / 7 END AS weight FROM log")
+@query(f"WITH {LOG_SQL} SELECT frame, CASE WHEN frame < 10 OR frame > 600 THEN 0.0 ELSE cast(monitor AS DOUBLE) * (1 - (1 - (n % 7) / 7.0)) END AS weight FROM log")
 def frame_weights(spark, d):
     log = views.log(spark, d).withColumn("transmission", scalars.frame_transmission(1 - (F.col("n") % 7) / 7))
-    log = log.withColumn("transmission", (F.col("n") % 7) / F.lit(7.0))
     return frames.frame_weights(log, 10, 600).select("frame", "weight")
 
 
@@ -134,7 +139,8 @@ def sum_monitors(spark, d):
     return frames.sum_monitors(days).select("frame", "monitor")
 
 
-@query(f"WITH {FRAMES_SQL} SELECT a.frame, a.y, a.x, b.counts - a.counts AS diff FROM frames a JOIN frames b ON b.frame = a.frame + 1 AND a.y = b.y AND a.x = b.x")
+@query(f"""WITH {FRAMES_SQL}, n AS (SELECT *, lead(counts) OVER w AS next, lead(frame) OVER w AS next_frame FROM frames WINDOW w AS (PARTITION BY y, x ORDER BY frame))
+SELECT frame, y, x, next - counts AS diff FROM n WHERE next_frame = frame + 1""")
 def frame_diff(spark, d):
     return frames.frame_diff(views.frames(spark, d)).select("frame", "y", "x", "diff")
 
@@ -142,9 +148,9 @@ def frame_diff(spark, d):
 # Masks
 
 
-@query(f"WITH {FRAMES_SQL}, {_HOT} SELECT y, x FROM hot")
+@query(f"WITH {_STUCK_SQL}, {_HOT} SELECT y, x FROM hot")
 def hot_pixels(spark, d):
-    return masks.hot_pixels(views.frames(spark, d)).select("y", "x")
+    return masks.hot_pixels(_stuck(spark, d)).select("y", "x")
 
 
 @query(f"WITH {FRAMES_SQL} SELECT frame, count(*) AS n, cast(sum(counts) AS BIGINT) AS counts FROM frames WHERE NOT {_IN} GROUP BY frame")
@@ -152,10 +158,10 @@ def annulus_mask(spark, d):
     return masks.annulus_mask(views.frames(spark, d), **ANNULUS).groupBy("frame").agg(F.count("*").alias("n"), F.sum("counts").alias("counts"))
 
 
-@query(f"""WITH {HITS_SQL} SELECT DISTINCT y, x FROM hits WHERE (x >= 10 AND x < 15 AND y >= 20 AND y < 23) OR (x - 40) * (x - 40) + (y - 40) * (y - 40) < 30.25""")
+@query(f"""WITH {HITS_SQL} SELECT DISTINCT y, x FROM hits WHERE (x >= 10 AND x < 15 AND y >= 20 AND y < 23) OR (x - 40) * (x - 40) + (y - 40) * (y - 40) < 30.25 OR counts < 3""")
 def shape_mask(spark, d):
     shapes = [{"kind": "rectangle", "x": 10.7, "y": 20.2, "dx": 4.9, "dy": 3.0}, {"kind": "circle", "x": 40.9, "y": 40.1, "r": 5.5}]
-    return masks.shape_mask(views.hits(spark, d), shapes)
+    return masks.shape_mask(views.hits(spark, d).withColumn("counts", F.col("counts") - 3), shapes)
 
 
 @query(f"WITH {FRAMES_SQL} SELECT frame, y, x, CASE WHEN {_IN} THEN counts ELSE 0 END AS counts FROM frames")
@@ -263,10 +269,10 @@ def catalog_status(spark, d):
     return catalog.catalog_status(catalog.latest_task(views.tasks(spark, d)).select("file", "task", "entry", (F.col("status") == 3).alias("done")))
 
 
-@query("""SELECT c_custkey AS file FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT c_custkey AS file FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderkey % 5 = 0)""")
 def stale_files(spark, d):
     tracked = views.table(spark, d, "customer").select(F.col("c_custkey").alias("file"))
-    return catalog.stale_files(tracked, views.tasks(spark, d).select("file").distinct())
+    return catalog.stale_files(tracked, views.tasks(spark, d).filter("status = 3 AND id % 5 = 0").select("file").distinct())
 
 
 @query("""SELECT o_custkey AS parent, o_orderkey AS scan FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
@@ -348,12 +354,21 @@ def record_task(spark, d):
 # Volumes
 
 
-@query()
+_G = f"""{HITS3_SQL}, p AS (SELECT *, 0.5 * (x - 31.5) AS dx, 0.5 * (y - 31.5) AS dy FROM hits), e AS (SELECT *, sqrt(10000 + dx * dx + dy * dy) * 0.5 AS norm, radians(frame - 180.0) AS phi FROM p),
+g AS (SELECT *, cos(phi) * (100 / norm - 2) - sin(phi) * dx / norm AS qx, -cos(phi) * dx / norm - sin(phi) * (100 / norm - 2) AS qy, dy / norm AS qz FROM e),
+m AS (SELECT *, 4 * qx AS h, 4 * qy AS k, 4 * qz AS l, sqrt(pow(4 * qx - round_even(4 * qx, 0), 2) + pow(4 * qy - round_even(4 * qy, 0), 2) + pow(4 * qz - round_even(4 * qz, 0), 2)) / 4 AS diff FROM g)"""
+_G1 = _G.replace(HITS3_SQL, HITS_SQL)
+_PLACED = """placed AS (SELECT cast(floor((l + 4) * 4 + 0.5) AS INT) AS il, cast(floor((k + 4) * 4 + 0.5) AS INT) AS ik, cast(floor((h + 4) * 4 + 0.5) AS INT) AS ih, counts FROM m)
+SELECT il, ik, ih, cast(sum(counts) AS DOUBLE) AS v, cast(count(*) AS DOUBLE) AS n"""
+_ON_GRID = "FROM placed WHERE il BETWEEN 0 AND 32 AND ik BETWEEN 0 AND 32 AND ih BETWEEN 0 AND 32 GROUP BY 1, 2, 3"
+
+
+@query(f"WITH {_G1}, {_PLACED} {_ON_GRID}")
 def hkl_histogram(spark, d):
     return volume.hkl_histogram(views.hits(spark, d), HITS_GEOMETRY, GRID).select("il", "ik", "ih", "v", "n")
 
 
-@query()
+@query(f"WITH {_G}, {_PLACED}, round(cast(sum(counts) AS DOUBLE) / count(*), 6) AS signal {_ON_GRID}")
 def combine(spark, d):
     by_entry = volume.hkl_histogram(views.hits(spark, d, with_entry=True), HITS_GEOMETRY, GRID)
     return volume.combine(by_entry).select("il", "ik", "ih", "v", "n", F.round("signal", 6).alias("signal"))
@@ -367,11 +382,23 @@ def _vox(spark, d):
     return views.table(spark, d, "lineitem").groupBy(*keys).agg(F.sum("l_quantity").cast("double").alias("v"), F.count("*").cast("double").alias("n"))
 
 
+def _images(laue: str) -> list[str]:
+    """The images of (h, k, l) of each class as they are added up, each as three signed letters and its multiplicity."""
+    four = ["hkl", "kHl", "HKl", "Khl", "hkL", "kHL", "HKL", "KhL"]
+    eight = ["hkl", "Hkl", "hKl", "hkL", "HKl", "HkL", "hKL", "HKL"]
+    swapped = ["khl", "Khl", "kHl", "khL", "KHl", "KhL", "kHL", "KHL"]
+    turned = lambda images, order: ["".join(i[p] for p in order) for i in images]
+    flat = eight + swapped
+    return {
+        "-1": ["hkl", "HKL"], "2/m": ["hkl", "hKl", "HkL", "HKL"], "mmm": eight, "4/m": four, "4/mmm": flat, "6/m": ["hkl", "hkL", "HKl", "HKL"],
+        "m-3": ["hkl", "hkl", "klh", "lhk"], "m-3m": flat + flat + turned(flat, (1, 2, 0)) + turned(flat, (2, 0, 1)),
+    }[laue]
+
+
 def _symmetry_sql(laue: str) -> str:
-    rows = ", ".join(f"({', '.join(map(str, (*p, *s, m)))})" for p, s, m in volume.laue_images(laue))
-    axis = lambda i: f"s{i} * (CASE p{i} WHEN 0 THEN ih WHEN 1 THEN ik ELSE il END - 4) + 4"
-    return f"""WITH {_VOX}, ops(p0, p1, p2, s0, s1, s2, m) AS (VALUES {rows})
-    SELECT cast({axis(2)} AS INT) AS il, cast({axis(1)} AS INT) AS ik, cast({axis(0)} AS INT) AS ih, round(sum(v * m) / sum(n * m), 6) AS signal FROM vox, ops GROUP BY 1, 2, 3"""
+    axis = lambda c: f"{'8 - ' if c.isupper() else ''}i{c.lower()}"
+    images = " UNION ALL ".join(f"SELECT {axis(i[0])} AS ih, {axis(i[1])} AS ik, {axis(i[2])} AS il, v, n FROM vox" for i in _images(laue))
+    return f"""WITH {_VOX}, every AS ({images}) SELECT cast(il AS INT) AS il, cast(ik AS INT) AS ik, cast(ih AS INT) AS ih, round(sum(v) / sum(n), 6) AS signal FROM every GROUP BY 1, 2, 3"""
 
 
 _SMALL = volume.Grid(-4.0, -4.0, -4.0, (1, 1, 1), (9, 9, 9))
@@ -389,32 +416,33 @@ for _laue, _name in (("-1", "1bar"), ("2/m", "2_m"), ("mmm", "mmm"), ("4/m", "4_
     ORACLE_SQL[f"symmetrize_{_name}"] = _symmetry_sql(_laue)
 
 
-@query()
+@query(f"""WITH {HITS_SQL}, w AS (SELECT (degrees(atan(sqrt(2.0) * 31.5 * 0.005)) + 0.01) / 2048 AS step), p AS (SELECT {_POLAR} AS tt, 0.25 * (x - 31.5) * (x - 31.5) AS xx, 0.25 * (y - 31.5) * (y - 31.5) AS yy, counts FROM hits),
+b AS (SELECT cast(floor(tt / step) AS INT) AS bin, sum(counts / (1 - xx / (10000 + xx + yy))) / sum(pow(cos(radians(tt)), 3)) AS intensity, any_value(step) AS step FROM p, w GROUP BY 1)
+SELECT bin, round((bin + 0.5) * step, 6) AS two_theta, round(sin(radians((bin + 0.5) * step) / 2) * 4 * pi() / 0.5, 6) AS q, round(intensity, 6) AS intensity FROM b""")
 def radial_sum(spark, d):
-    return volume.radial_sum(views.hits(spark, d), HITS_GEOMETRY, geo.two_theta_max(HITS_GEOMETRY) + 0.01, 256).select("bin", *[F.round(c, 6).alias(c) for c in ("two_theta", "q", "intensity")])
+    return volume.radial_sum(views.hits(spark, d), HITS_GEOMETRY, geo.two_theta_max(HITS_GEOMETRY) + 0.01).select("bin", *[F.round(c, 6).alias(c) for c in ("two_theta", "q", "intensity")])
 
 
-@query(f"""WITH {HITS_SQL} SELECT cast(floor({_POLAR} / (13.0 / 64)) AS INT) AS ring, cast(floor((degrees(atan2(0.5 * (x - 31.5), 0.5 * (y - 31.5))) + 180) / 7.2) AS INT) AS sector,
+@query(f"""WITH {HITS_SQL} SELECT cast(floor({_POLAR} / (13.0 / 1024)) AS INT) AS ring, cast(floor((degrees(atan2(0.5 * (x - 31.5), 0.5 * (y - 31.5))) + 180) / (360.0 / 1024)) AS INT) AS sector,
 round(avg(counts), 6) AS intensity FROM hits GROUP BY 1, 2""")
 def cake(spark, d):
-    return volume.cake(views.hits(spark, d), HITS_GEOMETRY, 13.0, 64, 50).select("ring", "sector", F.round("intensity", 6).alias("intensity"))
+    return volume.cake(views.hits(spark, d), HITS_GEOMETRY, 13.0).select("ring", "sector", F.round("intensity", 6).alias("intensity"))
 
 
-@query()
+@query(f"WITH {_G1} SELECT round(sum(counts * diff) / sum(counts), 6) AS score FROM m")
 def score(spark, d):
     rows = views.hits(spark, d)
     hkl = geo.pixel_to_hkl(HITS_GEOMETRY, F.col("x"), F.col("y"), F.col("frame"))
     return frames.score(rows, F.col("counts"), geo.hkl_diff(HITS_GEOMETRY, hkl)).select(F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH {_G1} SELECT frame, y, x, counts, round({_POLAR}, 6) AS polar, round(degrees(atan2(0.5 * (x - 31.5), 0.5 * (y - 31.5))), 6) + 0 AS azimuth,
+round(h, 6) + 0 AS h, round(k, 6) + 0 AS k, round(l, 6) + 0 AS l, round(diff, 6) AS diff FROM m WHERE counts > 40 AND {_POLAR} <= 8.0 AND diff <= 0.05""")
 def peak_table(spark, d):
     """Peaks with angles, hkl and their deviation, below a polar angle and within a tolerance."""
-    rows = peaks.polar_filter(_polar(views.hits(spark, d).filter("counts > 60")), 8.0)
-    hkl = geo.pixel_to_hkl(HITS_GEOMETRY, F.col("x"), F.col("y"), F.col("frame"))
-    rows = rows.select("frame", "y", "x", "counts", "polar", "azimuth", *[c.alias(n) for c, n in zip(hkl, "hkl")])
-    diff = geo.hkl_diff(HITS_GEOMETRY, [F.col(c) for c in "hkl"])
-    return rows.withColumn("diff", diff).filter("diff <= 0.05").select("frame", "y", "x", "counts", *[F.round(c, 6).alias(c) for c in ("polar", "azimuth", "h", "k", "l", "diff")])
+    rows = views.hits(spark, d).filter("counts > 40").withColumn("z", F.col("frame"))
+    found = peaks.peak_table(rows, HITS_GEOMETRY, polar_max=8.0, tolerance=0.05)
+    return found.select("frame", "y", "x", "counts", "polar", "azimuth", *"hkl", "diff").select("frame", "y", "x", "counts", F.round("polar", 6).alias("polar"), *[(F.round(c, 6) + 0).alias(c) for c in ("azimuth", "h", "k", "l")], F.round("diff", 6).alias("diff"))
 
 
 @query("""WITH p AS (SELECT DISTINCT l_partkey % 9 - 4 AS h, l_suppkey % 7 - 3 AS k, l_linenumber - 4 AS l FROM lineitem)
@@ -437,11 +465,17 @@ def scan_label(spark, d):
     return s.select("s_suppkey", scalars.scan_label("scan_", F.col("s_acctbal").cast("decimal(12,2)").cast("double")).alias("label"))
 
 
-@query("""SELECT o_orderkey AS id, list_transform(regexp_extract_all('run' || o_custkey || '_' || o_orderkey, '\\d+'), lambda s: cast(s AS BIGINT))[1] AS first FROM orders""")
+_KEY = r"list_transform(list_zip(regexp_split_to_array({0}, '\d+'), regexp_extract_all({0}, '\d+')), lambda x: {{'text': x[1], 'number': coalesce(try_cast(nullif(x[2], '') AS BIGINT), -1)}})"
+
+
+@query(f"""WITH n AS (SELECT o_orderkey AS id, (CASE o_custkey % 3 WHEN 0 THEN 'b' ELSE 'a' END) || (o_custkey % 120) || '_' || o_orderkey AS one, (CASE o_orderkey % 2 WHEN 0 THEN 'b' ELSE 'a' END) || (o_orderkey % 110) || '_x' AS other FROM orders)
+SELECT id, {_KEY.format("one")} < {_KEY.format("other")} AS first FROM n""")
 def natural_key(spark, d):
-    o = views.table(spark, d, "orders")
-    key = catalog.natural_key(F.concat_ws("_", F.concat(F.lit("run"), F.col("o_custkey")), F.col("o_orderkey").cast("string")))
-    return o.select(F.col("o_orderkey").alias("id"), key["numbers"][0].alias("first"))
+    """Whether one name sorts before another."""
+    cust, key = F.col("o_custkey"), F.col("o_orderkey")
+    one = F.concat(F.when(cust % 3 == 0, "b").otherwise("a"), cust % 120, F.lit("_"), key)
+    other = F.concat(F.when(key % 2 == 0, "b").otherwise("a"), key % 110, F.lit("_x"))
+    return views.table(spark, d, "orders").select(key.alias("id"), (catalog.natural_key(one) < catalog.natural_key(other)).alias("first"))
 
 
 # Pair distribution functions, on a 9 x 9 x 9 volume
@@ -454,51 +488,55 @@ def _dense() -> str:
     return f"""{_VOX}, dense AS (SELECT a.i AS il, b.i AS ik, c.i AS ih, coalesce(v / n, 0.0) AS signal FROM range(9) a(i), range(9) b(i), range(9) c(i) LEFT JOIN vox ON il = a.i AND ik = b.i AND ih = c.i)"""
 
 
-_TAPER = "(CASE WHEN r <= 1 THEN 1.0 WHEN r >= 2 THEN 0.0 ELSE 0.5 * (1 - cos(r * pi())) END)"
+_TAPER = "(CASE WHEN r <= 1 THEN 1.0 WHEN r >= 2 THEN (SELECT f FROM floor) ELSE 0.5 * (1 - cos(r * pi())) END)"
+_R = "sqrt(pow((ih - 4) * 1.5, 2) + pow((ik - 4) * 1.5, 2) + pow((il - 4) * 1.5, 2)) * (2.0 / 8.0)"
+_FLOOR = f"floor AS (SELECT min(0.5 * (1 - cos(r * pi()))) AS f FROM (SELECT {_R} AS r FROM range(9) a(il), range(9) b(ik), range(9) c(ih)) WHERE r > 1 AND r < 2)"
 
 
 def _signal(spark, d):
     return _vox(spark, d).withColumn("signal", F.col("v") / F.col("n")).select("il", "ik", "ih", "signal")
 
 
-@query(f"""WITH {_dense()}, q AS (SELECT *, sqrt(pow((ih - 4) * 1.5, 2) + pow((ik - 4) * 1.5, 2) + pow((il - 4) * 1.5, 2)) * (2.0 / 12.0) AS r FROM dense WHERE signal <> 0)
+@query(f"""WITH {_dense()}, {_FLOOR}, q AS (SELECT *, {_R} AS r FROM dense WHERE signal <> 0)
 SELECT il, ik, ih, round(signal * {_TAPER}, 6) AS value FROM q""")
 def taper_volume(spark, d):
-    return pdf.tapered(_signal(spark, d), _SMALL, _RECIPROCAL, 12.0).select("il", "ik", "ih", F.round("value", 6).alias("value"))
+    return pdf.tapered(_signal(spark, d), _SMALL, _RECIPROCAL, 8.0).select("il", "ik", "ih", F.round("value", 6).alias("value"))
 
 
-@query(f"""WITH {_dense()}, q AS (SELECT *, sqrt(pow((ih - 4) * 1.5, 2) + pow((ik - 4) * 1.5, 2) + pow((il - 4) * 1.5, 2)) * (2.0 / 12.0) AS r FROM dense WHERE il < 8 AND ik < 8 AND ih < 8),
+@query(f"""WITH {_dense()}, {_FLOOR}, q AS (SELECT *, {_R} AS r FROM dense WHERE il < 8 AND ik < 8 AND ih < 8),
 t AS (SELECT il, ik, ih, signal * {_TAPER} AS v FROM q)
 SELECT z.i AS iz, y.i AS iy, x.i AS ix, round(sum(v * cos(2 * pi() * ((z.i - 4) * (il - 4) + (y.i - 4) * (ik - 4) + (x.i - 4) * (ih - 4)) / 8.0)) / 512, 6) + 0 AS pdf
 FROM t, range(8) z(i), range(8) y(i), range(8) x(i) GROUP BY 1, 2, 3""")
 def total_pdf(spark, d):
-    return pdf.total_pdf(_signal(spark, d), _SMALL, _RECIPROCAL, 12.0).select("iz", "iy", "ix", (F.round("pdf", 6) + 0).alias("pdf"))
+    return pdf.total_pdf(_signal(spark, d), _SMALL, _RECIPROCAL, 8.0).select("iz", "iy", "ix", (F.round("pdf", 6) + 0).alias("pdf"))
 
 
 @query()
 def delta_pdf(spark, d):
-    return pdf.delta_pdf(_signal(spark, d), _SMALL, _RECIPROCAL, 12.0, 1.6).select("iz", "iy", "ix", F.round("pdf", 6).alias("pdf"))
+    return pdf.delta_pdf(_signal(spark, d), _SMALL, _RECIPROCAL, 8.0, 1.6).select("iz", "iy", "ix", F.round("pdf", 6).alias("pdf"))
 
 
 @query(f"""WITH {_VOX}, s AS (SELECT il, ik, ih, v / n AS signal FROM vox), hole AS (SELECT DISTINCT a.il + d.l AS il, a.ik + d.k AS ik, a.ih + d.h AS ih
-FROM (SELECT 4 AS il, 4 AS ik, 4 AS ih) a, (VALUES (0, 0, 0), (0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0)) d(l, k, h))
+FROM (SELECT il, ik, ih FROM vox WHERE il % 4 = 2 AND ik % 4 = 2 AND ih % 4 = 2) a, (VALUES (0, 0, 0), (0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0)) d(l, k, h))
 SELECT s.il, s.ik, s.ih, round(CASE WHEN hole.il IS NULL THEN signal ELSE 0.0 END, 6) AS signal FROM s LEFT JOIN hole ON s.il = hole.il AND s.ik = hole.ik AND s.ih = hole.ih""")
 def punch(spark, d):
-    centres = _signal(spark, d).filter("il = 4 AND ik = 4 AND ih = 4")
+    centres = _signal(spark, d).filter("il % 4 = 2 AND ik % 4 = 2 AND ih % 4 = 2")
     offsets = pdf.hole_offsets(1.5, _SMALL.steps, _RECIPROCAL)
     return pdf.punch(_signal(spark, d), centres, offsets, "signal").select("il", "ik", "ih", F.round("signal", 6).alias("signal"))
 
 
-@query(f"""WITH {_dense()}, c AS (SELECT il, ik, ih FROM dense WHERE il BETWEEN 1 AND 7 AND ik BETWEEN 1 AND 7 AND ih BETWEEN 1 AND 7 AND (il + ik + ih) % 4 = 0),
-f AS (SELECT c.il, c.ik, c.ih, sum(n.signal) / 6 AS fill FROM c JOIN dense n ON abs(c.il - n.il) + abs(c.ik - n.ik) + abs(c.ih - n.ih) = 1 GROUP BY 1, 2, 3)
+@query(f"""WITH {_dense()}, c AS (SELECT il, ik, ih FROM dense WHERE il % 4 = 2 AND ik % 4 = 2 AND ih % 4 = 2),
+arm AS (SELECT * FROM (VALUES (0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0)) t(l, k, h)),
+s AS (SELECT c.il, c.ik, c.ih, a.l, a.k, a.h, sum(n.signal) AS s FROM c, arm a JOIN dense n ON abs(c.il + a.l - n.il) + abs(c.ik + a.k - n.ik) + abs(c.ih + a.h - n.ih) = 1 AND NOT (n.il = c.il AND n.ik = c.ik AND n.ih = c.ih) GROUP BY ALL),
+m AS (SELECT il, ik, ih, sum(s) / 30 AS mid FROM s GROUP BY 1, 2, 3),
+f AS (SELECT il, ik, ih, mid AS fill FROM m UNION ALL SELECT s.il + l, s.ik + k, s.ih + h, (mid + s) / 6 FROM s JOIN m ON s.il = m.il AND s.ik = m.ik AND s.ih = m.ih)
 SELECT d.il, d.ik, d.ih, round(CASE WHEN fill > 0 THEN fill ELSE signal END, 6) AS signal FROM dense d LEFT JOIN f ON d.il = f.il AND d.ik = f.ik AND d.ih = f.ih""")
 def fill_holes(spark, d):
-    """Single voxels filled by the mean of their six neighbours, in a dense volume."""
+    """Holes of seven voxels, each filled from the 30 faces around it, in a dense volume."""
     places = spark.range(729).select((F.col("id") / 81).cast("int").alias("il"), ((F.col("id") / 9).cast("int") % 9).alias("ik"), (F.col("id") % 9).cast("int").alias("ih"))
     dense = places.join(_signal(spark, d), ["il", "ik", "ih"], "left").withColumn("signal", F.coalesce("signal", F.lit(0.0)))
-    inner = F.col("il").between(1, 7) & F.col("ik").between(1, 7) & F.col("ih").between(1, 7)
-    centres = dense.filter(inner & ((F.col("il") + F.col("ik") + F.col("ih")) % 4 == 0)).select("il", "ik", "ih")
-    return pdf.fill_holes(dense, centres, [(0, 0, 0)], "signal").select("il", "ik", "ih", F.round("signal", 6).alias("signal"))
+    centres = dense.filter("il % 4 = 2 AND ik % 4 = 2 AND ih % 4 = 2").select("il", "ik", "ih")
+    return pdf.fill_holes(dense, centres, pdf.hole_offsets(1.5, _SMALL.steps, _RECIPROCAL), "signal").select("il", "ik", "ih", F.round("signal", 6).alias("signal"))
 
 
 @query(f"""WITH {_VOX}, r AS (SELECT DISTINCT l_partkey % 13 - 6 AS h, l_suppkey % 11 - 5 AS k, l_linenumber - 4 AS l FROM lineitem),
@@ -525,12 +563,17 @@ def _qs(spark, d, least: int = 60):
     return rows.select("frame", "y", "x", *[c.alias(n) for c, n in zip(g, ("qx", "qy", "qz"))])
 
 
-@query()
+@query(f"WITH {_G1} SELECT frame, y, x, round(qx, 6) + 0 AS qx, round(qy, 6) + 0 AS qy, round(qz, 6) + 0 AS qz FROM g")
 def gvec(spark, d):
-    return _qs(spark, d, 0).select("frame", "y", "x", *[F.round(c, 6).alias(c) for c in ("qx", "qy", "qz")])
+    return _qs(spark, d, 0).select("frame", "y", "x", *[(F.round(c, 6) + 0).alias(c) for c in ("qx", "qy", "qz")])
 
 
-@query()
+@query(f"""WITH {_G1}, near AS (SELECT DISTINCT cast(round_even(h, 0) AS INT) AS h, cast(round_even(k, 0) AS INT) AS k, cast(round_even(l, 0) AS INT) AS l FROM m),
+v AS (SELECT *, h / 4.0 AS a, k / 4.0 AS b, l / 4.0 AS c FROM near), w AS (SELECT *, -(a * a + b * b + c * c) / 2 / nullif(sqrt(4 * a * a + 4 * b * b), 0) AS f FROM v),
+s AS (SELECT *, atan2(-2 * b, 2 * a) + side * acos(f) AS phi FROM (SELECT * FROM w WHERE abs(f) <= 1), (VALUES (1), (-1)) t(side)),
+o AS (SELECT *, cos(phi) * a - sin(phi) * b + 2 AS k0, sin(phi) * a + cos(phi) * b AS k1, ((degrees(phi) + 180) % 360 + 360) % 360 AS turn FROM s),
+px AS (SELECT h, k, l, -100 * k1 / k0 / 0.5 + 31.5 AS x, 100 * c / k0 / 0.5 + 31.5 AS y, CASE WHEN turn < 25 THEN turn + 360 ELSE turn END AS z FROM o)
+SELECT h, k, l, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM px WHERE x > 0 AND x < 64 AND y > 0 AND y < 64 AND z > 0 AND z < 385""")
 def hkl_to_pixel(spark, d):
     """Where whole reflections near the hits meet the detector."""
     hkl = geo.pixel_to_hkl(HITS_GEOMETRY, F.col("x"), F.col("y"), F.col("frame"))
@@ -541,8 +584,8 @@ def hkl_to_pixel(spark, d):
 
 @query()
 def projection_histogram(spark, d):
-    axes = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(orient.hemisphere(0.5))], "direction int, tx double, ty double, tz double")
-    return orient.projection_histogram(_qs(spark, d), axes, 64)
+    axes = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(orient.hemisphere())], "direction int, tx double, ty double, tz double")
+    return orient.projection_histogram(_qs(spark, d), axes)
 
 
 @query(f"""WITH {HITS_SQL}, p AS (SELECT *, {_POLAR} AS polar FROM hits), r(ring, a) AS (VALUES (0, 3.0), (1, 6.0), (2, 9.0)),
@@ -580,9 +623,21 @@ def assign_rings(spark, d):
     return lattice.assign_rings(_polar(views.hits(spark, d)), rings).select("frame", "y", "x", "ring")
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
+_ANNULUS_SIZE = f"(SELECT count(*) FROM range(8) a(y), range(8) b(x) WHERE {_IN})"
+
+
+@query(f"""WITH {_STUCK_SQL}, {LOG_SQL}, {_HOT}, good AS (SELECT * FROM frames ANTI JOIN hot USING (y, x)), sums AS (SELECT frame, cast(sum(counts) AS BIGINT) AS counts FROM good GROUP BY frame),
+partial AS (SELECT frame, sum(counts) * {_ANNULUS_SIZE} / any_value(keep) AS partial FROM (SELECT frame, counts, greatest(1, cast(floor(n * 9 / 10) AS BIGINT)) AS keep, row_number() OVER (PARTITION BY frame ORDER BY counts, y, x) AS k FROM
+    (SELECT *, count(*) OVER (PARTITION BY frame) AS n FROM good WHERE {_IN})) WHERE k <= keep GROUP BY frame),
+ratio AS (SELECT p.frame, partial / nullif(monitor, 0) AS r FROM partial p JOIN log ON p.frame = log.frame), lim AS (SELECT 10 AS lo, (SELECT max(frame) + 1 - 10 FROM frames) AS hi),
+ok AS (SELECT frame, CASE WHEN frame >= lo AND frame < hi THEN r END AS r FROM ratio, lim),
+series AS (SELECT frame, v FROM (SELECT frame, coalesce(last_value(r IGNORE NULLS) OVER (ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(r IGNORE NULLS) OVER (ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM ok) WHERE v IS NOT NULL), {_MEDIAN},
+t AS (SELECT frame, v / (SELECT median(v) FROM filtered) AS transmission FROM filtered)
+SELECT s.frame, s.counts, round(CASE WHEN s.frame < lo OR s.frame > hi THEN 0.0 ELSE monitor * coalesce(transmission, 1.0) END, 6) AS weight FROM sums s JOIN log ON s.frame = log.frame LEFT JOIN t ON t.frame = s.frame, lim""")
+def normalized_frames(spark: SparkSession, d: str) -> DataFrame:
     """Frame sums without hot pixels, trimmed annulus sums, transmission and frame weights in one table."""
-    f = views.frames(spark, d)
+    f = _stuck(spark, d)
     last = _last(f)
     good = masks.apply_pixel_mask(f, masks.hot_pixels(f))
     sums = frames.summed_frames(good)
@@ -591,4 +646,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return sums.join(weights, ["entry", "frame"]).select("frame", "counts", F.round("weight", 6).alias("weight"))
 
 
-QUERIES["normalized_frames"] = flagship
+flagship = normalized_frames
