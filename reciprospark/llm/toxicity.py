@@ -1,20 +1,23 @@
 """Toxicity: averaged subword embeddings under a linear softmax, trained jointly in numpy.
 
-A text is cut into passages of about ``PASSAGE`` words. A passage is the bag of the byte n-grams (3 to 6 bytes, A-Z
-folded) of its words with their borders. Each n-gram has an embedding by hash; the passage's mean embedding goes into a
-two-class softmax, and a text is as toxic as its worst passage. Embeddings and softmax are fitted together by Adagrad on a
-bounded sample of labelled rows, so an unseen spelling scores through the n-grams it shares. A logistic fit on rows of the
-sample held back, weighted to the labels' true shares, makes the scores probabilities. For two classes
-the fitted model is one number per n-gram hash, which is all that scoring needs.
-
-Defined cases: null and empty texts have no n-gram and score the model's prior; labels that are null or
-absent leave a row unlabelled; without both classes every text scores 0; repeated rows are scored each by
-itself; an empty table gives an empty table; other columns don't take part.
+A word (a run of letters, digits and bytes beyond ASCII) is the bag of its byte n-grams (3 to 6 bytes, A-Z folded, with its borders). Each
+n-gram has an embedding by hash; the word's mean embedding goes into a two-class softmax. Embeddings and softmax are fitted
+together by Adagrad on the words of a bounded sample of labelled rows, each word weighted by the parts of the toxic and of the
+clean texts that hold it, so an unseen spelling scores through the n-grams it shares. An n-gram of few texts counts less. For two classes
+the fitted model is one number per n-gram hash and a bias.
+
+A few words make a long text toxic, so a text isn't averaged as a whole: a logistic layer over its distinct words' log-odds (the three
+greatest, and the sums above four heights) is fitted on rows of the sample held back, weighted to the labels' true shares, and makes the scores probabilities.
+
+Defined cases: null and empty texts have no word and score the model's prior; labels that are null or
+absent leave a row unlabelled; of several labels of one id the greatest counts; of rows that share a labelled id each is learnt from; without both classes every text scores 0;
+repeated rows are scored each by itself, and a word counts once in a text of any length; an empty table gives an empty table; other columns, whatever their names, don't take part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,39 +25,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
+from .chunks import places_of
+from .names import free
 from .storage import stored
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 17
 DIMENSIONS = 8
-#: Passes of the first and of the second fit.
-EPOCHS = (3, 8)
-#: Steps of either fit at least: a small sample is passed over more often.
-LEAST_STEPS = (400, 1200)
-BATCH = 64
-#: Words of a passage, and passages of one text that a fit takes at most.
-PASSAGE = 32
-FEW = 12
-#: A bag with fewer n-grams is filled up to so many by the zero vector.
-LEAST = 300
+EPOCHS = 8
+#: Words of a step.
+BATCH = 2048
+#: An n-gram of c texts of the sample counts c / (c + RARE).
+RARE = 1.0
 RATE = 0.3
 #: At most so many labelled rows of each class are fitted on, the first in the order of a hash of the id.
 SAMPLE_PER_CLASS = 2000
-#: N-grams in fewer texts of the sample have no embedding: they would be learnt by heart.
-MIN_TEXTS = 8
-#: Part of the sample that sets the decision point.
+#: Part of the sample that the logistic layer is fitted on.
 HELD_BACK = 4
+#: Parts of the clean texts' words that lie below the heights, and below the floor: lower words count as the floor.
+HEIGHTS = (0.99, 0.997, 0.999, 0.9997)
+FLOOR = 0.95
+SMOOTHING = 1e-3
 
 _SPICE = np.random.default_rng(7).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
+_BETWEEN = np.ones(256, bool)
+_BETWEEN[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = False
+
+
+@dataclass
+class Model:
+    """``numbers``: the log-odds that each n-gram hash has; ``layer``: middle, scale and weight of each feature and the shift. Without a layer all scores are 0."""
+
+    numbers: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32))
+    bias: float = 0.0
+    heights: np.ndarray = field(default_factory=lambda: np.zeros(len(HEIGHTS) + 1))
+    layer: np.ndarray | None = None
+
+    def packed(self) -> bytes:
+        return np.concatenate([[self.bias], self.heights, self.layer.ravel(), self.numbers]).astype(np.float64).tobytes() if self.layer is not None else b""
+
+    @staticmethod
+    def unpacked(raw: bytes) -> "Model":
+        if not raw:
+            return Model()
+        x, n = np.frombuffer(raw, np.float64), len(HEIGHTS) + 1
+        return Model(x[-BUCKETS:].astype(np.float32), float(x[0]), x[1 : 1 + n], x[1 + n : -BUCKETS].reshape(3, -1))
 
 
 def ngram_hashes(part: bw.Slice, sizes: tuple[int, ...] = SIZES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each size: the hash bucket of the n-gram at each byte, and whether one stands there.
 
-    An n-gram lies in one text and has white space at its first or last byte only. White space hashes alike.
+    An n-gram lies in one text and has bytes between words at its first or last byte only; these hash alike.
     """
     n = len(part.data)
-    space = bw.is_space(part.data)
+    space = _BETWEEN[part.data]
     codes = bw._BYTE_CODE[np.where(space, np.uint8(32), bw.folded(part.data))]
     spaces = np.zeros(n + 1, np.int32)
     np.cumsum(space, out=spaces[1:])
@@ -75,62 +99,68 @@ def ngram_hashes(part: bw.Slice, sizes: tuple[int, ...] = SIZES) -> Iterator[tup
         yield ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 17)).astype(np.int64), ok
 
 
-def passages(part: bw.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The passage of each byte, numbered through the slice; each text's first passage (one more number closes the
-    list); and which bytes count, those of a word's first occurrence in its passage.
-
-    A text has a passage for every PASSAGE words, at least one, of nearly equal length. White space goes with the next word.
-    """
-    first, ends, bounds = bw.word_spans(part)
-    words = np.diff(bounds)
-    n = np.maximum(1, words // PASSAGE)
-    firsts = np.concatenate([[0], np.cumsum(n)])
-    of_text = np.repeat(np.arange(len(words)), words)
-    of_word = firsts[of_text] + (np.arange(len(first)) - bounds[of_text]) * n[of_text] // words[of_text]
-    new = np.zeros(len(first), bool)
-    names = bw.span_hashes(bw.folded(part.data), first, ends)
-    order = np.lexsort((names, of_word))  # stable: the first occurrence comes first
-    new[order] = np.append(True, (np.diff(names[order]) != 0) | (np.diff(of_word[order]) > 0)) if len(first) else False
+def words_of(part: bw.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each word, the number of its text, and the word that each byte's n-grams count for: bytes between words go with the next one of the text."""
+    first, ends, bounds = bw.word_spans(part, _BETWEEN)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     starts = np.zeros(len(part.data) + 1, np.int64)
-    starts[first] = 1
-    text = np.repeat(np.arange(len(words)), part.ends - part.starts)
-    word = np.clip(np.cumsum(starts)[1:] - 1, bounds[text], np.maximum(bounds[text + 1] - 1, bounds[text]))
-    if not len(first):
-        return firsts[text], firsts, np.zeros(len(text), bool)
-    word = np.minimum(word, len(first) - 1)
-    return np.where(words[text] > 0, of_word[word], firsts[text]), firsts, new[word]
-
-
-def bags(texts: list[str | None]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-    """Per text, for each passage its n-gram buckets and their weights in the mean."""
-    out = []
-    for part in bw.text_slices(pa.array(texts, pa.string()), limit=1):
-        of, firsts, new = passages(part)
-        keys = np.concatenate([of[ok] * BUCKETS + h[ok] for h, found in ngram_hashes(part) for ok in [found & new]] or [np.zeros(0, np.int64)])
-        ids, counts = np.unique(keys, return_counts=True)
-        cuts = np.searchsorted(ids, np.arange(1, firsts[-1]) * BUCKETS)
-        out.append([((i % BUCKETS).astype(np.int32), (c / max(LEAST, c.sum())).astype(np.float32)) for i, c in zip(np.split(ids, cuts), np.split(counts, cuts))])
-    return out
-
-
-def descend(own: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, table: np.ndarray, soft: np.ndarray, bias: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
-    """Adagrad on the weighted cross-entropy; changes ``table``, ``soft`` and ``bias`` in place."""
+    starts[ends] = 1
+    word = np.cumsum(starts)[:-1]
+    of_text = np.repeat(np.arange(len(bounds) - 1), part.ends - part.starts)
+    word = np.clip(word, bounds[of_text], np.maximum(bounds[of_text + 1] - 1, bounds[of_text]))
+    return bw.span_hashes(bw.folded(part.data), first, ends), text, np.minimum(word, max(0, len(first) - 1))
+
+
+def bags(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(per text its distinct words, n-gram buckets of all words one after another, number of n-grams of each word)."""
+    names, owners, known = [], [], np.zeros(0, np.uint64)
+    flat, size = [], []
+    done = 0
+    for part in bw.text_slices(pa.array(texts, pa.string())):
+        name, text, word = words_of(part)
+        unique, at = np.unique(name, return_index=True)
+        new = ~np.isin(unique, known)
+        known = np.concatenate([known, unique[new]])
+        rank = np.full(len(name) + 1, -1)
+        rank[at[new]] = np.arange(new.sum())
+        found = [(rank[word[ok]], h[ok]) for h, ok in ngram_hashes(part)] if len(name) else []
+        owner = np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)])
+        bucket = np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
+        order = np.argsort(owner, kind="stable")[(owner < 0).sum() :]
+        flat.append(bucket[order].astype(np.int32))
+        size.append(np.bincount(owner[order], minlength=int(new.sum())))
+        names.append(name)
+        owners.append(text + done)
+        done += len(part.starts)
+    order = np.argsort(known)
+    place = order[np.searchsorted(known, np.concatenate(names or [known]), sorter=order)] if len(known) else np.zeros(0, np.int64)
+    owner = np.concatenate(owners or [place])
+    pairs = np.unique(owner * max(1, len(known)) + place)
+    cuts = np.searchsorted(pairs, np.arange(1, len(texts)) * max(1, len(known)))
+    return [p % max(1, len(known)) for p in np.split(pairs, cuts)], np.concatenate(flat or [np.zeros(0, np.int32)]), np.concatenate(size or [np.zeros(0, np.int64)])
+
+
+def descend(flat: np.ndarray, size: np.ndarray, shares: np.ndarray, part_of: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Adagrad on the cross-entropy of words weighted by ``shares`` (words x 2); gives the numbers of the n-grams and the bias. ``part_of``: how much each n-gram counts."""
+    table = (rng.standard_normal((BUCKETS, DIMENSIONS)) * 0.01).astype(np.float32)
+    soft, bias = (rng.standard_normal((DIMENSIONS, 2)) * 0.5).astype(np.float32), np.zeros(2, np.float32)
     grown_t, grown_s, grown_b = (np.full(x.shape, 1e-10, np.float32) for x in (table, soft, bias))
-    rows = np.arange(len(own))
-    for _ in range(epochs):
+    at = np.cumsum(size) - size
+    rows = np.flatnonzero((shares.sum(1) > 0) & (size > 0))
+    for _ in range(EPOCHS):
         rng.shuffle(rows)
         for lo in range(0, len(rows), BATCH):
             pick = rows[lo : lo + BATCH]
-            ids, w = np.concatenate([own[i][0] for i in pick]), np.concatenate([own[i][1] for i in pick])
-            bag = np.repeat(np.arange(len(pick)), [len(own[i][0]) for i in pick])
+            n = size[pick]
+            ids, bag = flat[places_of(at[pick], n)], np.repeat(np.arange(len(pick)), n)
+            w = (part_of[ids] / n[bag]).astype(np.float32)
             used, place = np.unique(ids, return_inverse=True)
             part = table[used]
             mean = np.stack([np.bincount(bag, part[place, d] * w, len(pick)) for d in range(DIMENSIONS)], 1).astype(np.float32)
             z = mean @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(pick)), y[pick]] -= 1
-            g = p * (weight[pick][:, None] / len(pick))
+            g = (p * shares[pick].sum(1, keepdims=True) - shares[pick]).astype(np.float32) * np.float32(len(rows) / 2 / len(pick))
             back = g @ soft.T
             grad = np.stack([np.bincount(place, back[bag, d] * w, len(used)) for d in range(DIMENSIONS)], 1).astype(np.float32)
             grown_t[used] += grad * grad
@@ -140,74 +170,66 @@ def descend(own: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.
             grown_b += gb * gb
             soft -= 0.1 * gs / np.sqrt(grown_s)
             bias -= 0.1 * gb / np.sqrt(grown_b)
+    return (table @ (soft[:, 1] - soft[:, 0]) * part_of).astype(np.float32), float(bias[1] - bias[0])
+
+
+def features(z: np.ndarray, name: np.ndarray, text: np.ndarray, n_texts: int, heights: np.ndarray) -> np.ndarray:
+    """Texts x features from all words' log-odds ``z``, their hashes and texts: sums of the distinct words above the heights, the three greatest."""
+    high = np.flatnonzero(z > heights[0])
+    high = high[np.lexsort((name[high], -z[high], text[high]))]
+    if len(high):  # equal words have equal log-odds, so copies stand side by side
+        high = high[np.append(True, (np.diff(text[high]) > 0) | (np.diff(name[high]) != 0))]
+    own, value = text[high], z[high]
+    sums = [np.log1p(np.bincount(own, np.maximum(value - h, 0), n_texts)) for h in heights[1:]]
+    top = np.full((n_texts, 3), heights[0])
+    rank = np.arange(len(own)) - np.searchsorted(own, own)
+    top[own[rank < 3], rank[rank < 3]] = value[rank < 3]
+    return np.concatenate([np.stack(sums, 1), top], 1)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A weighted logistic fit by Newton steps on standardised features: middles, scales, and weights, with the shift in a last column."""
+    middle, scale = np.append(x.mean(0), 0.0), np.append(x.std(0) + 1e-6, 1.0)
+    own = (np.concatenate([x, np.ones((len(x), 1))], 1) - middle) / scale
+    w, b = weight / weight.sum(), np.zeros(own.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(own @ b, -30, 30)))
+        grad = own.T @ (w * (p - y)) + SMOOTHING * np.append(b[:-1], 0.0)
+        hess = (own * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ own + SMOOTHING * np.eye(len(b))
+        step = np.linalg.solve(hess, grad)
+        b = b - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+    return np.stack([middle, scale, b])
 
 
-def fit(texts: list[str | None], labels: np.ndarray, weight_of_1: float, weight_of_0: float, seed: int = 11) -> np.ndarray:
-    """The model as BUCKETS numbers and a bias: a passage's log-odds are its bag's mean number plus the bias, a text's its highest passage's.
-
-    First every passage carries its text's label; then a labelled text is learnt again from its highest
-    passages alone. ``weight_of_1`` and ``weight_of_0``: rows of the whole labelled table that one row of the sample stands for.
-    """
-    model = np.zeros(BUCKETS + 1, np.float32)
+def fit(texts: list[str | None], labels: np.ndarray, weight_of_1: float, weight_of_0: float, seed: int = 11) -> Model:
+    """The model of a sample. ``weight_of_1`` and ``weight_of_0``: rows of the whole labelled table that one row of the sample stands for."""
     if not (labels == 1).any() or not (labels == 0).any():
-        model[-1] = -40.0
-        return model
-    rng = np.random.default_rng(seed)
+        return Model()
     held = np.arange(len(labels)) % HELD_BACK == 0
     if len(set(labels[~held])) < 2 or len(set(labels[held])) < 2:
         held[:] = False
-    own = bags(texts)
-    in_texts = np.zeros(BUCKETS, np.int64)
+    own, flat, size = bags(texts)
+    at = np.cumsum(size) - size
+    counts, in_texts = np.zeros((len(size), 2)), np.zeros(BUCKETS)
     for i in np.flatnonzero(~held):
-        in_texts[np.unique(np.concatenate([ids for ids, _ in own[i]]))] += 1
-    common = in_texts >= min(MIN_TEXTS, 1 + (~held).sum() // 50)
-    own = [[(ids[common[ids]], w[common[ids]]) for ids, w in passages_] for passages_ in own]
-    table = (rng.standard_normal((BUCKETS, DIMENSIONS)) * 0.01).astype(np.float32)
-    soft = (rng.standard_normal((DIMENSIONS, 2)) * 0.5).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    numbers = lambda: np.where(common, table @ (soft[:, 1] - soft[:, 0]), 0).astype(np.float32)
-    for stage, epochs in enumerate(EPOCHS):
-        flat, y, now = [], [], numbers()
-        for i in np.flatnonzero(~held):
-            if labels[i] == 1 and stage:  # the passages that carry the label, as the model sees it
-                height = np.array([float(now[ids] @ w) for ids, w in own[i]])
-                pick = np.argsort(-height, kind="stable")[: max(1, min(len(height) // 3, FEW))]
-            else:
-                pick = rng.permutation(len(own[i]))[:FEW]
-            flat += [own[i][k] for k in pick]
-            y += [labels[i]] * len(pick)
-        y = np.array(y)
-        share = np.array([0.5 / (y == 0).mean(), 0.5 / (y == 1).mean()], np.float32)
-        epochs = max(epochs, -(-LEAST_STEPS[stage] * BATCH // len(y)))
-        descend(flat, y, share[y], table, soft, bias, epochs, rng)
-    model[:-1] = numbers()
-    model[-1] = bias[1] - bias[0]
-    if held.any():
-        height = np.array([max(float(model[ids] @ w) for ids, w in own[i]) + model[-1] for i in np.flatnonzero(held)])
-        slope, shift = platt(height, labels[held], np.where(labels[held] == 1, weight_of_1, weight_of_0))
-        model[:-1] *= slope
-        model[-1] = model[-1] * slope + shift
-    return model
-
-
-def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """(slope, shift) of a weighted logistic fit of ``y`` on ``z`` by Newton steps, held to a positive slope."""
-    scale = max(float(z.std()), 1e-6)
-    x, w = np.stack([z / scale, np.ones_like(z)], 1), weight / weight.sum()
-    b = np.array([1.0, 0.0])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        grad = x.T @ (w * (p - y)) + 1e-3 * np.array([b[0], 0.0])
-        hess = (x * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        b = b - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
-    return (float(b[0] / scale), float(b[1])) if b[0] > 0 else (1.0, 0.0)
-
-
-def fitted(docs: DataFrame, labels: DataFrame, trains, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> np.ndarray:
+        counts[own[i], labels[i]] += 1
+        in_texts[np.unique(flat[places_of(at[own[i]], size[own[i]])])] += 1
+    if not len(flat):
+        return Model()
+    numbers, bias = descend(flat, size, counts / np.maximum(counts.sum(0), 1), in_texts / (in_texts + RARE), np.random.default_rng(seed))
+    z = np.bincount(np.repeat(np.arange(len(size)), size), numbers[flat], len(size)) / np.maximum(size, 1) + bias
+    clean = np.repeat(z, counts[:, 0].astype(int))
+    heights = np.quantile(clean if len(clean) else z, [FLOOR, *HEIGHTS])
+    text = np.repeat(np.arange(len(own)), [len(o) for o in own])
+    x = features(np.concatenate([z[o] for o in own]), np.concatenate(own), text, len(own), heights)
+    fits = held if held.any() else ~held
+    return Model(numbers, bias, heights, logistic(x[fits], labels[fits], np.where(labels[fits] == 1, weight_of_1, weight_of_0)))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, trains, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The model from labelled rows of ``docs``. ``trains(id column)`` tells which labels may be learnt from.
 
-    The sample of at most 2 * SAMPLE_PER_CLASS rows is fitted in one task, which Spark runs again if it is lost.
+    The sample of at most 2 * SAMPLE_PER_CLASS ids is fitted in one task, which Spark runs again if it is lost.
     """
     y = F.col(label_col).cast("int")
     given = labels.filter(trains(F.col(id_col)) & y.isin(0, 1)).groupBy(F.col(id_col).alias("labelled_id")).agg(F.max(y).alias("label"))
@@ -216,44 +238,51 @@ def fitted(docs: DataFrame, labels: DataFrame, trains, id_col: str = "doc_id", t
     order = F.xxhash64("labelled_id")
     parts = [given.filter(F.col("label") == c).orderBy(order, "labelled_id").limit(SAMPLE_PER_CLASS) for c in (0, 1)]
     # only the sample's texts move: its ids are few, and go to where the texts are read
-    sample = docs.select(F.col(id_col).alias("labelled_id"), F.col(text_col).alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "labelled_id")
+    sample = docs.select(F.col(id_col).alias("labelled_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "labelled_id")
     weights = [counts.get(c, 0) / max(1, min(counts.get(c, 0), SAMPLE_PER_CLASS)) for c in (0, 1)]
 
     def train(batches):
         rows = [r for b in batches for r in zip(b["labelled_id"].to_pylist(), b["text"].to_pylist(), b["label"].to_pylist())]
         rows.sort(key=lambda r: (r[0], r[1] or ""))
         model = fit([r[1] for r in rows], np.array([r[2] for r in rows], int), weights[1], weights[0])
-        yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], ["model"])
 
     got = sample.select("labelled_id", "text", "label").repartition(1).mapInArrow(train, "model binary").collect()
-    return np.frombuffer(got[0]["model"], np.float32) if got else fit([], np.zeros(0, int), 1, 1)
+    return Model.unpacked(bytes(got[0]["model"])) if got else Model()
 
 
-def judged(part: bw.Slice, model: np.ndarray) -> np.ndarray:
+def judged(part: bw.Slice, model: Model) -> np.ndarray:
     """The probability of label 1 of each text of the slice."""
-    of, firsts, new = passages(part)
-    total, count = np.zeros(firsts[-1]), np.zeros(firsts[-1])
-    for h, ok in ngram_hashes(part):
-        ok &= new
-        total += np.bincount(of, np.where(ok, model[h], 0), firsts[-1])
-        count += np.bincount(of, ok, firsts[-1])
-    z = np.maximum.reduceat(total / np.maximum(count, LEAST), firsts[:-1]) + model[-1]
+    n_texts = len(part.starts)
+    if model.layer is None:
+        return np.zeros(n_texts)
+    name, text, word = words_of(part)
+    total, count = np.zeros(len(name)), np.zeros(len(name))
+    for h, ok in ngram_hashes(part) if len(name) else ():
+        own = word[ok]
+        total += np.bincount(own, model.numbers[h[ok]], len(name))
+        count += np.bincount(own, minlength=len(name))
+    x = features(total / np.maximum(count, 1) + model.bias, name, text, n_texts, model.heights)
+    middle, scale, weight = model.layer
+    z = (np.concatenate([x, np.ones((n_texts, 1))], 1) - middle) / scale @ weight
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def scores(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row, ``score`` the probability of label 1."""
+def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of every row, ``score`` the probability of label 1 (``score_`` beside an id column of that name)."""
 
     def run(batches):
         for batch in batches:
-            found = [judged(part, model) for part in bw.text_slices(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())], ["id", "score"])
+            for part in bw.text_slices(batch.column(1)):
+                found = judged(part, model)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(found)), pa.array(found, pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double")
+    return rows.select(F.col("id").alias(id_col), F.col("score").alias(free("score", id_col)))
 
 
-def drop_toxic(docs: DataFrame, model: np.ndarray, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with their own columns; judged where they are read."""
     place = docs.columns.index(text_col)
 
