@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from . import tokens
+from .storage import small_batches
 
 BLOCK = 1 << 16
 LEVEL = 3
@@ -78,6 +79,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
     if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{id_col} must be an integer column")
     spark = docs.sparkSession
+    small_batches(spark)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = parts or 4 * shuffles
     width = 2 if max(tokens.opened(tokenizer).max_id, end_id) < 1 << 16 else 4

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .storage import dropped, stored
+from .storage import dropped, small_batches, stored
 
 K1, B = 1.2, 0.75
 #: Part of an item's own BM25 score from which it is retrieved.
@@ -309,6 +309,7 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str | None = "t
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", **columns) -> DataFrame:
     """(doc id, item id, score, question_overlap, answer_overlap) of every leak. ``columns``: as for ``indexes``."""
+    small_batches(docs.sparkSession)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
     schema = f"doc {kind}, item {item_kind}, score double, question_overlap double, answer_overlap double"
     found = None
@@ -333,6 +334,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
 def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP, text_col: str = "text", item_id_col: str = "item_id", **columns) -> DataFrame:
     """The rows of ``docs`` whose text leaks no item, with their own columns; judged where they are read, without a join."""
+    small_batches(docs.sparkSession)
     place, before = docs.columns.index(text_col), None
     for index, only in indexes(items, item_id_col, **columns):
 

@@ -6,8 +6,7 @@ hashes in bands whose length follows the asked similarity (``layout``: 21 bands
 that share a band are candidates. A candidate is dropped if its signatures agree in far too few places, and linked if
 the full sets do: 100 * intersection >= percent * union.
 
-Not all pairs of a bucket are formed. First every text meets the hub of its fullest bucket, then the hubs of all its buckets;
-after each step components are taken. Texts of buckets that still hold several components are open. Two open texts are only compared if they
+Not all pairs of a bucket are formed. First every text meets the hub of its fullest bucket and components are taken, then it meets the hubs of its other buckets. Texts of buckets that still hold several components are open. Two open texts are only compared if they
 share one of their rarest shingles at places that leave room for enough more in common (``prefixes``): a condition that every link
 meets, and that texts which have only a common template between them don't. So no link is lost whatever the size of a bucket;
 pairs inside a component can't change the result.
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .components import components
-from .storage import Scratch, stored
+from .storage import Scratch, small_batches, stored
 
 SHINGLE = 5
 MINIMA = 126
@@ -191,6 +190,7 @@ def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the least id reachable, its own included) and kept (it is that id)."""
+    small_batches(docs.sparkSession)
     scratch = Scratch()
     sketched = stored(sketches(docs, percent, id_col, text_col), "minhash-sketches")
     linkable = sketched.filter("print IS NOT NULL AND id IS NOT NULL")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .names import free
+from .storage import small_batches
 
 #: Word vectors: hash buckets, dimensions, nonzero entries of an index vector, neighbours on either side.
 BUCKETS = 1 << 14
@@ -58,6 +59,7 @@ def tokens(part: bw.Slice) -> tuple[np.ndarray, np.ndarray]:
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """BUCKETS x DIMENSIONS of unit length (or zero). Each task sends one row per bucket that it met; Spark sums them."""
+    small_batches(docs.sparkSession)
     names = [f"v{d}" for d in range(DIMENSIONS)]
 
     def partial(batches):

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from . import tokens
+from .storage import small_batches
 
 KEYS = ("source", "lang", "tokenizer")
 DELTAS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -120,6 +121,7 @@ def counted(docs: DataFrame, tokenizers: dict[str, str], without: dict[str, str]
 
     ``without`` (name -> pattern) adds a column n_<name>: the count of the text without what the pattern (for ``re``, on strings) finds.
     """
+    small_batches(docs.sparkSession)
     others = {name: re.compile(pattern) for name, pattern in (without or {}).items()}
 
     def run(batches):

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .chunks import ChunkTable, per_text, places_of
+from .storage import small_batches
 
 MARK = "▁"
 #: Entries of a worker's table of piece pairs (some 40 MB); a full one starts anew.
@@ -203,6 +204,7 @@ def opened(path: str) -> PrefixTable:
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, decoded string) of every row. ``model_path`` must be readable on every executor."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         model = opened(model_path)

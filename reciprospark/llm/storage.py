@@ -36,6 +36,13 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has Spark's default of 10,000: a task and its Python worker then hold a few megabytes of texts at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 class Scratch:
     """Tables that a single computation stores, all deleted together when its result doesn't need them any more."""
 

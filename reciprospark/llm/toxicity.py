@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .chunks import places_of
 from .names import free
-from .storage import stored
+from .storage import small_batches, stored
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 17
@@ -231,6 +231,7 @@ def fitted(docs: DataFrame, labels: DataFrame, trains, id_col: str = "doc_id", t
 
     The sample of at most 2 * SAMPLE_PER_CLASS ids is fitted in one task, which Spark runs again if it is lost.
     """
+    small_batches(docs.sparkSession)
     y = F.col(label_col).cast("int")
     given = labels.filter(trains(F.col(id_col)) & y.isin(0, 1)).groupBy(F.col(id_col).alias("labelled_id")).agg(F.max(y).alias("label"))
     given = stored(given.join(docs.select(F.col(id_col).alias("labelled_id")), "labelled_id", "left_semi"), "toxic-labels")
@@ -270,6 +271,7 @@ def judged(part: bw.Slice, model: Model) -> np.ndarray:
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row, ``score`` the probability of label 1 (``score_`` beside an id column of that name)."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -284,6 +286,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with their own columns; judged where they are read."""
+    small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(batches):
