@@ -222,7 +222,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     # every other hub of a text, where it isn't in the text's component by now
     other = _apart(met.select(*pair).distinct().join(best, ["u", "v"], "left_anti"), label)
     links = links.unionByName(scratch.stored(_links(other, small, sets, percent), "minhash-links"))
-    label = components(links)
 
     # what is left: texts of buckets that hold several components
     in_bucket = buckets.select("key", "num").join(label.select(F.col("u").alias("num"), F.col("v").alias("c")), "num", "left").select("key", "num", F.coalesce("c", "num").alias("c"))
