@@ -72,6 +72,7 @@ def forms(ub: np.ndarray) -> list[tuple[str, str, float, np.ndarray, np.ndarray]
     keep = np.argsort(size, kind="stable")
     keep = keep[size[keep] <= LONGEST * np.linalg.norm(axes, axis=1).max()]
     n, v, size = n[keep], v[keep], size[keep]
+    half = np.array([tuple(x) > (0, 0, 0) for x in n.tolist()])
     unit = v / size[:, None]
     angle = np.arccos(np.clip(unit @ unit.T, -1, 1))
     near = lambda want: np.abs(angle - math.radians(want)) <= 2 * COARSE
@@ -85,9 +86,12 @@ def forms(ub: np.ndarray) -> list[tuple[str, str, float, np.ndarray, np.ndarray]
             for i, j in edges:
                 alike = np.abs(size[:, None] - size[None]) <= 2 * COARSE * np.maximum(size[:, None], size[None])
                 ab, bc = (ab & alike, bc) if (i, j) == (0, 1) else (ab, bc & alike)
-            m = np.stack([n[k] for k in np.nonzero(ab[:, :, None] & bc[None] & ac[:, None, :])], 1)
-        volume = np.rint(np.linalg.det(m)).astype(int)
-        m = m[(np.abs(volume) >= 1) & (np.abs(volume) <= LARGEST) & (volume * np.linalg.det(axes) > 0)]
+            # a cell and its negative are one: the first axis lies in one half of space
+            i, j = np.nonzero(ab & half[:, None])
+            pair, k = np.nonzero(bc[j] & ac[i])
+            m = np.stack([n[i[pair]], n[j[pair]], n[k]], 1)
+        volume = np.rint(np.linalg.det(m) * np.sign(np.linalg.det(axes))).astype(int)
+        m = (m * np.sign(volume)[:, None, None])[(np.abs(volume) >= 1) & (np.abs(volume) <= LARGEST)]
         if not len(m):
             continue
         kind = _centrings(m)

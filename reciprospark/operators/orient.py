@@ -225,13 +225,14 @@ def least_squares(rows: DataFrame, start: np.ndarray, residuals: Callable[[np.nd
     return x
 
 
-_FREE = {"cubic": (0,), "tetragonal": (0, 2), "orthorhombic": (0, 1, 2), "hexagonal": (0, 2), "rhombohedral": (0, 3), "monoclinic": (0, 1, 2, 4), "triclinic": (0, 1, 2, 3, 4, 5)}
+_FREE = {"cubic": (0,), "tetragonal": (0, 2), "orthorhombic": (0, 1, 2), "hexagonal": (0, 2), "rhombohedral": (0, 3), "monoclinic": (0, 1, 2, 4), "triclinic": (0, 1, 2, 3, 4, 5), "cell held": ()}
 
 
 def refine_orientation(peaks: DataFrame, start: Geometry, symmetry: str, angles: tuple[str, ...] = ("chi", "omega", "theta"), tolerance: float = 0.2, rounds: int = 15) -> Geometry:
-    """Cell (as its crystal system frees it) and goniometer angles, then the matrix U, so that the hkl of peaks (x, y, z) come near whole numbers.
+    """Cell (as its crystal system frees it) and goniometer angles or any other numbers of the geometry by name (distance, yaw, pitch, roll, xc, yc), then the matrix U,
+    so that the hkl of peaks (x, y, z) come near whole numbers.
 
-    Peaks within the tolerance of the start take part, with the indices they have there.
+    Peaks within the tolerance of the start take part, with the indices they have there. The symmetry ``cell held`` frees no edge or angle.
     """
     from reciprospark.functions.scalars import constrain_cell
 
@@ -244,7 +245,7 @@ def refine_orientation(peaks: DataFrame, start: Geometry, symmetry: str, angles:
         cell = list(start.cell)
         for i, v in zip(free, x):
             cell[i] = float(v)
-        return start.with_(cell=constrain_cell(symmetry, tuple(cell)), **{a: float(v) for a, v in zip(angles, x[len(free) :])})
+        return start.with_(cell=constrain_cell(symmetry, tuple(cell)) if free else start.cell, **{a: float(v) for a, v in zip(angles, x[len(free) :])})
 
     def off(g: Geometry) -> list[Column]:
         found = geo.gvec(g, *at)
@@ -257,6 +258,32 @@ def refine_orientation(peaks: DataFrame, start: Geometry, symmetry: str, angles:
     return near.with_(u=tuple(tuple(map(float, r)) for r in u.reshape(3, 3)))
 
 
+def refine_polar(peaks: DataFrame, start: Geometry, symmetry: str, rings: DataFrame, names: tuple[str, ...] = ("distance", "xc", "yc"), cell: bool = True, rounds: int = 15) -> Geometry:
+    """Cell (as its crystal system frees it, or held) and geometry by name, so that the polar angles of peaks (x, y) come near those of their rings.
+
+    ``rings``: (ring, ring_angle, h, k, l), one reflection per ring, a few hundred rows. Each peak is held to the ring that is nearest at the start.
+    """
+    from reciprospark.functions.scalars import constrain_cell
+
+    from .lattice import assign_rings
+
+    x, y = F.col("x"), F.col("y")
+    near = assign_rings(peaks.select("x", "y", geo.polar(start, x, y).alias("polar")), rings).join(F.broadcast(rings.select("ring", "h", "k", "l")), "ring")
+    free = _FREE[symmetry] if cell else ()
+
+    def of(p: np.ndarray) -> Geometry:
+        edges = list(start.cell)
+        for i, v in zip(free, p):
+            edges[i] = float(v)
+        return start.with_(cell=constrain_cell(symmetry, tuple(edges)) if cell else start.cell, **{n: float(v) for n, v in zip(names, p[len(free) :])})
+
+    def off(p: np.ndarray) -> list[Column]:
+        g = of(p)
+        return [geo.polar(g, x, y) - geo.two_theta_hkl(g.cell, g.wavelength, *(F.col(c) for c in "hkl"))]
+
+    return of(least_squares(near, np.array([*(start.cell[i] for i in free), *(getattr(start, n) for n in names)]), off, rounds=rounds))
+
+
 def refine_geometry(points: DataFrame, start: Geometry, names: tuple[str, ...] = ("distance", "xc", "yc"), rounds: int = 15) -> Geometry:
     """Distance and beam centre (and more by name) from ring points (x, y, ring_angle): their polar angles come near the rings'."""
     of = lambda p: start.with_(**{n: float(v) for n, v in zip(names, p)})

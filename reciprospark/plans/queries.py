@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reciprospark.functions import geometry as geo
 from reciprospark.functions import scalars
-from reciprospark.operators import catalog, frames, lattice, masks, orient, pdf, peaks, volume
+from reciprospark.operators import bravais, catalog, frames, lattice, masks, orient, pdf, peaks, volume
 from reciprospark.plans import views
 from reciprospark.plans.views import FRAMES_SQL, HITS3_SQL, HITS_GEOMETRY, HITS_SQL, LOG_SQL, TASKS_SQL
 
@@ -607,6 +607,26 @@ def niggli_cells(spark, d):
     return found.select("id", *[F.round(c, 5).alias(c) for c in ("a", "b", "c", "alpha", "beta", "gamma")])
 
 
+def _forms(spark, d):
+    s = views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    edges = [F.lit(0.25), 0.25 / (1 + F.col("id") % 3), 0.25 / (1 + (F.col("id") % 4) / 2.0)]
+    ub = F.array(*[edges[i] * (1.0 if i == j else 0.0) for i in range(3) for j in range(3)])
+    return bravais.lattice_forms(s.select("id", ub.alias("ub")))
+
+
+@query()
+def lattice_forms(spark, d):
+    """Conventional cells of one lattice per supplier, by crystal system and centring."""
+    return _forms(spark, d).select("id", "cell_type", "centring", *[F.round(c, 5).alias(c) for c in ("error", "a", "b", "c", "alpha", "beta", "gamma")])
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, [4.0, 4.0 * (1 + s_suppkey % 3), 4.0 * (1 + (s_suppkey % 4) / 2.0)] AS e FROM supplier)
+SELECT id, CASE WHEN e[1] = e[2] AND e[2] = e[3] THEN 'cubic' WHEN e[1] = e[2] OR e[2] = e[3] OR e[1] = e[3] THEN 'tetragonal' ELSE 'orthorhombic' END AS cell_type, 'P' AS centring, round(e[1] * e[2] * e[3], 4) AS volume FROM s""")
+def best_cells(spark, d):
+    """The cell of highest symmetry of each lattice."""
+    return bravais.best_cells(_forms(spark, d), 1e-6).select("id", "cell_type", "centring", F.round(F.col("a") * F.col("b") * F.col("c"), 4).alias("volume"))
+
+
 @query()
 def ring_table(spark, d):
     """Rings of the reflections near the hits' directions."""
