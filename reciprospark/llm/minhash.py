@@ -126,6 +126,11 @@ def sketches(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
     return rows.mapInArrow(run, f"id {kind}, n_shingles long, print binary, sign array<int>, bands array<long>")
 
 
+def _few(rows: DataFrame, id_col: str, most: int) -> bool:
+    """Whether ids, of a type of at most 8 bytes, are no more than ``most``. Others are left to Spark, which goes by the size of the stored table."""
+    return rows.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") and rows.count() <= most
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(num, set array<long>) of the nodes ``wanted`` (num, print, node). A node's text is read from a row of the id ``node``."""
 
@@ -136,7 +141,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                 yield pa.RecordBatch.from_arrays([pa.array([print_of(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["print", "set"])
 
     ids = wanted.select(F.col("node").alias("id")).distinct()
-    if wanted.count() <= 500_000:  # 32 bytes each for integer ids
+    if _few(wanted, "node", 500_000):  # 32 bytes each
         ids, wanted = F.broadcast(ids), F.broadcast(wanted)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi").select("text")
     return rows.mapInArrow(run, "print binary, set array<long>").join(wanted.select("num", "print"), "print").select("num", "set").dropDuplicates(["num"])
@@ -275,7 +280,7 @@ def drop_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     """
     found = stored(near_duplicates(docs, percent, id_col, text_col).select(F.col(id_col).alias("id"), "kept"), "minhash-kept")
     gone = stored(found.filter(~F.col("kept")).select("id").distinct(), "minhash-gone")
-    if gone.count() <= 2_000_000:  # 16 MB of long ids; more are joined by a shuffle
+    if _few(gone, "id", 2_000_000):  # 16 MB
         gone = F.broadcast(gone)
     key = docs[id_col]
     kept = docs.join(gone, key == gone["id"], "left_anti")
