@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontaminate, minhash, quality, rollups, rules, spm, toxicity, urls, warc
+from . import binary, conversations, decontaminate, minhash, quality, rollups, rules, spm, toxicity, urls, warc
 from .storage import shared_dir, stored
 
 
@@ -82,6 +82,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    fixed = conversations.repair(conversations.damaged(rows))
+    return conversations.report(fixed, rows.select(F.col("conv_id").alias("conv"))).withColumnRenamed("conv", "conv_id")
+
+
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(rules.STOP_WORDS))
 
 OP10_SQL = rf"""
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
