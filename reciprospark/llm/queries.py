@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, conversations, decontaminate, minhash, quality, rollups, rules, spm, toxicity, urls, warc
+from . import binary, conversations, decontaminate, minhash, quality, rollups, rules, spm, toxicity, urls, warc, whitening
 from .storage import shared_dir, stored
 
 
@@ -88,6 +88,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(fixed, rows.select(F.col("conv_id").alias("conv"))).withColumnRenamed("conv", "conv_id")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(rules.STOP_WORDS))
 
 OP10_SQL = rf"""
@@ -125,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
