@@ -6,8 +6,8 @@ hashes in bands whose length follows the asked similarity (``layout``: 21 bands
 that share a band are candidates. A candidate is dropped if its signatures agree in far too few places, and linked if
 the full sets do: 100 * intersection >= percent * union.
 
-Not all pairs of a bucket are formed. First every text meets the hub of its fullest bucket and components are taken, then it meets the hubs of its other buckets. Texts of buckets that still hold several components are open. Two open texts are only compared if they
-share one of their rarest shingles at places that leave room for enough more in common (``prefixes``): a condition that every link
+Not all pairs of a bucket are formed. First every text meets the hub of its fullest bucket and components are taken, then it meets the hubs of its other buckets. Texts of buckets that still hold several components are open. Two open texts are only compared if the
+first shingles that they have in common, rare ones first, leave room for enough more (``overlap.pairs``): a condition that every link
 meets, and that texts which have only a common template between them don't. So no link is lost whatever the size of a bucket;
 pairs inside a component can't change the result.
 
@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
+from . import overlap
 from .components import components
+from .names import free
 from .storage import Scratch, small_batches, stored
 
 SHINGLE = 5
@@ -35,8 +37,6 @@ MINIMA = 126
 MISSED = 5e-5
 #: Pairs whose signatures agree in a smaller part than the asked similarity less this (six standard deviations) are dropped.
 SLACK = 0.20
-#: Shingles are put in order by how full their place in a table of so many counts is (4 bytes each, sent to the executors); any order gives the same links.
-COUNTS = 1 << 19
 
 _draw = np.random.default_rng(20210607)
 _A = _draw.integers(1, 2**63, (MINIMA, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,7 +122,7 @@ def sketches(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_shingles long, print binary, sign array<int>, bands array<long>")
 
 
@@ -131,19 +131,19 @@ def _few(rows: DataFrame, id_col: str, most: int) -> bool:
     return rows.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") and rows.count() <= most
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
     """(num, set array<long>) of the nodes ``wanted`` (num, print, node). A node's text is read from a row of the id ``node``."""
 
     def run(batches):
         for batch in batches:
             for part in bw.text_slices(batch.column(0)):
-                sets = shingle_sets(part)
+                sets = shingle_sets(part, size)
                 yield pa.RecordBatch.from_arrays([pa.array([print_of(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["print", "set"])
 
     ids = wanted.select(F.col("node").alias("id")).distinct()
     if _few(wanted, "node", 500_000):  # 32 bytes each
         ids, wanted = F.broadcast(ids), F.broadcast(wanted)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi").select("text")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(ids, "id", "left_semi").select("text")
     return rows.mapInArrow(run, "print binary, set array<long>").join(wanted.select("num", "print"), "print").select("num", "set").dropDuplicates(["num"])
 
 
@@ -158,43 +158,27 @@ def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
     return full.filter(100 * common >= percent * (F.size("set_u") + F.size("set_v") - common)).select("u", "v")
 
 
-def prefixes(open_: DataFrame, percent: int) -> DataFrame:
-    """(token, at, num, n, c) of the rarest shingles of each of ``open_`` (num, set, c): its first (100 - percent) percent and one more, with their places.
+def hub_links(buckets: DataFrame, verified, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(links, components of the first of them) between texts and the hubs of their ``buckets`` (num, key, size); ``verified`` keeps the pairs (u, v) that are links.
 
-    All sets are sorted by one order, rare shingles first. Let two sets of n and m <= n shingles be linked, and look at the first shingle
-    in this order that they share: what each has from there on must hold the whole intersection, so it lies among these places.
+    The hub of a bucket is the text that stands with most others over all its buckets.
     """
-    places = open_.select(F.explode("set").alias("token")).groupBy(F.shiftrightunsigned("token", 64 - COUNTS.bit_length() + 1).alias("place")).count().toArrow()
-    counts = np.zeros(COUNTS, np.int32)
-    counts[places["place"].to_numpy()] = np.minimum(places["count"].to_numpy(), 2**31 - 1)
-    shift = np.uint64(64 - COUNTS.bit_length() + 1)
-
-    def run(batches):
-        for batch in batches:
-            for num, c, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1)):
-                tokens = own.values.to_numpy(zero_copy_only=False)
-                order = np.lexsort((tokens, counts[(tokens.view(np.uint64) >> shift).astype(np.int64)]))
-                n = len(tokens)
-                first = order[: n * (100 - percent) // 100 + 1]
-                same = lambda x: pa.array(np.full(len(first), x, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[first]), pa.array(np.arange(len(first), dtype=np.int32)), same(num), same(n), same(c)], ["token", "at", "num", "n", "c"])
-
-    return open_.select("num", "set", "c").mapInArrow(run, "token long, at int, num long, n long, c long")
-
-
-def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of ``prefixes``' rows in different components that can be links. The smaller set needs fewer places."""
-    side = lambda s: rows.select("token", *[F.col(x).alias(f"{x}_{s}") for x in ("at", "num", "n", "c")])
-    short = side("b").filter((100 + percent) * (F.col("n_b") - F.col("at_b")) >= 2 * percent * F.col("n_b"))
-    need = percent * (F.col("n_a") + F.col("n_b"))
-    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("num_a") > F.col("num_b")))
-    room = ((100 + percent) * (F.col("n_a") - F.col("at_a")) >= need) & ((100 + percent) * (F.col("n_b") - F.col("at_b")) >= need)
-    met = side("a").withColumnRenamed("token", "token_a").join(short, (F.col("token_a") == F.col("token")) & larger & room & (F.col("c_a") != F.col("c_b")))
-    return met.select(F.greatest("num_a", "num_b").alias("u"), F.least("num_a", "num_b").alias("v")).distinct()
+    weight = buckets.groupBy("num").agg(F.sum("size").alias("weight"))
+    weighed = scratch.stored(buckets.join(weight, "num"), "hubs-weighed")
+    hubs = weighed.groupBy("key").agg(F.min_by("num", F.struct(-F.col("weight"), F.col("num"))).alias("hub"))
+    met = weighed.join(hubs, "key").filter("num <> hub").select("num", "hub", "size").groupBy("num", "hub").agg(F.count("*").alias("common"), F.max("size").alias("size"))
+    met = scratch.stored(met, "hubs-met")
+    pair = F.greatest("num", "hub").alias("u"), F.least("num", "hub").alias("v")
+    best = met.groupBy("num").agg(F.max_by("hub", F.struct("common", "size", -F.col("hub"))).alias("hub")).select(*pair).distinct()
+    links = scratch.stored(verified(best), "hubs-links")
+    label = components(links)
+    # every other hub of a text, where it isn't in the text's component by now
+    other = _apart(met.select(*pair).distinct().join(best, ["u", "v"], "left_anti"), label)
+    return links.unionByName(scratch.stored(verified(other), "hubs-links")), label
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, n_shingles, component_id (the least id reachable, its own included) and kept (it is that id)."""
+def _judged(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_shingles, component, kept) of every row."""
     small_batches(docs.sparkSession)
     scratch = Scratch()
     sketched = stored(sketches(docs, percent, id_col, text_col), "minhash-sketches")
@@ -202,31 +186,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     # equal sets are one node, with a number of its own
     grouped = linkable.groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
     nodes = scratch.stored(grouped.withColumn("num", F.monotonically_increasing_id()), "minhash-nodes")
-    again = _of_repeated_ids(linkable, nodes, scratch)
+    again = of_repeated_ids(linkable, nodes, scratch)
 
     rows = nodes.select("num", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = scratch.stored(rows.join(shared, "key"), "minhash-buckets")
     if not buckets.take(1):
-        return _report(sketched, nodes, again, id_col, scratch)
-    # the hub of a bucket: the text that stands with most others over all its buckets
-    weight = buckets.groupBy("num").agg(F.sum("size").alias("weight"))
-    weighed = scratch.stored(buckets.join(weight, "num"), "minhash-weighed")
-    hubs = weighed.groupBy("key").agg(F.min_by("num", F.struct(-F.col("weight"), F.col("num"))).alias("hub"))
-    met = weighed.join(hubs, "key").filter("num <> hub").select("num", "hub", "size").groupBy("num", "hub").agg(F.count("*").alias("common"), F.max("size").alias("size"))
-    met = scratch.stored(met, "minhash-hubs")
+        return classes(sketched, nodes, again, scratch)
     wanted = buckets.select("num").distinct()
     small = scratch.stored(nodes.join(wanted, "num", "left_semi").select("num", "print", "node", "n_shingles", "sign"), "minhash-wanted")
     sets = scratch.stored(full_sets(docs, small.select("num", "print", "node"), id_col, text_col), "minhash-sets")
-
-    pair = F.greatest("num", "hub").alias("u"), F.least("num", "hub").alias("v")
-    best = met.groupBy("num").agg(F.max_by("hub", F.struct("common", "size", -F.col("hub"))).alias("hub")).select(*pair).distinct()
-    links = scratch.stored(_links(best, small, sets, percent), "minhash-links")
-    label = components(links)
-
-    # every other hub of a text, where it isn't in the text's component by now
-    other = _apart(met.select(*pair).distinct().join(best, ["u", "v"], "left_anti"), label)
-    links = links.unionByName(scratch.stored(_links(other, small, sets, percent), "minhash-links"))
+    links, label = hub_links(buckets, lambda pairs: _links(pairs, small, sets, percent), scratch)
 
     # what is left: texts of buckets that hold several components
     in_bucket = buckets.select("key", "num").join(label.select(F.col("u").alias("num"), F.col("v").alias("c")), "num", "left").select("key", "num", F.coalesce("c", "num").alias("c"))
@@ -234,12 +204,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     mixed = in_bucket.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("key")
     open_ = in_bucket.join(mixed, "key", "left_semi").select("num", "c").distinct()
     open_ = scratch.stored(sets.join(open_, "num"), "minhash-open")
-    pairs = prefix_pairs(scratch.stored(prefixes(open_, percent), "minhash-prefixes"), percent)
+    pairs = overlap.pairs(overlap.incidence(open_, percent, scratch), percent, scratch)
     links = links.unionByName(scratch.stored(_links(scratch.stored(pairs, "minhash-pairs"), small, sets, percent), "minhash-links"))
-    return _report(sketched, nodes, links.unionByName(again), id_col, scratch)
+    return classes(sketched, nodes, links.unionByName(again), scratch)
 
 
-def _of_repeated_ids(linkable: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def of_repeated_ids(linkable: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (u, v) between the nodes of each id that has several texts."""
     repeated = linkable.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
     repeated = scratch.stored(repeated, "minhash-repeated")
@@ -257,7 +227,8 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
 
-def _report(sketched: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
+def classes(sketched: DataFrame, nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, n_shingles, component, kept) of every row of ``sketched``; clears ``scratch``."""
     label = components(links)
     # (num, root) of the nodes that are linked, roots with themselves; a component's least id is the least of its nodes'
     linked = label.select(F.col("u").alias("num"), F.col("v").alias("root")).unionByName(label.select(F.col("v").alias("num"), F.col("v").alias("root")).distinct())
@@ -269,8 +240,13 @@ def _report(sketched: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str
     scratch.clear()
     full = sketched.filter("print IS NOT NULL").select("id", "n_shingles", "print").join(by_print, "print", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component"))
     empty = sketched.filter("print IS NULL").select("id", "n_shingles", F.col("id").alias("component"))
-    every = full.unionByName(empty)
-    return every.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), (F.col("id").isNull() | (F.col("component") == F.col("id"))).alias("kept"))
+    return full.unionByName(empty).withColumn("kept", F.col("id").isNull() | (F.col("component") == F.col("id")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: id, n_shingles, component_id (the least id reachable, its own included) and kept (it is that id). A name that the id has gets an underscore."""
+    names = [free(n, id_col) for n in ("n_shingles", "component_id", "kept")]
+    return _judged(docs, percent, id_col, text_col).select(*[F.col(c).alias(n) for c, n in zip(("id", "n_shingles", "component", "kept"), (id_col, *names))])
 
 
 def drop_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,15 +254,15 @@ def drop_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
 
     Of rows that repeat an id one stays, that with the least text. Rows with a null id or an empty text and an id of their own stay.
     """
-    found = stored(near_duplicates(docs, percent, id_col, text_col).select(F.col(id_col).alias("id"), "kept"), "minhash-kept")
-    gone = stored(found.filter(~F.col("kept")).select("id").distinct(), "minhash-gone")
-    if _few(gone, "id", 2_000_000):  # 16 MB
+    found = stored(_judged(docs, percent, id_col, text_col).select("id", "kept"), "minhash-kept")
+    own, other = F.col(f"`{id_col}`"), free("other_id", *docs.columns)
+    gone = stored(found.filter(~F.col("kept")).select(F.col("id").alias(other)).distinct(), "minhash-gone")
+    if _few(gone, other, 2_000_000):  # 16 MB
         gone = F.broadcast(gone)
-    key = docs[id_col]
-    kept = docs.join(gone, key == gone["id"], "left_anti")
-    repeated = stored(found.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "minhash-repeated")
+    kept = docs.join(gone, own == F.col(other), "left_anti")
+    repeated = stored(found.filter(F.col("id").isNotNull()).groupBy(F.col("id").alias(other)).agg(F.count("*").alias("n")).filter("n > 1").select(other), "minhash-repeated")
     if not repeated.take(1):
         return kept
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = kept.join(repeated, F.col(f"`{id_col}`") == repeated["id"], "left_semi").groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.min_by(whole, F.struct(F.col(f"`{text_col}`"), F.to_json(whole))).alias("row"))
-    return kept.join(repeated, F.col(f"`{id_col}`") == repeated["id"], "left_anti").unionByName(once.select("row.*"))
+    once = kept.join(repeated, own == F.col(other), "left_semi").groupBy(own.alias("key")).agg(F.min_by(whole, F.struct(F.col(f"`{text_col}`"), F.to_json(whole))).alias("row"))
+    return kept.join(repeated, own == F.col(other), "left_anti").unionByName(once.select("row.*"))
