@@ -154,6 +154,31 @@ def gvec(geo: Geometry, x: Column, y: Column, z: Column) -> list[Column]:
     return [F.cos(phi) * g[0] + F.sin(phi) * g[1], -F.sin(phi) * g[0] + F.cos(phi) * g[1], g[2]]
 
 
+def _ray_of(geo: Geometry, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``ray`` of whole arrays, three rows."""
+    flat = np.stack([geo.pixel_size * (x - geo.xc), geo.pixel_size * (y - geo.yc), np.zeros(len(x))])
+    point = geo.detector @ np.linalg.inv(orientation_matrix(geo.orientation)) @ flat
+    point[0] += geo.distance
+    return point
+
+
+def gvec_of(geo: Geometry, x: np.ndarray, y: np.ndarray, frame: float) -> np.ndarray:
+    """``gvec`` of the pixels of one frame as arrays, three rows."""
+    p, phi = _ray_of(geo, x, y), geo.phi + geo.phi_step * frame
+    full = geo.gonio(phi)
+    p = p - (full @ np.array([geo.xs, geo.ys, geo.zs], float))[:, None]
+    g = p / (np.sqrt((p * p).sum(0)) * geo.wavelength)
+    g[0] -= 1.0 / geo.wavelength
+    return full.T @ g
+
+
+def polarization_of(geo: Geometry, x: np.ndarray, y: np.ndarray, degree: float = 1.0) -> np.ndarray:
+    """``polarization`` of whole arrays."""
+    p = _ray_of(geo, x, y)
+    square = (p * p).sum(0)
+    return 1.0 - degree * p[1] * p[1] / square - (1.0 - degree) / 2 * (1.0 - p[0] * p[0] / square)
+
+
 def pixel_to_hkl(geo: Geometry, x: Column, y: Column, z: Column) -> list[Column]:
     """Fractional h, k, l; zeros without an orientation."""
     if geo.u is None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,44 +86,11 @@ def bragg_mask(frames: DataFrame, ny: int, nx: int, t1: float = 2.0, h1: int = 1
     """(entry, frame, y, x) of pixels near a Bragg peak.
 
     The difference of a frame to the next, box-averaged, is compared with t1; the resulting 0/1 image, gaps filled and
-    box-averaged, with t2. A frame's mask holds the pixels of the comparison before and after it. Frames go in slabs
+    box-averaged, with t2. A frame's mask holds the pixels of the comparison before and after it. Frames go in bands, and these in slabs
     with one frame of halo on each side, each slab in one task of bounded size.
     """
-    span = frames.groupBy("entry").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
-    slabs = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col("frame") - F.col("lo") + d) / slab)))
-    dealt = frames.join(F.broadcast(span), "entry").withColumn("slab", F.explode(slabs))
-    dead_rows = [(r["y"], r["x"]) for r in pixel_mask.select("y", "x").distinct().toLocalIterator()] if pixel_mask is not None else []
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        dead = np.zeros((ny, nx), bool)
-        for y, x in dead_rows:
-            dead[y, x] = True
-        lo, number = int(pdf["lo"].iloc[0]), int(pdf["slab"].iloc[0])
-        cube = {f: g for f, g in pdf.groupby("frame")}
-
-        def image(f):
-            out = np.zeros((ny, nx))
-            if f in cube:
-                out[cube[f]["y"], cube[f]["x"]] = cube[f]["counts"]
-            return out
-
-        def step(f):
-            near = np.abs(box_mean(image(f + 1) - image(f), h1)) >= t1
-            return box_mean(fill_gaps(near.astype(float), dead), h2) > t2
-
-        out, steps = [], {}
-        hi = int(pdf["hi"].iloc[0])
-        for f in range(lo + number * slab, min(lo + (number + 1) * slab, hi + 1)):
-            both = np.zeros((ny, nx), bool)
-            for s in (f - 1, f):
-                if lo <= s < hi:
-                    if s not in steps:
-                        steps[s] = step(s)
-                    both |= steps[s]
-            y, x = np.nonzero(both)
-            out.append(pd.DataFrame({"entry": pdf["entry"].iloc[0], "frame": f, "y": y, "x": x}))
-        found = pd.concat(out) if out else pd.DataFrame({"entry": [], "frame": [], "y": [], "x": []})
-        return found.astype({"entry": object})
-
-    kind = frames.schema["entry"].dataType.simpleString()
-    return dealt.filter("slab >= 0").select("entry", "slab", "frame", "y", "x", "counts", "lo", "hi").groupBy("entry", "slab").applyInPandas(run, f"entry {kind}, frame long, y int, x int")
+    from . import bands
+
+    dealt = bands.to_bands(frames.select("entry", "frame", "y", "x", "counts"), ny, nx)
+    found = bands.bragg_mask(dealt, ny, nx, t1, h1, t2, h2, bands.mask_bits(pixel_mask, ny, nx), slab)
+    return bands.mask_rows(found).select("entry", "frame", "y", "x")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reciprospark.functions import geometry as geo
 from reciprospark.functions import scalars
-from reciprospark.operators import bravais, catalog, frames, lattice, masks, orient, pdf, peaks, volume
+from reciprospark.operators import bands, bravais, catalog, frames, lattice, masks, orient, pdf, peaks, volume
 from reciprospark.plans import views
 from reciprospark.plans.views import FRAMES_SQL, HITS3_SQL, HITS_GEOMETRY, HITS_SQL, LOG_SQL, TASKS_SQL
 
@@ -176,6 +176,50 @@ def bragg_mask(spark, d):
     return masks.bragg_mask(views.frames(spark, d), 8, 8, t1=40.0, h1=3, t2=0.5, h2=3)
 
 
+# Frames in bands
+
+
+@query(f"WITH {FRAMES_SQL} SELECT frame, y, x, counts FROM frames")
+def banded_frames(spark, d):
+    """Long frames as bands of three rows and back."""
+    return bands.to_frames(bands.to_bands(views.frames(spark, d), 8, 8, 3)).select("frame", "y", "x", "counts")
+
+
+@query(ORACLE_SQL["summed_data"])
+def banded_summed_data(spark, d):
+    own = bands.to_bands(frames.frame_window(views.hits(spark, d), FIRST, n_frames=360), 64, 64, 24)
+    return bands.to_frames(bands.summed_data(own)).select("y", "x", "counts")
+
+
+@query(ORACLE_SQL["summed_frames"])
+def banded_summed_frames(spark, d):
+    f = _stuck(spark, d)
+    return bands.summed_frames(bands.to_bands(f, 8, 8, 4), bands.mask_bits(masks.hot_pixels(f), 8, 8), (8, 8)).select("frame", "counts")
+
+
+@query(ORACLE_SQL["frame_diff"])
+def banded_frame_diff(spark, d):
+    return bands.to_frames(bands.frame_diff(bands.to_bands(views.frames(spark, d).drop("scan"), 8, 8, 3))).select("frame", "y", "x", F.col("counts").alias("diff"))
+
+
+@query(f"""WITH {FRAMES_SQL}, lim AS (SELECT min(frame) AS lo, max(frame) AS hi FROM frames),
+p AS (SELECT f.frame, y.i AS y, x.i AS x FROM (SELECT unnest(range((SELECT lo FROM lim), (SELECT hi + 1 FROM lim))) AS frame) f, range(8) y(i), range(8) x(i)),
+c AS (SELECT p.frame, p.y, p.x, coalesce(f.counts, 0) AS counts FROM p LEFT JOIN frames f ON f.frame = p.frame AND f.y = p.y AND f.x = p.x),
+d AS (SELECT a.frame, a.y, a.x, b.counts - a.counts AS d FROM c a JOIN c b ON b.frame = a.frame + 1 AND a.y = b.y AND a.x = b.x),
+w AS (SELECT q.frame, q.y, q.x, greatest(0, least(7, q.y + dy)) AS py, greatest(0, least(7, q.x + dx)) AS px FROM d q, range(-1, 2) r(dy), range(-1, 2) s(dx)),
+near AS (SELECT w.frame, w.y, w.x, CASE WHEN abs(sum(n.d)) >= 9 * 40.05 THEN 1 ELSE 0 END AS v FROM w JOIN d n ON n.frame = w.frame AND n.y = w.py AND n.x = w.px GROUP BY 1, 2, 3),
+wide AS (SELECT w.frame, w.y, w.x FROM w JOIN near n ON n.frame = w.frame AND n.y = w.py AND n.x = w.px GROUP BY 1, 2, 3 HAVING sum(n.v) > 9 * 0.5)
+SELECT frame, cast(y AS INT) AS y, cast(x AS INT) AS x FROM wide UNION SELECT frame + 1, cast(y AS INT), cast(x AS INT) FROM wide""")
+def banded_bragg_mask(spark, d):
+    found = bands.bragg_mask(bands.to_bands(views.frames(spark, d).drop("scan"), 8, 8, 3), 8, 8, t1=40.05, h1=3, t2=0.5, h2=3)
+    return bands.mask_rows(found).select("frame", "y", "x")
+
+
+@query()
+def banded_hkl_histogram(spark, d):
+    return bands.hkl_histogram(bands.to_bands(views.hits(spark, d), 64, 64, 16), HITS_GEOMETRY, GRID).select("il", "ik", "ih", "v", "n")
+
+
 # Peaks
 
 
@@ -368,6 +412,9 @@ def hkl_histogram(spark, d):
     return volume.hkl_histogram(views.hits(spark, d), HITS_GEOMETRY, GRID).select("il", "ik", "ih", "v", "n")
 
 
+ORACLE_SQL["banded_hkl_histogram"] = ORACLE_SQL["hkl_histogram"]
+
+
 @query(f"WITH {_G}, {_PLACED}, round(cast(sum(counts) AS DOUBLE) / count(*), 6) AS signal {_ON_GRID}")
 def combine(spark, d):
     by_entry = volume.hkl_histogram(views.hits(spark, d, with_entry=True), HITS_GEOMETRY, GRID)

@@ -23,6 +23,23 @@ def write_frames(frames: DataFrame, path: str) -> None:
     banded.repartition(*keys, "frame_band").write.mode("overwrite").partitionBy(*keys, "frame_band").parquet(path)
 
 
+def write_bands(bands: DataFrame, path: str) -> None:
+    """Frames in bands, by scan, entry and hundred frames; within a file by frame, so that a range of frames reads few row groups."""
+    keys = [c for c in ("scan", "entry") if c in bands.columns]
+    rows = bands.withColumn("frame_band", F.floor(F.col("frame") / 100).cast("int"))
+    rows.repartition(*keys, "frame_band").sortWithinPartitions(*keys, "frame_band", "frame", "y0").write.mode("overwrite").partitionBy(*keys, "frame_band").parquet(path)
+
+
+def read_bands(spark: SparkSession, path: str, frames: tuple[int, int] | None = None, rows: tuple[int, int] | None = None) -> DataFrame:
+    """What ``write_bands`` wrote: frames of [first, last) and bands that meet the detector rows of [first, last), both by filters that reach the scan."""
+    bands = spark.read.parquet(path)
+    if frames is not None:
+        bands = bands.filter((F.col("frame_band") >= frames[0] // 100) & (F.col("frame_band") <= (frames[1] - 1) // 100) & (F.col("frame") >= frames[0]) & (F.col("frame") < frames[1]))
+    if rows is not None:
+        bands = bands.filter((F.col("y0") < rows[1]) & (F.col("y0") + F.col("ny") > rows[0]))
+    return bands.drop("frame_band")
+
+
 def write_result(result: DataFrame, path: str, overwrite: bool = False, keys: tuple[str, ...] = ("scan", "entry", "subentry")) -> None:
     """Adds a result by its key partitions; keys that are there already stay as they are, or are replaced with ``overwrite``."""
     spark = result.sparkSession
