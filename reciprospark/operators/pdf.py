@@ -1,8 +1,8 @@
 """From a symmetrized volume to the pair distribution function.
 
 Volumes are sparse tables (il, ik, ih, value). A three-dimensional transform is two passes over planes of voxels: two axes within a plane, then the
-third within planes across it, so no task holds more than a plane at a time. Holes around Bragg peaks are filled by Laplace interpolation:
-all holes of one shape share a linear map from the shell around them, which is computed once.
+third within planes across it, so no task holds more than a plane at a time. Holes around Bragg peaks are filled by Laplace interpolation: the
+shell around each hole travels to a group of holes, which are solved together on the stencil, without a matrix.
 """
 
 from __future__ import annotations
@@ -11,13 +11,16 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .volume import Grid
 
-#: Voxels of a hole up to which one map is computed; a larger hole is solved by conjugate gradients.
-DIRECT_VOXELS = 2000
+#: Holes that one Arrow group fills together.
+HOLES_AT_ONCE = 64
+#: Conjugate gradients end when the squared residual is below this part of its start.
+SETTLED = 1e-24
 
 
 def _square(grid: Grid, axis: int, reciprocal: tuple[float, float, float], at):
@@ -101,86 +104,187 @@ def laplace_kernel(hole: list[tuple[int, int, int]]) -> tuple[list[tuple[int, in
                 inner[i, at[n]] -= 1
             else:
                 outer[i, rim[n]] += 1
-    if len(hole) <= DIRECT_VOXELS:
-        return shell, np.linalg.solve(inner, outer)
-    out = np.zeros_like(outer)
-    for j in range(outer.shape[1]):  # conjugate gradients, one shell voxel after another
-        x, r = out[:, j], outer[:, j].copy()
-        p, rs = r.copy(), r @ r
-        while rs > 1e-20:
-            ap = inner @ p
-            alpha = rs / (p @ ap)
-            x += alpha * p
-            r -= alpha * ap
-            new = r @ r
-            p, rs = r + new / rs * p, new
-    return shell, out
+    return shell, np.linalg.solve(inner, outer)
+
+
+def _solved(apply, b: np.ndarray) -> np.ndarray:
+    """x of apply(x) = b by conjugate gradients, for a batch (first axis) of symmetric systems without negative eigenvalues."""
+    axes = tuple(range(1, b.ndim))
+    dot = lambda u, v: (u * v).sum(axes, keepdims=True)
+    x, r = np.zeros_like(b), b.copy()
+    p, rs = r.copy(), dot(r, r)
+    end = rs * SETTLED
+    for _ in range(10 * int(np.prod(b.shape[1:])) + 10):
+        if (rs <= end).all():
+            break
+        ap = apply(p)
+        down = dot(p, ap)
+        alpha = np.where((rs > end) & (down > 0), rs / np.where(down > 0, down, 1.0), 0.0)
+        x += alpha * p
+        r -= alpha * ap
+        new = dot(r, r)
+        p = r + np.where(rs > 0, new / np.where(rs > 0, rs, 1.0), 0.0) * p
+        rs = np.where(down > 0, new, 0.0)
+    return x
+
+
+def _neighbour_sum(v: np.ndarray, first: int, weights: tuple[float, ...]) -> np.ndarray:
+    """The weighted sum of the face neighbours of each cell, over the axes from ``first`` on; there is nothing beyond the border."""
+    out = np.zeros_like(v)
+    for axis, w in enumerate(weights, first):
+        low, high = [slice(None)] * v.ndim, [slice(None)] * v.ndim
+        low[axis], high[axis] = slice(None, -1), slice(1, None)
+        out[tuple(low)] += w * v[tuple(high)]
+        out[tuple(high)] += w * v[tuple(low)]
+    return out
+
+
+def harmonic_fill(values: np.ndarray, hole: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Values of a batch of boxes (first axis) with the voxels of ``hole`` harmonic: each the mean of those face neighbours that are ``inside`` the grid.
+
+    No matrix is formed, so a hole of any size takes a few arrays of its box. A hole without anything around it gets 0.
+    """
+    one = (1.0, 1.0, 1.0)
+    degree = _neighbour_sum(inside.astype(float), 1, one)
+    known = _neighbour_sum(np.where(hole, 0.0, values) * inside, 1, one)
+    x = _solved(lambda p: np.where(hole, degree * p - _neighbour_sum(p, 1, one), 0.0), np.where(hole, known, 0.0))
+    return np.where(hole, x, values)
+
+
+def _around(centres: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
+    """(centre, s, ih, ik, il) of each offset's voxel around each centre (ih, ik, il)."""
+    o = np.array(offsets, np.int32).reshape(-1, 3)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1 + 200_000 // len(o)):
+                c = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)[lo : lo + 1 + 200_000 // len(o)].astype(np.int32)
+                own = np.repeat(c, len(o), 0)
+                at = own + np.tile(o, (len(c), 1))
+                yield pa.RecordBatch.from_arrays([*[pa.array(own[:, i]) for i in range(3)], pa.array(np.tile(np.arange(len(o), dtype=np.int32), len(c))), *[pa.array(at[:, i]) for i in range(3)]], ["ch", "ck", "cl", "s", "ih", "ik", "il"])
+
+    if not len(o):
+        raise ValueError("a hole needs a voxel")
+    whole = centres.select(*[F.col(c).cast("int").alias(c) for c in ("ih", "ik", "il")]).distinct()
+    return whole.mapInArrow(run, "ch int, ck int, cl int, s int, ih int, ik int, il int")
 
 
 def punch(volume: DataFrame, centres: DataFrame, offsets: list[tuple[int, int, int]], value: str = "value") -> DataFrame:
-    """The volume with the voxels of every hole set to 0. ``centres``: (ih, ik, il)."""
-    holes = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in offsets])).alias("o")
-    gone = centres.select("ih", "ik", "il", holes).select((F.col("ih") + F.col("o.a")).alias("ih"), (F.col("ik") + F.col("o.b")).alias("ik"), (F.col("il") + F.col("o.c")).alias("il")).distinct()
-    return volume.join(gone.withColumn("gone", F.lit(True)), ["il", "ik", "ih"], "left").withColumn(value, F.when(F.col("gone"), 0.0).otherwise(F.col(value))).drop("gone")
+    """The volume with the voxels of every hole set to 0. ``centres``: (ih, ik, il). Holes may reach over the border."""
+    gone = _around(centres, offsets).select("il", "ik", "ih").distinct().withColumn("gone", F.lit(True))
+    return volume.join(gone, ["il", "ik", "ih"], "left").withColumn(value, F.when(F.col("gone"), 0.0).otherwise(F.col(value))).drop("gone")
 
 
-def fill_holes(volume: DataFrame, centres: DataFrame, offsets: list[tuple[int, int, int]], value: str = "value") -> DataFrame:
-    """The volume with each hole filled from its shell; overlapping fills add up, and a fill of 0 or less leaves the voxel as it was.
+def hole_fills(volume: DataFrame, centres: DataFrame, offsets: list[tuple[int, int, int]], value: str = "value", grid: Grid | None = None) -> DataFrame:
+    """(ih, ik, il, fill) of the voxels of each hole, filled from the voxels around it; overlapping fills add up.
 
-    Centres must lie at least a hole and its shell inside the grid. Voxels not given count as 0. The map is a table of (hole, shell, weight), its
-    size set by the radius alone; each shell voxel of each centre meets the volume in one join.
+    Voxels not given count as 0. With ``grid`` a hole may reach over the border, where it has fewer neighbours, and is filled inside only; without, all centres must
+    lie at least a hole and its shell inside. Each hole needs its shell alone (one row a shell voxel); the holes of an Arrow group are solved together.
     """
-    spark = volume.sparkSession
-    shell, kernel = laplace_kernel(offsets)
-    around = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(a).alias("sa"), F.lit(b).alias("sb"), F.lit(c).alias("sc")) for i, (a, b, c) in enumerate(shell)])
-    weights = pd.DataFrame({"s": np.tile(np.arange(len(shell)), len(offsets)), **{n: np.repeat([o[i] for o in offsets], len(shell)) for i, n in enumerate(("a", "b", "c"))}, "w": kernel.ravel()})
-    centre = centres.select(F.struct("ih", "ik", "il").alias("centre")).distinct()
-    rims = centre.select("centre", F.explode(around).alias("o")).select("centre", "o.*").select("centre", "s", (F.col("centre.ih") + F.col("sa")).alias("ih"), (F.col("centre.ik") + F.col("sb")).alias("ik"), (F.col("centre.il") + F.col("sc")).alias("il"))
-    known = rims.join(volume.select("il", "ik", "ih", F.col(value).alias("rim")), ["il", "ik", "ih"])
-    filled = known.select("centre", "s", "rim").join(F.broadcast(spark.createDataFrame(weights)), "s")
-    by_voxel = filled.groupBy((F.col("centre.ih") + F.col("a")).cast("int").alias("ih"), (F.col("centre.ik") + F.col("b")).cast("int").alias("ik"), (F.col("centre.il") + F.col("c")).cast("int").alias("il")).agg(F.sum(F.col("w") * F.col("rim")).alias("fill"))
-    joined = volume.join(by_voxel, ["il", "ik", "ih"], "full")
+    shell, o = np.array(_shell(offsets)), np.array(offsets)
+    low = np.minimum(shell.min(0), o.min(0))
+    size = tuple(np.maximum(shell.max(0), o.max(0)) - low + 1)
+    rim, hole = tuple((shell - low).T), tuple((o - low).T)
+    n = grid.n if grid is not None else None
+
+    def run(table: pa.Table) -> pa.Table:
+        centre = np.stack([table.column(c).to_numpy() for c in ("ch", "ck", "cl")], 1)
+        own, which = np.unique(centre, axis=0, return_inverse=True)
+        s, v = table.column("s").to_numpy(), table.column("rim").to_numpy()
+        out = []
+        for lo in range(0, len(own), HOLES_AT_ONCE):
+            part = own[lo : lo + HOLES_AT_ONCE]
+            mine = (which.ravel() >= lo) & (which.ravel() < lo + len(part))
+            values, holes = np.zeros((len(part), *size)), np.zeros((len(part), *size), bool)
+            values[(which.ravel()[mine] - lo, *(r[s[mine]] for r in rim))] = v[mine]
+            holes[(slice(None), *hole)] = True
+            inside = np.ones_like(holes)
+            if n is not None:
+                for axis in range(3):
+                    at = part[:, axis, None] + low[axis] + np.arange(size[axis])
+                    inside &= np.expand_dims((at >= 0) & (at < n[axis]), [a for a in (1, 2, 3) if a != axis + 1])
+            filled = harmonic_fill(values, holes & inside, inside)
+            b, *at = np.nonzero(holes & inside)
+            out.append([*[(part[b, axis] + low[axis] + at[axis]).astype(np.int32) for axis in range(3)], filled[(b, *at)]])
+        columns = [np.concatenate(c) for c in zip(*out)]
+        return pa.table([pa.array(c) for c in columns], names=["ih", "ik", "il", "fill"])
+
+    known = _around(centres, [tuple(map(int, x)) for x in shell]).join(volume.select("il", "ik", "ih", F.col(value).cast("double").alias("rim")), ["il", "ik", "ih"], "left")
+    # also a hole whose shell is nowhere given is dealt to a group, of which each takes some holes
+    groups = max(1, -(-centres.count() // HOLES_AT_ONCE))
+    dealt = known.select("ch", "ck", "cl", "s", F.coalesce("rim", F.lit(0.0)).alias("rim"), F.pmod(F.xxhash64("ch", "ck", "cl"), F.lit(groups)).alias("group"))
+    return dealt.groupBy("group").applyInArrow(run, "ih int, ik int, il int, fill double").groupBy("ih", "ik", "il").agg(F.sum("fill").alias("fill"))
+
+
+def _replaced(volume: DataFrame, fills: DataFrame, value: str) -> DataFrame:
+    joined = volume.join(fills, ["il", "ik", "ih"], "full")
     return joined.withColumn(value, F.when(F.col("fill") > 0, F.col("fill")).otherwise(F.coalesce(value, F.lit(0.0)))).drop("fill")
 
 
-def matern_fill(rows: DataFrame, order: int = 1, eps: float = 0.0, steps: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Fills the null values of each group of (group, i, j, k, value): the m-th power of (eps^2 - Laplacian), with grid steps, is least squares small there.
+def fill_holes(volume: DataFrame, centres: DataFrame, offsets: list[tuple[int, int, int]], value: str = "value", grid: Grid | None = None) -> DataFrame:
+    """The volume with ``hole_fills`` in place of its voxels; a fill of 0 or less leaves a voxel as it was."""
+    return _replaced(volume, hole_fills(volume, centres, offsets, value, grid), value)
+
 
-    A group is one series, image or small cube with a gap and what surrounds it.
+def punch_lattice(volume: DataFrame, grid: Grid, radius: float, reciprocal: tuple[float, float, float], centring: str = "P", value: str = "value") -> DataFrame:
+    """The volume with a hole around every allowed whole-number reflection, also where it reaches over the border, filled from what surrounds it. Radius as for ``hole_offsets``."""
+    offsets = hole_offsets(radius, grid.steps, reciprocal)
+    centres = lattice_centres(volume, grid, -max(max(map(abs, o)) for o in offsets), centring)
+    return fill_holes(punch(volume, centres, offsets, value), centres, offsets, value, grid)
+
+
+def matern(values: np.ndarray, gap: np.ndarray, order: int = 1, eps: float = 0.0, aspect: tuple[float, ...] | None = None) -> np.ndarray:
+    """Values of a series, image, cube or more dimensions with those in ``gap`` such that the order-th power of (eps^2 - Laplacian) is 0 there.
+
+    The Laplacian has grid steps ``aspect`` and no neighbours beyond the border; only rows of the gap are solved, and powers are applied, never formed.
+    All values or none in the gap: nothing changes.
     """
+    if not gap.any() or gap.all():
+        return values.copy()
+    weights = tuple(1.0 / a**2 for a in (aspect or (1.0,) * values.ndim))
+    degree = _neighbour_sum(np.ones((1, *values.shape)), 1, weights) + eps**2
+
+    def power(v):
+        for _ in range(order):
+            v = degree * v - _neighbour_sum(v, 1, weights)
+        return v
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {v: n for n, v in enumerate(zip(pdf["i"], pdf["j"], pdf["k"]))}
-        size = len(pdf)
-        lap = np.zeros((size, size))
-        for (i, j, k), n in at.items():
-            lap[n, n] += eps**2
-            for d, (a, b, c) in zip((0, 0, 1, 1, 2, 2), ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))):
-                m = at.get((i + a, j + b, k + c))
-                if m is not None:
-                    w = 1 / steps[d] ** 2
-                    lap[n, n] += w
-                    lap[n, m] -= w
-        power = np.linalg.matrix_power(lap, order)
-        gap = pdf["value"].isna().to_numpy()
-        out = pdf["value"].to_numpy(float).copy()
-        if gap.any() and not gap.all():
-            rows = gap if order == 1 else np.ones(size, bool)
-            out[gap] = np.linalg.lstsq(power[np.ix_(rows, gap)], -power[np.ix_(rows, ~gap)] @ out[~gap], rcond=None)[0]
-        return pdf.assign(value=out, group=pdf["group"].astype(object))
+    hole, known = gap[None], np.where(gap, 0.0, values)[None]
+    x = _solved(lambda p: np.where(hole, power(p), 0.0), np.where(hole, -power(known), 0.0))
+    return np.where(gap, x[0], values)
+
+
+def matern_fill(rows: DataFrame, order: int = 1, eps: float = 0.0, steps: tuple[float, ...] = (1.0, 1.0, 1.0), axes: tuple[str, ...] = ("i", "j", "k")) -> DataFrame:
+    """Fills the null values of each group of (group, *axes, value): the order-th power of (eps^2 - Laplacian), with grid steps, is 0 there.
+
+    A group is one series, image, cube or box of more axes with a gap and what surrounds it; its box is that of its rows, and places without a row belong to the gap but have no row in the result.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        at = [table.column(a).to_numpy() for a in axes]
+        at = tuple(a - a.min() for a in at)
+        value = table.column("value").to_pandas().to_numpy(float)
+        box = np.full(tuple(int(a.max()) + 1 for a in at), np.nan)
+        box[at] = value
+        filled = matern(np.nan_to_num(box), np.isnan(box), order, eps, steps[: len(axes)])[at]
+        missing = np.isnan(value)
+        if np.isnan(box).all():
+            filled[:] = np.nan
+        out = np.where(missing, filled, value)
+        return table.set_column(table.schema.get_field_index("value"), "value", pa.array(out, mask=np.isnan(out)))
 
     kind = rows.schema["group"].dataType.simpleString()
-    own = rows.select("group", *[F.col(c).cast("int").alias(c) for c in "ijk"], F.col("value").cast("double").alias("value"))
-    return own.groupBy("group").applyInPandas(solve, f"group {kind}, i int, j int, k int, value double")
+    own = rows.select("group", *[F.col(c).cast("int").alias(c) for c in axes], F.col("value").cast("double").alias("value"))
+    return own.groupBy("group").applyInArrow(run, f"group {kind}, {', '.join(f'{a} int' for a in axes)}, value double")
 
 
 def lattice_centres(volume: DataFrame, grid: Grid, edge: int, centring: str = "P") -> DataFrame:
-    """(h, k, l, ih, ik, il) of the allowed integer reflections inside the grid, ``edge`` voxels from its border, that the volume's extent holds."""
+    """(h, k, l, ih, ik, il) of the allowed integer reflections inside the grid, ``edge`` voxels from its border; below 0, also those up to so many voxels outside."""
     from .lattice import absent
 
     out = volume.sparkSession.range(1)
     for name, origin, steps, n in zip("hkl", (grid.h0, grid.k0, grid.l0), grid.steps, grid.n):
-        values = [(v, round((v - origin) * steps)) for v in range(math.ceil(origin), math.floor(origin + (n - 1) / steps) + 1)]
+        values = [(v, round((v - origin) * steps)) for v in range(math.ceil(origin + min(edge, 0) / steps), math.floor(origin + (n - 1 - min(edge, 0)) / steps) + 1)]
         own = [F.struct(F.lit(v).alias(name), F.lit(i).alias(f"i{name}")) for v, i in values if edge <= i < n - edge]
         out = out.withColumn(f"_{name}", F.explode(F.array(*own) if own else F.array().cast(f"array<struct<{name}:int,i{name}:int>>")))
     out = out.select("_h.*", "_k.*", "_l.*")
@@ -191,19 +295,47 @@ def total_pdf(volume: DataFrame, grid: Grid, reciprocal: tuple[float, float, flo
     return fft3(tapered(volume, grid, reciprocal, q_max, value), grid.n[::-1])
 
 
-def delta_pdf(volume: DataFrame, grid: Grid, reciprocal: tuple[float, float, float], q_max: float, radius: float, centring: str = "P", value: str = "signal") -> DataFrame:
-    """The transform of the volume after the Bragg peaks are punched out and the holes filled."""
+def bragg_fill(volume: DataFrame, grid: Grid, laue: str, radius: float, reciprocal: tuple[float, float, float], centring: str = "P", value: str = "signal") -> DataFrame:
+    """The volume with what lies below the Bragg peaks in place of them; where the fill is 0 or less voxels stay as they are.
+
+    One reflection of each set of equivalents (the greatest) is filled and the fill symmetrized, as the volume is; trigonal and hexagonal classes, whose images
+    are not all whole moves of the grid, have all of their reflections filled. Reflections whose hole and shell aren't whole inside the grid are passed over.
+    """
+    from .volume import laue_images, symmetrize
+
     offsets = hole_offsets(radius, grid.steps, reciprocal)
-    edge = max(max(map(abs, o)) for o in offsets) + 1
-    centres = lattice_centres(volume, grid, edge, centring)
+    centres = lattice_centres(volume, grid, max(max(map(abs, o)) for o in offsets) + 1, centring)
     rows = volume.select("il", "ik", "ih", F.col(value).alias("value"))
-    filled = fill_holes(punch(rows, centres, offsets), centres, offsets)
+    if laue in ("-3", "-3m", "6/m", "6/mmm"):
+        return fill_holes(rows, centres, offsets)
+    own = [F.col(c) for c in "hkl"]
+    images = [F.struct(*[(s[i] * own[p[i]]).alias(c) for i, c in enumerate("hkl")]) for p, s, _ in laue_images(laue, group=True)]
+    first = centres.filter(F.struct(*own) == F.array_max(F.array(*images)))
+    fills = symmetrize(hole_fills(rows, first, offsets).select("il", "ik", "ih", F.col("fill").alias("v"), F.lit(None).cast("double").alias("n")), grid, laue)
+    return _replaced(rows, fills.select("il", "ik", "ih", F.col("signal").alias("fill")), "value")
+
+
+def delta_pdf(volume: DataFrame, grid: Grid, reciprocal: tuple[float, float, float], q_max: float, radius: float, centring: str = "P", value: str = "signal", laue: str | None = None) -> DataFrame:
+    """The transform of the volume after the Bragg peaks are filled in: those of ``laue`` by ``bragg_fill``, without a class every reflection by itself."""
+    if laue is not None:
+        filled = bragg_fill(volume, grid, laue, radius, reciprocal, centring, value)
+    else:
+        offsets = hole_offsets(radius, grid.steps, reciprocal)
+        centres = lattice_centres(volume, grid, max(max(map(abs, o)) for o in offsets) + 1, centring)
+        filled = fill_holes(volume.select("il", "ik", "ih", F.col(value).alias("value")), centres, offsets)
     return fft3(tapered(filled, grid, reciprocal, q_max, "value"), grid.n[::-1])
 
 
-def pdf_pipeline(voxels: DataFrame, grid: Grid, laue: str, reciprocal: tuple[float, float, float], q_max: float, radius: float, centring: str = "P") -> tuple[DataFrame, DataFrame]:
-    """(total, delta): symmetrized volume to total and difference pair distribution functions."""
+def pdf_pipeline(voxels: DataFrame, grid: Grid, laue: str, reciprocal: tuple[float, float, float], q_max: float, radius: float, centring: str = "P", symmetric: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(total, delta): voxels (v, n) to total and difference pair distribution functions.
+
+    The volume is symmetrized first; without ``symmetric`` it is v over n as it stands, with 0 where that is no finite number, and only the fill is symmetrized.
+    """
     from .volume import symmetrize
 
-    even = symmetrize(voxels, grid, laue).select("il", "ik", "ih", "signal")
-    return total_pdf(even, grid, reciprocal, q_max), delta_pdf(even, grid, reciprocal, q_max, radius, centring)
+    if symmetric:
+        even = symmetrize(voxels, grid, laue).select("il", "ik", "ih", "signal")
+    else:
+        ratio = F.try_divide(F.sum("v"), F.sum("n"))
+        even = voxels.groupBy("il", "ik", "ih").agg(ratio.alias("signal")).withColumn("signal", F.when(F.isnan("signal") | F.col("signal").isNull() | (F.abs("signal") == float("inf")), 0.0).otherwise(F.col("signal")))
+    return total_pdf(even, grid, reciprocal, q_max), delta_pdf(even, grid, reciprocal, q_max, radius, centring, laue=laue)

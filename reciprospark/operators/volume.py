@@ -111,10 +111,14 @@ def symmetrize(voxels: DataFrame, grid: Grid, laue: str, group: bool = False) ->
     weight = F.when(F.col("n").isNull() | F.isnan("n"), F.when(F.col("v") > 0, 1.0).otherwise(0.0)).otherwise(F.col("n"))
     centre = [(m - 1) // 2 for m in grid.n]
     old = [F.col(c) - centre[i] for i, c in enumerate(("ih", "ik", "il"))]
-    images = F.array(*[F.struct(*[(s[i] * old[p[i]] + centre[i]).cast("int").alias(c) for i, c in enumerate(("ih", "ik", "il"))], F.lit(float(m)).alias("m")) for p, s, m in laue_images(laue, group)])
-    spread = voxels.select(clean("v").alias("v"), weight.alias("n"), F.explode(images).alias("to")).select("to.*", "v", "n")
+    at = lambda p, s: [(s[i] * old[p[i]] + centre[i]).cast("int").alias(c) for i, c in enumerate(("ih", "ik", "il"))]
+    images = F.array(*[F.struct(*at(p, s), F.lit(float(m)).alias("m")) for p, s, m in laue_images(laue, group)])
+    # voxels of one orbit meet in one task, and images are formed and added up there: one row a voxel is shuffled, whatever the class
+    orbit = F.array_max(F.array(*[F.struct(*at(p, s)) for p, s, _ in laue_images(laue, group=True)]))
+    dealt = voxels.select(clean("v").alias("v"), weight.alias("n"), "ih", "ik", "il", orbit.alias("orbit")).repartition("orbit")
+    spread = dealt.select("orbit", F.explode(images).alias("to"), "v", "n").select("orbit", "to.*", "v", "n")
     inside = spread.filter(F.col("ih").between(0, grid.n[0] - 1) & F.col("ik").between(0, grid.n[1] - 1) & F.col("il").between(0, grid.n[2] - 1))
-    sums = inside.groupBy("il", "ik", "ih").agg(F.sum(F.col("v") * F.col("m")).alias("v"), F.sum(F.col("n") * F.col("m")).alias("n"))
+    sums = inside.groupBy("orbit", "il", "ik", "ih").agg(F.sum(F.col("v") * F.col("m")).alias("v"), F.sum(F.col("n") * F.col("m")).alias("n")).drop("orbit")
     return sums.withColumn("signal", F.when(F.col("n") > 0, F.col("v") / F.col("n")).otherwise(0.0))
 
 

@@ -558,9 +558,21 @@ def total_pdf(spark, d):
     return pdf.total_pdf(_signal(spark, d), _SMALL, _RECIPROCAL, 8.0).select("iz", "iy", "ix", (F.round("pdf", 6) + 0).alias("pdf"))
 
 
-@query()
+_FILLED = f"""c AS (SELECT il, ik, ih FROM dense WHERE il BETWEEN 2 AND 6 AND ik BETWEEN 2 AND 6 AND ih BETWEEN 2 AND 6),
+arm AS (SELECT * FROM (VALUES (0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0)) t(l, k, h)),
+s AS (SELECT c.il, c.ik, c.ih, a.l, a.k, a.h, sum(n.signal) AS s FROM c, arm a JOIN dense n ON abs(c.il + a.l - n.il) + abs(c.ik + a.k - n.ik) + abs(c.ih + a.h - n.ih) = 1 AND NOT (n.il = c.il AND n.ik = c.ik AND n.ih = c.ih) GROUP BY ALL),
+m AS (SELECT il, ik, ih, sum(s) / 30 AS mid FROM s GROUP BY 1, 2, 3),
+f AS (SELECT il, ik, ih, sum(fill) AS fill FROM (SELECT il, ik, ih, mid AS fill FROM m UNION ALL SELECT s.il + l, s.ik + k, s.ih + h, (mid + s) / 6 FROM s JOIN m ON s.il = m.il AND s.ik = m.ik AND s.ih = m.ih) GROUP BY 1, 2, 3),
+filled AS (SELECT d.il, d.ik, d.ih, CASE WHEN fill > 0 THEN fill ELSE signal END AS signal FROM dense d LEFT JOIN f ON d.il = f.il AND d.ik = f.ik AND d.ih = f.ih)"""
+
+
+@query(f"""WITH {_dense()}, {_FLOOR}, {_FILLED}, q AS (SELECT *, {_R} AS r FROM filled WHERE il < 8 AND ik < 8 AND ih < 8),
+t AS (SELECT il, ik, ih, signal * {_TAPER} AS v FROM q)
+SELECT z.i AS iz, y.i AS iy, x.i AS ix, round(sum(v * cos(2 * pi() * ((z.i - 4) * (il - 4) + (y.i - 4) * (ik - 4) + (x.i - 4) * (ih - 4)) / 8.0)) / 512, 6) + 0 AS pdf
+FROM t, range(8) z(i), range(8) y(i), range(8) x(i) GROUP BY 1, 2, 3""")
 def delta_pdf(spark, d):
-    return pdf.delta_pdf(_signal(spark, d), _SMALL, _RECIPROCAL, 8.0, 1.6).select("iz", "iy", "ix", F.round("pdf", 6).alias("pdf"))
+    """Every whole-number reflection that lies two voxels inside is a hole of seven voxels; overlapping fills add up."""
+    return pdf.delta_pdf(_signal(spark, d), _SMALL, _RECIPROCAL, 8.0, 1.6).select("iz", "iy", "ix", (F.round("pdf", 6) + 0).alias("pdf"))
 
 
 @query(f"""WITH {_VOX}, s AS (SELECT il, ik, ih, v / n AS signal FROM vox), hole AS (SELECT DISTINCT a.il + d.l AS il, a.ik + d.k AS ik, a.ih + d.h AS ih
@@ -594,11 +606,29 @@ def punch_outcomes(spark, d):
     return volume.punch_outcomes(volume.reflections_on_grid(rows, _SMALL, _vox(spark, d), 2)).select("outcome", "n")
 
 
-@query()
+@query(f"""WITH {LOG_SQL}, days AS (SELECT DISTINCT cast(floor(frame / 24) AS BIGINT) AS g FROM log), s AS (SELECT g, t.i, CASE WHEN t.i IN (0, 23) THEN 1 ELSE 2 END AS near, CASE WHEN (g * 24 + t.i) % 5 <> 2 THEN coalesce(monitor, 0) END AS v FROM days CROSS JOIN range(24) t(i) LEFT JOIN log ON frame = g * 24 + t.i),
+once AS (SELECT *, (near + 0.01) * coalesce(v, 0) - coalesce(lag(coalesce(v, 0)) OVER w, 0) - coalesce(lead(coalesce(v, 0)) OVER w, 0) AS a FROM s WINDOW w AS (PARTITION BY g ORDER BY i)),
+twice AS (SELECT *, (near + 0.01) * a - coalesce(lag(a) OVER w, 0) - coalesce(lead(a) OVER w, 0) AS b FROM once WINDOW w AS (PARTITION BY g ORDER BY i))
+SELECT g AS "group", cast(i AS INT) AS i, round(coalesce(v, -b / ((near + 0.01) * (near + 0.01) + near)), 4) AS value FROM twice""")
 def matern_fill(spark, d):
-    """Gaps in the hourly log, day by day."""
-    log = views.log(spark, d).select(F.floor(F.col("frame") / 24).cast("long").alias("group"), (F.col("frame") % 24).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("k"), F.when(F.col("frame") % 5 != 2, F.col("monitor")).alias("value"))
-    return pdf.matern_fill(log, order=2, eps=0.1).select("group", "i", F.round("value", 4).alias("value"))
+    """Gaps in the hourly log, day by day: the square of (0.01 - Laplacian) is 0 at each, which SQL can state as gaps lie five hours apart."""
+    log = views.log(spark, d).select("frame", F.col("monitor").cast("double").alias("monitor"))
+    days = log.select(F.floor(F.col("frame") / 24).cast("long").alias("group")).distinct().select("group", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i"))
+    rows = days.withColumn("frame", F.col("group") * 24 + F.col("i")).join(log, "frame", "left")
+    rows = rows.select("group", "i", F.lit(0).alias("j"), F.lit(0).alias("k"), F.when(F.col("frame") % 5 != 2, F.coalesce("monitor", F.lit(0.0))).alias("value"))
+    return pdf.matern_fill(rows, order=2, eps=0.1).select("group", "i", F.round("value", 4).alias("value"))
+
+
+@query(f"""WITH {HITS_SQL}, s AS (SELECT cast(y AS INT) AS y, cast(x AS INT) AS x, cast(sum(counts) AS DOUBLE) AS v FROM hits GROUP BY 1, 2),
+p AS (SELECT cast(a.i AS INT) AS y, cast(b.i AS INT) AS x, coalesce(v, 0) AS v, a.i % 4 = 1 AND b.i % 4 = 2 AS gap FROM range(64) a(i) CROSS JOIN range(64) b(i) LEFT JOIN s ON y = a.i AND x = b.i),
+n AS (SELECT p.y, p.x, sum(q.v / CASE WHEN p.y = q.y THEN 1.0 ELSE 4.0 END) / (sum(1 / CASE WHEN p.y = q.y THEN 1.0 ELSE 4.0 END) + 0.25) AS v FROM p JOIN p q ON abs(p.y - q.y) + abs(p.x - q.x) = 1 WHERE p.gap GROUP BY 1, 2)
+SELECT p.y, p.x, round(coalesce(n.v, p.v), 6) AS value FROM p LEFT JOIN n ON p.y = n.y AND p.x = n.x""")
+def matern_image(spark, d):
+    """Single dead pixels of the summed image, filled with steps of 2 along y and 1 along x."""
+    sums = views.hits(spark, d).groupBy("y", "x").agg(F.sum("counts").cast("double").alias("v"))
+    every = spark.range(4096).select(F.floor(F.col("id") / 64).alias("y"), (F.col("id") % 64).alias("x")).join(sums, ["y", "x"], "left")
+    rows = every.select(F.lit("f1").alias("group"), "y", "x", F.when(~((F.col("y") % 4 == 1) & (F.col("x") % 4 == 2)), F.coalesce("v", F.lit(0.0))).alias("value"))
+    return pdf.matern_fill(rows, order=1, eps=0.5, steps=(2.0, 1.0), axes=("y", "x")).select("y", "x", F.round("value", 6).alias("value"))
 
 
 # Orientation
