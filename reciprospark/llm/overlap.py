@@ -4,8 +4,8 @@ Sets come as (num, c, set): only pairs of different ``c`` (component so far) mat
 set, and a set with more misses than its size allows goes. Members that the same sets have stand together as one of their joint weight.
 What is left is put in one order, rare members first. Two similar sets have a first common member in this order, a second, and so on, and
 neither can miss more on the way than its size allows: each set is in the group of each such first member, and of two
-similar sets both are in one group. A group whose pairs would cost more than doing so is divided by the next common member, and again;
-groups that are left give their pairs, unless the sizes or what lies behind the last common member leave no room.
+similar sets both are in one group. A group whose pairs would cost more than doing so is divided by the next common member, and again, as long as its parts have far
+fewer pairs; groups that are left give their pairs, unless the sizes or what lies behind the last common member leave no room.
 All conditions follow from sizes alone, so no pair is lost.
 """
 
@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from .bytewords import mixed
 from .storage import Scratch
 
-#: Groups up to this size are never divided.
-FEW = 16
+#: A group is divided if it has more pairs than this many times the records that its parts would have, and stays so if their pairs are fewer than its own over this.
+WORTH = 2
 #: Divisions after which a group gives its pairs whatever its size.
 MOST_LEVELS = 12
 
-RECORD = "g long, num long, c long, n long, at int, spent long, got long, rest long, kids long"
-_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+RECORD = "of long, g long, num long, c long, n long, at int, spent long, got long, rest long, kids long"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 _NAMES = [c.split()[0] for c in RECORD.split(", ")]
 
 
@@ -62,11 +62,11 @@ def _children(g: np.uint64, num: int, c: int, n: int, keys: np.ndarray, weights:
     kids = np.minimum(after - which - 1, len(keys) - 1 - which) + (after > len(keys))
     with np.errstate(over="ignore"):
         group = mixed(keys[which].view(np.uint64) + g * np.uint64(0x9E3779B97F4A7C15))
-    out = [group.view(np.int64), np.full(k, num), np.full(k, c), np.full(k, n), which.astype(np.int32), missed, got + weights[which], total[-1] - total[which + 1], kids]
+    out = [np.full(k, g.view(np.int64)), group.view(np.int64), np.full(k, num), np.full(k, c), np.full(k, n), which.astype(np.int32), missed, got + weights[which], total[-1] - total[which + 1], kids]
     if at >= 0 and spent + int(total[-1] - total[at + 1]) <= slack:  # nothing else in common
         with np.errstate(over="ignore"):
             end = mixed(np.array([g + np.uint64(0xD6E8FEB86659FD93)]))
-        last = [end.view(np.int64), [num], [c], [n], np.array([len(keys)], np.int32), [spent], [got], [0], [0]]
+        last = [[g.view(np.int64)], end.view(np.int64), [num], [c], [n], np.array([len(keys)], np.int32), [spent], [got], [0], [0]]
         out = [np.concatenate([a, b]) for a, b in zip(out, last)]
     return out
 
@@ -110,19 +110,32 @@ def _divided(found: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return found.select("g", "num", "c", "n", "at", "spent", "got").join(rows.select("num", "keys", "weights"), "num").select("g", "num", "c", "n", "at", "spent", "got", "keys", "weights").mapInArrow(run, RECORD)
 
 
+def _groups(level: DataFrame, scratch: Scratch) -> DataFrame:
+    """(of, g, cross, kids) of the groups of records that hold several components; cross: pairs of different ones."""
+    by = level.groupBy("of", "g", "c").agg(F.count("*").cast("double").alias("k"), F.sum("kids").alias("kids"))
+    sums = by.groupBy("of", "g").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("square"), F.sum("kids").alias("kids"))
+    return scratch.stored(sums.filter("square < size * size").select("of", "g", ((F.col("size") * F.col("size") - F.col("square")) / 2).alias("cross"), "kids"), "overlap-groups")
+
+
 def pairs(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(u, v), u > v: every two sets of ``incidence`` of different components that are similar, and few others."""
-    level, out = scratch.stored(records(rows, percent), "overlap-groups"), None
-    for k in range(MOST_LEVELS):
-        groups = level.groupBy("g").agg(F.count("*").cast("double").alias("size"), F.sum("kids").alias("kids"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
-        large = (F.col("size") > FEW) & (F.col("size") * F.col("size") > 4 * F.col("kids")) & (F.col("kids") > 0) if k < MOST_LEVELS - 1 else F.lit(False)
-        level = scratch.stored(level.join(groups.select("g", large.alias("large")), "g"), "overlap-level")
-        met = _met(level.filter("NOT large"), percent)
-        out = met if out is None else out.unionByName(met)
-        if not level.filter("large").take(1):
+    level, out = scratch.stored(records(rows, percent), "overlap-records"), None
+    groups = _groups(level, scratch)
+    for _ in range(MOST_LEVELS):
+        large = groups.filter((F.col("kids") > 0) & (F.col("cross") > WORTH * F.col("kids"))).select("g", "cross")
+        if not large.take(1):
             break
-        level = scratch.stored(_divided(level.filter("large"), rows, percent), "overlap-groups")
-    return out.distinct()
+        parts = scratch.stored(_divided(level.join(large.select("g"), "g", "left_semi"), rows, percent), "overlap-records")
+        within = _groups(parts, scratch)
+        left = within.groupBy("of").agg(F.sum("cross").alias("left"))
+        worth = large.join(left, F.col("g") == F.col("of"), "left").filter(WORTH * F.coalesce("left", F.lit(0.0)) < F.col("cross"))
+        worth = scratch.stored(worth.select("g"), "overlap-divided")
+        met = _met(level.join(groups.join(worth, "g", "left_anti").select("g"), "g", "left_semi"), percent)
+        out = met if out is None else out.unionByName(met)
+        groups = scratch.stored(within.join(worth.select(F.col("g").alias("of")), "of", "left_semi"), "overlap-groups")
+        level = parts
+    met = _met(level.join(groups.select("g"), "g", "left_semi"), percent)
+    return (met if out is None else out.unionByName(met)).distinct()
 
 
 def _met(level: DataFrame, percent: int) -> DataFrame:
