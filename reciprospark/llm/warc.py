@@ -51,12 +51,14 @@ def _record(kind: str, record_id: Column, content_type: str, block: Column, **he
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Writes the archive of ``pages`` to the folder ``path``."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    url = F.regexp_replace(F.col(url_col), r"[\r\n]", "")  # a header holds one line
-    rows = pages.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("page_id"), url.alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("length"))
+    html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
+    url = F.regexp_replace(F.col(f"`{url_col}`"), r"[\r\n]", "")  # a header holds one line
+    own = F.col(f"`{id_col}`")
+    rows = pages.filter(own.isNotNull()).select(own.alias("page_id"), url.alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("length"))
     sharing = rows.filter(F.col("length") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # small as a rule; stored, so that its size is known when Spark chooses how to join
-    rows = rows.join(stored(sharing, "warc-originals"), "digest", "left")
+    # small as a rule; stored, so that its size is known when Spark chooses how to join. Payloads that can't be revisits don't meet it
+    short = rows.filter(F.col("length") < MIN_REVISIT).withColumn("original", F.lit(None).cast(rows.schema["page_id"].dataType))
+    rows = rows.filter(F.col("length") >= MIN_REVISIT).join(stored(sharing, "warc-originals"), "digest", "left").unionByName(short)
     original = F.when((F.col("length") >= MIN_REVISIT) & (F.col("original") != F.col("page_id")), F.col("original"))
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("length").cast("string"), F.lit(END))
@@ -168,9 +170,20 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return packed.unionByName(plain)
 
 
-def captures(records: DataFrame) -> DataFrame:
-    """One nested row per capture: record_id, page_id, target_uri, request, response (with payload, or of a revisit without), metadata.
+def digested(records: DataFrame) -> DataFrame:
+    """Records without payloads: their length and digest, found where they are read, stand for them (``payload_bytes``, ``payload_digest``)."""
+    payload = F.col("payload")
+    return records.select(
+        *[c for c in records.columns if c != "payload"],
+        F.coalesce(F.octet_length(payload), F.col("http_length")).cast("long").alias("payload_bytes"),
+        F.coalesce(F.sha1(payload), F.col("header_digest")).alias("payload_digest"),
+    )
+
+
+def captures(records: DataFrame, id_type: str = "long") -> DataFrame:
+    """One nested row per capture: record_id, page_id, target_uri, request, response (with payload, or of a revisit without; of ``digested`` records with length and digest), metadata.
 
+    Page ids are read as ``id_type``, a Spark type such as long or string; one that isn't of this type comes back null.
     Request and metadata records go to the captures that they name or that name them; where there are none, to the least capture that
     can be reached through concurrent-to identifiers. They are few bytes each: gathered by capture, then met in one join.
     """
@@ -193,18 +206,22 @@ def captures(records: DataFrame) -> DataFrame:
         F.max(F.when(F.col("record_type") == "request", F.struct("record_id", "http_headers"))).alias("request"),
         F.max_by(F.struct("record_id", "fields"), F.when(F.col("record_type") == "metadata", F.col("record_id"))).alias("metadata"),
     )
-    responses = records.filter(capture).select("record_id", "target_uri", F.struct("record_type", "http_headers", "http_length", "header_digest", "refers_to", "payload").alias("response"))
+    responses = records.filter(capture).select("record_id", "target_uri", F.struct("record_type", "http_headers", "http_length", "header_digest", "refers_to", *[c for c in ("payload", "payload_bytes", "payload_digest") if c in records.columns]).alias("response"))
     joined = responses.join(about, "record_id", "left")
-    return joined.select("record_id", F.col("metadata.fields")["pageId"].cast("long").alias("page_id"), "target_uri", "request", "response", "metadata")
+    return joined.select("record_id", F.col("metadata.fields")["pageId"].try_cast(id_type).alias("page_id"), "target_uri", "request", "response", "metadata")
 
 
 def payload_report(found: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of ``captures``' rows; a revisit's referred record is looked up."""
-    payload = F.col("response.payload")
+    if "payload" in found.schema["response"].dataType.names:
+        payload = F.col("response.payload")
+        size, digest = F.coalesce(F.octet_length(payload), F.col("response.http_length")).cast("long"), F.coalesce(F.sha1(payload), F.col("response.header_digest"))
+    else:
+        size, digest = F.col("response.payload_bytes"), F.col("response.payload_digest")
     rows = found.select(
         "page_id",
-        F.coalesce(F.octet_length(payload), F.col("response.http_length")).cast("long").alias("payload_bytes"),
-        F.coalesce(F.sha1(payload), F.col("response.header_digest")).alias("payload_digest"),
+        size.alias("payload_bytes"),
+        digest.alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
         F.col("response.refers_to").alias("refers_id"),
         "record_id",
