@@ -88,7 +88,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
     def encode(batches):
         model = tokens.opened(tokenizer)
         for batch in batches:
-            part = np.searchsorted(np.array(bounds, np.int64), batch.column(0).fill_null(-(2**63)).to_numpy(), "right").astype(np.int32)
+            part = np.searchsorted(np.array(bounds, np.int64), batch.column(0).fill_null(0).to_numpy(), "right").astype(np.int32)
+            part = np.where(batch.column(0).is_null().to_numpy(zero_copy_only=False), -1 - batch.column(2).to_numpy(), part).astype(np.int32)
             for texts in bw.text_slices(batch.column(1)):
                 ids, n = model.ids(texts)
                 ends = np.cumsum(n + 1)
@@ -118,9 +119,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
         if now is not None and now.held:
             yield _chunk_batch([now.cut()])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    # rows without an id come first, dealt over parts of their own by their text; rows that share an id stand in the order of their token ids
+    texts = texts.withColumn("spread", F.pmod(F.xxhash64("text"), F.lit(shuffles)).cast("int"))
     encoded = texts.mapInArrow(encode, "part int, doc_id long, ids binary")
-    dealt = encoded.repartition(shuffles, "part").sortWithinPartitions("part", "doc_id")
+    dealt = encoded.repartition(shuffles, "part").sortWithinPartitions("part", "doc_id", "ids")
     dealt.mapInArrow(cut, CHUNK_SCHEMA).write.option("compression", "none").parquet(path)
 
 

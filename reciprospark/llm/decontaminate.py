@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
+from .names import free
 from .storage import dropped, small_batches, stored
 
 K1, B = 1.2, 0.75
@@ -308,7 +309,7 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str | None = "t
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", **columns) -> DataFrame:
-    """(doc id, item id, score, question_overlap, answer_overlap) of every leak. ``columns``: as for ``indexes``."""
+    """(doc id, item id, score, question_overlap, answer_overlap) of every leak; a name that is taken gets an underscore. ``columns``: as for ``indexes``."""
     small_batches(docs.sparkSession)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
     schema = f"doc {kind}, item {item_kind}, score double, question_overlap double, answer_overlap double"
@@ -324,12 +325,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                     ids = pa.array([index.item_ids[k] for k in item])
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), ids, *numbers], ["doc", "item", "score", "question_overlap", "answer_overlap"])
 
-        own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+        own = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
         own = own if only else stored(own, "leaks")
         found = own if found is None else found.unionByName(own)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
-    return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_id_col), "score", "question_overlap", "answer_overlap")
+    item_name = free(item_id_col, id_col)
+    return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_name), *[F.col(c).alias(free(c, id_col, item_name)) for c in ("score", "question_overlap", "answer_overlap")])
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP, text_col: str = "text", item_id_col: str = "item_id", **columns) -> DataFrame:

@@ -62,9 +62,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark, "warc")
-    warc.write_archive(_table(spark, sf_dir, "pages"), path)
-    return warc.payload_report(warc.captures(warc.read_records(spark, path)))
+    pages, path = _table(spark, sf_dir, "pages"), shared_dir(spark, "warc")
+    warc.write_archive(pages, path)
+    return warc.payload_report(warc.captures(warc.digested(warc.read_records(spark, path)), pages.schema["page_id"].dataType.simpleString()))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

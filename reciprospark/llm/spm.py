@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .chunks import ChunkTable, per_text, places_of
+from .names import free
 from .storage import small_batches
 
 MARK = "▁"
@@ -203,7 +204,7 @@ def opened(path: str) -> PrefixTable:
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded string) of every row. ``model_path`` must be readable on every executor."""
+    """(id, ids array<int>, decoded string) of every row; a name that the id has gets an underscore. ``model_path`` must be readable on every executor."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -219,14 +220,16 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, n_texts), lists, decoded], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").select(F.col("id").alias(id_col), "ids", "decoded")
+    found = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
+    return found.select(F.col("id").alias(id_col), *[F.col(c).alias(free(c, id_col)) for c in ("ids", "decoded")])
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of ``encode_decode``'s rows."""
+    ids, decoded = (F.col(free(c, id_col)) for c in ("ids", "decoded"))
     return encoded.select(
-        id_col,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.col(f"`{id_col}`"),
+        F.size(ids).cast("long").alias(free("n_tokens", id_col)),
+        F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256).alias(free("ids_sha256", id_col)),
+        F.sha2(decoded.cast("binary"), 256).alias(free("decoded_sha256", id_col)),
     )
