@@ -1,7 +1,7 @@
 """Indexing, orientation refinement, reduced cells and detector calibration.
 
-Passes over peaks are Spark aggregates; what reaches the driver are histograms of directions, a few hundred candidates, or
-the normal equations of a least squares step (at most 15 x 15).
+Passes over peaks are Spark aggregates; what reaches the driver are numbers of each direction of the hemisphere (some 7,000), counts of pairs and triples of
+candidates, or the normal equations of a least squares step (at most 15 x 15).
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from reciprospark.functions import geometry as geo
 from reciprospark.functions.geometry import Geometry
 
 STEP, BINS, TOP = 0.03, 512, 500
-#: Vectors of which triples are formed.
-MOST_VECTORS = 12
+#: Triples that one pass over the scattering vectors counts.
+TRIPLES = 2000
 
 
 def hemisphere(step: float = STEP) -> np.ndarray:
@@ -91,14 +91,81 @@ def refined_vectors(qs: DataFrame, vectors: np.ndarray, tolerance: float) -> np.
     return np.array([np.linalg.lstsq(mk, bk, rcond=None)[0] for mk, bk in zip(m, b)]).reshape(-1, 3)
 
 
-def near_patterns(qs: DataFrame, vectors: np.ndarray, tolerance: float) -> dict[tuple[int, int], int]:
-    """How many scattering vectors have each pattern of (near a whole number, near zero) over at most a dozen vectors, as bit masks."""
-    near, zero = F.lit(0), F.lit(0)
-    for i, d in enumerate(vectors):
-        p = sum(float(x) * F.col(c) for x, c in zip(d, ("qx", "qy", "qz")))
-        near = near + F.when(F.abs(p - F.rint(p)) <= tolerance, 1 << i).otherwise(0)
-        zero = zero + F.when(F.round(p, 4) == 0, 1 << i).otherwise(0)
-    return {(r["near"], r["zero"]): r["count"] for r in qs.select(near.alias("near"), zero.alias("zero")).groupBy("near", "zero").count().collect()}
+def joint_counts(qs: DataFrame, vectors: np.ndarray, sets: np.ndarray, tolerance: float, zeros: bool = False) -> np.ndarray:
+    """For each set (a row of numbers of ``vectors``) the scattering vectors that all of it index, those that all of it put at 0 left out unless ``zeros``. One pass."""
+    v, sets = np.asarray(vectors, float).reshape(-1, 3), np.asarray(sets, int)
+
+    def run(batches):
+        total = np.zeros(len(sets), np.int64)
+        for pdf in batches:
+            for lo in range(0, len(pdf), 1024):
+                p = pdf[["qx", "qy", "qz"]].to_numpy(float)[lo : lo + 1024] @ v.T
+                near, zero = np.abs(p - np.rint(p)) <= tolerance, np.round(p, 4) == 0
+                all_near, all_zero = near[:, sets[:, 0]], zero[:, sets[:, 0]]
+                for column in sets.T[1:]:
+                    all_near, all_zero = all_near & near[:, column], all_zero & zero[:, column]
+                total += (all_near if zeros else all_near & ~all_zero).sum(0)
+        yield pd.DataFrame({"k": np.arange(len(sets)), "n": total})
+
+    out = np.zeros(len(sets), np.int64)
+    for r in qs.select("qx", "qy", "qz").mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        out[r["k"]] = r["n"]
+    return out
+
+
+def best_triple(qs: DataFrame, vectors: np.ndarray, tolerance: float, least_volume: float) -> np.ndarray | None:
+    """Of all triples of ``vectors`` in order the last that indexes over a fifth more scattering vectors than the one held before it; rows right-handed.
+
+    A triple indexes no more than any pair in it, so triples whose pairs don't reach the bar are passed over; all others are counted, some in each pass.
+    """
+    n = len(vectors)
+    if n < 3:
+        return None
+    pairs = np.array([(i, j) for i in range(n) for j in range(i + 1, n)])
+    bound = np.zeros((n, n), np.int64)
+    bound[pairs[:, 0], pairs[:, 1]] = joint_counts(qs, vectors, pairs, tolerance, zeros=True)
+
+    def triples(bar: float, after: tuple[int, int, int]):
+        for i in range(n):
+            for j in range(i + 1, n):
+                if bound[i, j] > bar:
+                    for k in range(j + 1, n):
+                        if (i, j, k) > after and min(bound[i, k], bound[j, k]) > bar and abs(np.linalg.det(vectors[[i, j, k]])) > least_volume:
+                            yield i, j, k
+
+    best, best_n, after = None, 0, (-1, -1, -1)
+    while True:
+        part = [t for t, _ in zip(triples(1.2 * best_n, after), range(TRIPLES))]
+        if not part:
+            break
+        for t, c in zip(part, joint_counts(qs, vectors, np.array(part), tolerance)):
+            if best is None or c > 1.2 * best_n:
+                best, best_n = t, int(c)
+        after = part[-1]
+    if best is None:
+        return None
+    m = vectors[list(best)]
+    return m if np.linalg.det(m) > 0 else m * [[1], [1], [-1]]
+
+
+def height_threshold(heights: np.ndarray, top: int = TOP) -> float:
+    """From which height on directions are kept: the least of the ``top`` highest, if that is at least half of the greatest; else the greatest of these below that half."""
+    high = np.sort(heights)[::-1][:top]
+    half = high[0] / 2
+    return float(high[-1] if high[-1] >= half else high[high < half][0])
+
+
+def first_period(power: np.ndarray, threshold: float) -> float:
+    """The place, to a part of a bin, of the first local maximum above ``threshold`` behind the first local minimum below it; 0 where there is none."""
+    inner = np.arange(1, len(power) - 1)
+    low = inner[(power[inner] < power[inner - 1]) & (power[inner] < power[inner + 1]) & (power[inner] < threshold)]
+    if not len(low):
+        return 0.0
+    high = inner[(power[inner] > power[inner - 1]) & (power[inner] > power[inner + 1]) & (power[inner] > threshold) & (inner > low[0])]
+    if not len(high):
+        return 0.0
+    near = np.arange(max(0, high[0] - 2), min(len(power), high[0] + 3))
+    return float((near * power[near]).sum() / power[near].sum())
 
 
 def index_count_3d(qs: DataFrame, ub: np.ndarray, tolerance: float) -> int:
@@ -128,58 +195,47 @@ def dedupe_directions(vectors: list[tuple[np.ndarray, int]], length: float = 0.1
 
 
 def index_lattice(qs: DataFrame, min_d: float, max_d: float, tolerance: float = 0.12) -> np.ndarray | None:
-    """UB from scattering vectors by the periods of their projections; none with fewer than four peaks or without three directions."""
+    """UB from scattering vectors by the periods of their projections; none with fewer than four peaks or without three directions.
+
+    All directions whose spectrum reaches the threshold are tried, and all triples of the vectors that stay; no list is cut.
+    """
     spark = qs.sparkSession
-    n = qs.count()
-    if n < 4:
+    if qs.count() < 4:
         return None
     qs = qs.select("qx", "qy", "qz")
     around = hemisphere()
     table = spark.createDataFrame(pd.DataFrame({"direction": np.arange(len(around)), "tx": around[:, 0], "ty": around[:, 1], "tz": around[:, 2]}))
     q_max = 1.1 * qs.agg(F.max(F.sqrt(F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2))).first()[0]
 
-    def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
+    def spectrum(pdf: pd.DataFrame) -> np.ndarray:
         line = np.zeros(BINS)
         np.add.at(line, np.minimum(pdf["bin"].to_numpy(), BINS - 1), pdf["n"].to_numpy())
-        power = np.abs(np.fft.rfft(line))
-        # a period of the projection is a peak after the first minimum
-        low = 1
-        while low + 1 < len(power) and power[low + 1] <= power[low]:
-            low += 1
-        d = np.arange(len(power)) / q_max
-        usable = (np.arange(len(power)) >= max(5, low)) & (d > 0.8 * min_d) & (d <= 1.2 * max_d)
-        if not usable.any():
-            return pd.DataFrame({"direction": [], "d": [], "height": []})
-        at = int(np.flatnonzero(usable)[np.argmax(power[usable])])
-        near = slice(max(0, at - 2), at + 3)
-        centre = float((power[near] * np.arange(len(power))[near]).sum() / power[near].sum())
-        return pd.DataFrame({"direction": [int(pdf["direction"].iloc[0])], "d": [centre / q_max], "height": [float(power[at])]})
-
-    found = projection_histogram(qs, table).groupBy("direction").applyInPandas(spectrum, "direction long, d double, height double")
-    top = found.orderBy(F.desc("height"), "direction").limit(TOP).collect()
-    vectors = [around[r["direction"]] * r["d"] for r in top]
-    counts = index_count(qs, vectors, tolerance)
-    good = sorted(((v, c) for v, c in zip(vectors, counts) if c >= 0.5 * n), key=lambda x: -x[1])[:60]
-    fine = np.array([v for v, _ in dedupe_directions(good)])
-    if len(fine) < 3:
+        return np.abs(np.fft.rfft(line))
+
+    lines = projection_histogram(qs, table).cache()
+    highest = lambda pdf: pd.DataFrame({"height": [float(spectrum(pdf)[5:].max())]})
+    threshold = height_threshold(np.array([r[0] for r in lines.groupBy("direction").applyInPandas(highest, "height double").collect()]))
+
+    def period(pdf: pd.DataFrame) -> pd.DataFrame:
+        power = spectrum(pdf)
+        place = first_period(power, threshold) if power[5:].max() >= threshold else 0.0
+        return pd.DataFrame({"direction": [int(pdf["direction"].iloc[0])], "d": [place / q_max]})
+
+    found = lines.groupBy("direction").applyInPandas(period, "direction long, d double").filter((F.col("d") > 0.8 * min_d) & (F.col("d") <= 1.2 * max_d)).orderBy("direction").collect()
+    lines.unpersist()
+    vectors = np.array([around[r["direction"]] * r["d"] for r in found]).reshape(-1, 3)
+    if len(vectors) < 3:
         return None
+    counts = tallied(qs, vectors, tolerance)[0]
+    fine, most = vectors[counts >= 0.5 * counts.max()], 0
     for _ in range(5):
         fine = refined_vectors(qs, fine, tolerance)
-    scored = [(v, c) for v, c in zip(fine, index_count(qs, fine, tolerance)) if c >= 0.75 * n and np.linalg.norm(v) > 0.8 * min_d]
-    scored = sorted(dedupe_directions(scored), key=lambda x: -x[1])[:MOST_VECTORS]
-    scored.sort(key=lambda x: np.linalg.norm(x[0]))
-    patterns = near_patterns(qs, [v for v, _ in scored], tolerance)
-    best, best_n = None, 0
-    for i in range(len(scored)):
-        for j in range(i + 1, len(scored)):
-            for k in range(j + 1, len(scored)):
-                m = np.array([scored[i][0], scored[j][0], scored[k][0]])
-                if abs(np.linalg.det(m)) <= min_d**3 / 4:
-                    continue
-                bits = 1 << i | 1 << j | 1 << k
-                c = sum(count for (near, zero), count in patterns.items() if near & bits == bits and zero & bits != bits)
-                if best is None or c > 1.2 * best_n:
-                    best, best_n = m if np.linalg.det(m) > 0 else m * [[1], [1], [-1]], c
+        counts = tallied(qs, fine, tolerance)[0]
+        most = max(most, int(counts.max()))
+    length = np.linalg.norm(fine, axis=1)
+    keep = (length >= 0.8 * min_d) & (length <= 1.2 * max_d) & (counts > 0.75 * most)
+    kept = dedupe_directions([(v, int(c)) for v, c in zip(fine[keep], counts[keep])])
+    best = best_triple(qs, np.array(sorted((v for v, _ in kept), key=np.linalg.norm)).reshape(-1, 3), tolerance, min_d**3 / 4)
     if best is None:
         return None
     for _ in range(4):
