@@ -235,7 +235,8 @@ def repair(rows: DataFrame, bits: int = CHUNK_BITS) -> Repair:
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]).alias("codes"), F.min("pos").alias("at"),
         F.min("turn").alias("lo"), F.max("turn").alias("hi"), F.size(F.collect_set("turn")).alias("n_turns"),
     )
-    chunks = scratch.stored(chunks.withColumn("last", F.expr("lead(block) OVER (PARTITION BY conv ORDER BY block) IS NULL")), "chunks")
+    beside = lambda f: F.expr(f"{f}(block) OVER (PARTITION BY conv ORDER BY block) IS NULL")
+    chunks = scratch.stored(chunks.withColumn("last", beside("lead")).withColumn("alone", F.col("last") & beside("lag")), "chunks")
 
     speculative = lambda row, costs: (AT_END, backwards(row["codes"], AT_END, costs)[-1])
     again = lambda row, costs: (row["due"], fixed_up(row["codes"], tuple(row["end"]), tuple(row["due"]), tuple(row["start"]), costs))
@@ -248,10 +249,11 @@ def repair(rows: DataFrame, bits: int = CHUNK_BITS) -> Repair:
             break
         rerun = _mapped(_with(due.filter("stale"), chunks, "codes"), again, pair)
         vectors = scratch.stored(due.filter("NOT stale").select(*vectors.columns).unionByName(rerun), "vectors")
-    full = scratch.stored(_with(chunks.select("conv", "block", "codes", "last"), vectors, "end"), "vectors-true")
+    full = scratch.stored(_with(chunks.select("conv", "block", "codes", "last", "alone"), vectors, "end"), "vectors-true")
 
     exits = lambda row, costs: ([START] * 4 if row["last"] else [trace(row["codes"], tuple(row["end"]), s, costs)[1] for s in range(4)],)
-    entries = _mapped(full, exits, "exits array<int>").groupBy("conv").applyInArrow(_entered, f"conv {rows.schema['conv'].dataType.simpleString()}, block long, entry int")
+    entries = _mapped(full.filter("NOT alone"), exits, "exits array<int>").groupBy("conv").applyInArrow(_entered, f"conv {rows.schema['conv'].dataType.simpleString()}, block long, entry int")
+    entries = entries.unionByName(full.filter("alone").select("conv", "block", F.lit(START).alias("entry")))
 
     def traced(row, costs):
         pieces, state, cost = trace(row["codes"], tuple(row["end"]), row["entry"], costs)
@@ -259,7 +261,7 @@ def repair(rows: DataFrame, bits: int = CHUNK_BITS) -> Repair:
         return pieces, tail, cost + 2 * len(tail), row["entry"]
 
     edits = _mapped(_with(full, entries, "entry"), traced, "pieces array<string>, tail string, cost long, entry int")
-    done = stored(_with(chunks.drop("last"), edits, "pieces", "tail", "cost", "entry"), "edits")
+    done = stored(_with(chunks.drop("last", "alone"), edits, "pieces", "tail", "cost", "entry"), "edits")
     scratch.clear()
     return Repair(placed.select("pos", "conv", "turn", "role", "text"), done, bits)
 
