@@ -218,6 +218,11 @@ def hkl_to_pixels(reflections: DataFrame, geo: Geometry) -> DataFrame:
     )
 
 
+def unique_roots(roots: Column, digits: int = 4) -> Column:
+    """The distinct numbers of an array of roots to so many decimals, rising; nulls and what is no number left out."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(roots, lambda r: r.isNotNull() & ~F.isnan(r)), lambda r: F.round(r, digits) + 0.0)))
+
+
 def on_detector(geo: Geometry, x: Column, y: Column, z: Column, frames: int = 3648) -> Column:
     return (x > 0) & (x < geo.nx) & (y > 0) & (y < geo.ny) & (z > 0) & (z < frames)
 

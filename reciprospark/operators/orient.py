@@ -243,6 +243,68 @@ def index_lattice(qs: DataFrame, min_d: float, max_d: float, tolerance: float =
     return np.linalg.inv(best)
 
 
+def pair_hypotheses(peaks: np.ndarray, polar: np.ndarray, cell: tuple[float, ...], wavelength: float, tolerance: float = 1.0, ring: float = 0.2) -> tuple[list[tuple], np.ndarray]:
+    """(numbers of two peaks and the reflections they may be, orientation of each such pair): two peaks fix an orientation once their reflections are known.
+
+    A peak may be any reflection whose angle is within ``ring`` degrees of its own (``polar``); two must stand at the angle that the peaks have, within ``tolerance`` degrees.
+    Pairs of peaks less than 10 degrees from a line fix nothing well and are left out.
+    """
+    b = geo.b_matrix(*cell)
+    reach = [int(2 * math.sin(math.radians(polar.max() + ring) / 2) / wavelength * c) + 1 for c in cell[:3]]
+    hkl = np.array([v for v in np.ndindex(*(2 * r + 1 for r in reach))]) - reach
+    hkl = hkl[np.any(hkl != 0, axis=1)]
+    v = hkl @ b.T
+    size = np.linalg.norm(v, axis=1)
+    angle = np.degrees(2 * np.arcsin(np.clip(size * wavelength / 2, 0, 1)))
+    unit, own = v / size[:, None], peaks / np.linalg.norm(peaks, axis=1)[:, None]
+    names, turns = [], []
+    for i in range(len(peaks)):
+        for j in range(i + 1, len(peaks)):
+            between = math.degrees(math.acos(np.clip(own[i] @ own[j], -1, 1)))
+            if not 10 < between < 170:
+                continue
+            first, second = (np.flatnonzero(np.abs(angle - polar[k]) <= ring) for k in (i, j))
+            off = np.abs(np.degrees(np.arccos(np.clip(unit[first] @ unit[second].T, -1, 1))) - between)
+            for a, c in zip(*np.nonzero(off < tolerance)):
+                names.append((i, j, *map(int, hkl[first[a]]), *map(int, hkl[second[c]])))
+                turns.append(geo.ub_from_two_peaks(b, hkl[first[a]], hkl[second[c]], peaks[i], peaks[j]))
+    return names, np.array(turns).reshape(-1, 3, 3)
+
+
+def orientation_votes(qs: DataFrame, cell: tuple[float, ...], wavelength: float, seeds: int = 6, tolerance: float = 1.0, ring: float = 0.2, near: float = 0.1) -> DataFrame:
+    """(first, second, h1, k1, l1, h2, k2, l2, u array of 9, votes): each orientation that a pair of the ``seeds`` brightest peaks allows, and how many peaks (qx, qy, qz, polar, intensity) it indexes.
+
+    Seeds and their possible reflections are a few dozen rows; all peaks vote on all orientations in one pass.
+    """
+    spark = qs.sparkSession
+    top = qs.filter("qx IS NOT NULL AND qy IS NOT NULL AND qz IS NOT NULL AND polar > 0").orderBy(F.desc("intensity"), "qx", "qy", "qz").limit(seeds).select("qx", "qy", "qz", "polar").collect()
+    names, turns = pair_hypotheses(np.array([r[:3] for r in top], float).reshape(-1, 3), np.array([r[3] for r in top], float), cell, wavelength, tolerance, ring) if len(top) > 1 else ([], np.zeros((0, 3, 3)))
+    schema = "hypothesis int, first int, second int, h1 int, k1 int, l1 int, h2 int, k2 int, l2 int, u array<double>"
+    table = spark.createDataFrame([(n, *name, u.ravel().tolist()) for n, (name, u) in enumerate(zip(names, turns))], schema)
+    if not names:
+        return table.withColumn("votes", F.lit(0).cast("long")).drop("hypothesis")
+    inverse = np.linalg.inv(turns @ geo.b_matrix(*cell))
+
+    def vote(batches):
+        total = np.zeros(len(inverse), np.int64)
+        for pdf in batches:
+            for lo in range(0, len(pdf), 256):
+                q = pdf[["qx", "qy", "qz"]].to_numpy(float)[lo : lo + 256]
+                hkl = np.einsum("nij,qj->nqi", inverse, q)
+                whole = np.rint(hkl)
+                total += ((np.abs(hkl - whole) <= near).all(2) & (whole != 0).any(2)).sum(1)
+        yield pd.DataFrame({"hypothesis": np.arange(len(total), dtype=np.int32), "votes": total})
+
+    votes = qs.select("qx", "qy", "qz").mapInPandas(vote, "hypothesis int, votes long").groupBy("hypothesis").agg(F.sum("votes").alias("votes"))
+    return table.join(F.broadcast(votes), "hypothesis").drop("hypothesis")
+
+
+def best_orientation(votes: DataFrame) -> np.ndarray | None:
+    """The orientation with most votes; of equals the one of the first peaks and the greatest reflections."""
+    best = votes.orderBy(F.desc("votes"), "first", "second", *[F.desc(c) for c in ("h1", "k1", "l1", "h2", "k2", "l2")]).limit(1).collect()
+    return np.array(best[0]["u"]).reshape(3, 3) if best else None
+
+
 def least_squares(rows: DataFrame, start: np.ndarray, residuals: Callable[[np.ndarray], list[Column]], step: float = 1e-5, rounds: int = 20, tolerance: float = 1e-12) -> np.ndarray:
     """Damped least squares: each round sums J^T J and J^T r of finite differences in one aggregate; the small system is solved here."""
     x, damp = np.array(start, float), 1e-3

@@ -150,3 +150,15 @@ def export_peaks(peaks: DataFrame, correction: DataFrame, tolerance: float) -> D
     at = peaks.filter(F.col("diff") < tolerance).withColumn("iy", F.rint("y").cast("int")).withColumn("ix", F.rint("x").cast("int"))
     image = correction.select(F.col("y").cast("int").alias("iy"), F.col("x").cast("int").alias("ix"), "polarization")
     return at.join(image, ["iy", "ix"], "left").withColumn("intensity", F.col("intensity") / F.coalesce("polarization", F.lit(1.0))).drop("iy", "ix", "polarization")
+
+
+def brightest_in_boxes(frames: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(box, y, x, counts) of the brightest pixel in each box (box, y0, y1, x0, x1; borders belong to it), of equals the first by y and x. A box without pixels has no row.
+
+    ``frames`` (y, x, counts) may hold many frames; the greatest value of a pixel counts. Boxes meet pixels by tiles of 64 by 64.
+    """
+    tile = lambda c: F.floor(F.col(c) / 64)
+    spread = boxes.withColumn("ty", F.explode(F.sequence(tile("y0"), tile("y1")))).withColumn("tx", F.explode(F.sequence(tile("x0"), tile("x1"))))
+    pixels = frames.groupBy("y", "x").agg(F.max("counts").alias("counts")).withColumn("ty", tile("y")).withColumn("tx", tile("x"))
+    inside = pixels.join(spread, ["ty", "tx"]).filter(F.col("y").between(F.col("y0"), F.col("y1")) & F.col("x").between(F.col("x0"), F.col("x1")))
+    return inside.groupBy("box").agg(F.max_by(F.struct("y", "x", "counts"), F.struct("counts", -F.col("y"), -F.col("x"))).alias("p")).select("box", "p.*")

@@ -12,6 +12,7 @@ from reciprospark.functions import scalars
 from reciprospark.operators import bands, bravais, catalog, frames, lattice, masks, orient, pdf, peaks, volume
 from reciprospark.plans import views
 from reciprospark.plans.views import FRAMES_SQL, HITS3_SQL, HITS_GEOMETRY, HITS_SQL, LOG_SQL, TASKS_SQL
+from reciprospark.sources import hooks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -631,9 +632,57 @@ def matern_image(spark, d):
     return pdf.matern_fill(rows, order=1, eps=0.5, steps=(2.0, 1.0), axes=("y", "x")).select("y", "x", F.round("value", 6).alias("value"))
 
 
+# Sources
+
+
+@query("""WITH cur AS (SELECT o_custkey AS file, 'f' || (o_orderkey % 3) AS entry, CASE o_orderkey % 5 WHEN 0 THEN 'instrument/logs' WHEN 1 THEN 'monitor' WHEN 2 THEN 'instrument/goniometer' WHEN 3 THEN 'monitor1' ELSE 'sample' END AS path,
+    o_orderpriority AS field, 'v' || max(o_orderkey) AS value FROM orders GROUP BY ALL),
+sup AS (SELECT c_custkey AS file, 'f' || (c_custkey % 3) AS entry, CASE c_nationkey % 3 WHEN 0 THEN 'instrument/logs' WHEN 1 THEN 'instrument/goniometer' ELSE 'monitor' END AS path, CASE c_nationkey % 2 WHEN 0 THEN '1-URGENT' ELSE '5-LOW' END AS field, c_name AS value FROM customer),
+kept AS (SELECT cur.* FROM cur LEFT JOIN (SELECT DISTINCT file, entry FROM sup) r USING (file, entry) WHERE r.file IS NULL OR path NOT IN ('monitor1', 'monitor2')),
+left_ AS (SELECT k.* FROM kept k ANTI JOIN (SELECT file, entry, path FROM sup WHERE path <> 'instrument/goniometer') USING (file, entry, path))
+SELECT file, entry, path, field, value FROM left_ ANTI JOIN sup USING (file, entry, path, field) UNION ALL SELECT file, entry, path, field, value FROM sup""")
+def beamline_metadata(spark, d):
+    """Metadata made from orders, into which a beamline puts what customers stand for: logs and monitors are replaced, goniometers merged."""
+    o = views.table(spark, d, "orders")
+    path = F.element_at(F.array(*map(F.lit, ("instrument/logs", "monitor", "instrument/goniometer", "monitor1", "sample"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    entry = F.concat(F.lit("f"), (F.col("o_orderkey") % 3).cast("string"))
+    current = o.groupBy(F.col("o_custkey").alias("file"), entry.alias("entry"), path.alias("path"), F.col("o_orderpriority").alias("field")).agg(F.concat(F.lit("v"), F.max("o_orderkey").cast("string")).alias("value"))
+    group = F.element_at(F.array(*map(F.lit, ("logs", "goniometer", "monitor"))), (F.col("c_nationkey") % 3 + 1).cast("int"))
+    field = F.when(F.col("c_nationkey") % 2 == 0, "1-URGENT").otherwise("5-LOW")
+    supplied = views.table(spark, d, "customer").select(F.col("c_custkey").alias("file"), F.concat(F.lit("f"), (F.col("c_custkey") % 3).cast("string")).alias("entry"), group.alias("group"), field.alias("field"), F.col("c_name").alias("value"))
+    return hooks.read_logs(current, supplied).select("file", "entry", "path", "field", "value")
+
+
+@query(f"""WITH {HITS_SQL}, b AS (SELECT DISTINCT l_linenumber AS box, l_linenumber * 7 AS y0, l_linenumber * 7 + 5 AS y1, l_linenumber * 4 AS x0, l_linenumber * 4 + 30 AS x1 FROM lineitem),
+p AS (SELECT y, x, max(counts) AS counts FROM hits GROUP BY 1, 2)
+SELECT box, y, x, counts FROM (SELECT box, y, x, counts, row_number() OVER (PARTITION BY box ORDER BY counts DESC, y, x) AS k FROM b JOIN p ON y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1) WHERE k = 1""")
+def brightest_in_boxes(spark, d):
+    n = F.col("l_linenumber")
+    boxes = views.table(spark, d, "lineitem").select(n.alias("box"), (n * 7).alias("y0"), (n * 7 + 5).alias("y1"), (n * 4).alias("x0"), (n * 4 + 30).alias("x1")).distinct()
+    return peaks.brightest_in_boxes(views.hits(spark, d), boxes).select("box", "y", "x", "counts")
+
+
 # Orientation
 
 
+@query(f"""WITH {HITS_SQL}, r AS (SELECT frame, y, x, list_sort(list_distinct([round(1.0 * counts / 3, 4) + 0, round(1.0 * counts / 3 + (y % 2) / 100000.0, 4) + 0, round(x * 1.0, 4) + 0])) AS roots FROM hits) SELECT frame, y, x, len(roots) AS n, roots[1] AS least, roots[-1] AS most FROM r""")
+def unique_roots(spark, d):
+    third = F.col("counts") / 3.0
+    roots = geo.unique_roots(F.array(third, third + (F.col("y") % 2) / 100000.0, F.col("x").cast("double"), F.lit(float("nan")), F.lit(None).cast("double")))
+    return views.hits(spark, d).select("frame", "y", "x", roots.alias("roots")).select("frame", "y", "x", F.size("roots").alias("n"), F.col("roots")[0].alias("least"), F.element_at("roots", -1).alias("most"))
+
+
+@query()
+def orientation_votes(spark, d):
+    """Orientations that pairs of the brightest hits allow, with the votes of all hits."""
+    rows = views.hits(spark, d)
+    x, y = F.col("x"), F.col("y")
+    q = [c.alias(n) for c, n in zip(geo.gvec(HITS_GEOMETRY, x, y, F.col("frame")), ("qx", "qy", "qz"))]
+    own = rows.select(*q, geo.polar(HITS_GEOMETRY, x, y).alias("polar"), F.col("counts").alias("intensity"))
+    found = orient.orientation_votes(own, HITS_GEOMETRY.cell, HITS_GEOMETRY.wavelength, seeds=24, tolerance=5.0, ring=0.5)
+    return found.select("first", "second", "h1", "k1", "l1", "h2", "k2", "l2", "votes")
+
+
 def _qs(spark, d, least: int = 60):
     rows = views.hits(spark, d).filter(F.col("counts") > least)
     g = geo.gvec(HITS_GEOMETRY, F.col("x"), F.col("y"), F.col("frame"))

@@ -71,7 +71,8 @@ def read_scan_logs(spark: SparkSession, head: str, meta: str) -> tuple[DataFrame
 
 
 def read_spec_scans(spark: SparkSession, path: str) -> DataFrame:
-    """(path, scan, command, columns, row, values, motors, mca) of text scan files: ``#S`` opens a scan, ``#L`` names its columns, ``#P`` lists positions, ``@A`` a spectrum.
+    """(path, scan, command, columns, row, values, motors, mca, preset_time, preset_monitor, start) of text scan files: ``#S`` opens a scan, ``#L`` names its columns, ``#P`` lists positions,
+    ``@A`` a spectrum, ``#T`` and ``#M`` hold what each point was counted to, ``#Q`` the hkl of the start. ``scans.scan_table`` and ``scans.scan_values`` make finished tables of them.
 
     A file is split into numbered lines; the scan a line belongs to is a running count of headers within its file.
     """
@@ -80,23 +81,13 @@ def read_spec_scans(spark: SparkSession, path: str) -> DataFrame:
     lines = whole.withColumn("scan_no", F.sum(F.col("line").startswith("#S ").cast("int")).over(by)).filter("scan_no > 0")
     pick = lambda mark: F.max(F.when(F.col("line").startswith(mark), F.trim(F.expr(f"substring(line, {len(mark) + 1})"))))
     floats = lambda c: F.transform(F.split(F.trim(c), r"\s+"), lambda s: s.try_cast("double"))
+    preset = lambda mark: F.split(pick(mark), r"\s+")[0].try_cast("double")
     motors = F.array_sort(F.collect_list(F.when(F.col("line").rlike(r"^#P\d+ "), F.col("line"))))
-    heads = lines.groupBy("path", "scan_no").agg(pick("#S ").alias("command"), F.split(pick("#L "), r"\s{2,}").alias("columns"), motors.alias("motors"))
+    heads = lines.groupBy("path", "scan_no").agg(pick("#S ").alias("command"), F.split(pick("#L "), r"\s{2,}").alias("columns"), motors.alias("motors"), preset("#T ").alias("preset_time"), preset("#M ").alias("preset_monitor"), floats(pick("#Q ")).alias("start"))
     data = lines.filter(F.col("line").rlike(r"^\s*[-+.\d]")).withColumn("row", F.row_number().over(Window.partitionBy("path", "scan_no").orderBy("n")) - 1)
     spectra = lines.filter(F.col("line").startswith("@A ")).withColumn("row", F.row_number().over(Window.partitionBy("path", "scan_no").orderBy("n")) - 1).select("path", "scan_no", "row", floats(F.expr("substring(line, 4)")).alias("mca"))
     rows = data.select("path", "scan_no", "row", floats(F.col("line")).alias("values")).join(spectra, ["path", "scan_no", "row"], "left")
-    return heads.join(rows, ["path", "scan_no"], "left").select("path", F.split("command", r"\s+")[0].cast("int").alias("scan"), "command", "columns", "row", "values", "motors", "mca")
-
-
-def hkl_axis(first: DataFrame) -> DataFrame:
-    """The axis of an hkl scan: the first of H, K, L whose start and end differ. ``first``: (scan, h0, h1, k0, k1, l0, l1)."""
-    axis = F.when(F.col("h0") != F.col("h1"), "H").when(F.col("k0") != F.col("k1"), "K").when(F.col("l0") != F.col("l1"), "L")
-    return first.withColumn("axis", axis)
-
-
-def mesh(rows: DataFrame, fast: int) -> DataFrame:
-    """The rows of a mesh scan with their place (slow, fast)."""
-    return rows.withColumn("slow", F.floor(F.col("row") / fast).cast("int")).withColumn("fast", (F.col("row") % fast).cast("int"))
+    return heads.join(rows, ["path", "scan_no"], "left").select("path", F.split("command", r"\s+")[0].cast("int").alias("scan"), "command", "columns", "row", "values", "motors", "mca", "preset_time", "preset_monitor", "start")
 
 
 def promote_logs(log: DataFrame, names: dict[str, str]) -> DataFrame:
