@@ -61,6 +61,11 @@ def record_task(tasks: DataFrame, new: DataFrame) -> DataFrame:
     """
     keys = ["file", "task", "entry", "subentry", "queue_time"]
     fresh = new.join(tasks.select(*keys), [new[k].eqNullSafe(tasks[k]) for k in keys], "left_anti")
+    return _appended(tasks, fresh, keys)
+
+
+def _appended(tasks: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """``tasks`` and ``fresh`` records, which get ids that go on from the highest, in an order that hangs on their keys."""
     top = tasks.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     # numbered within slots, and the slots (a fixed number) by what lies before them
     slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
@@ -71,6 +76,36 @@ def record_task(tasks: DataFrame, new: DataFrame) -> DataFrame:
     return tasks.unionByName(numbered, allowMissingColumns=True)
 
 
+def finished_tasks(found: DataFrame) -> DataFrame:
+    """(file, entry, subentry, task, queue_time, start_time, end_time, pid): one row for each task of which a file holds a record, at an entry or a subentry (else '').
+
+    ``found`` (file, entry, subentry, task, workflow, ...): a record in the workflow group counts before one that stands in the entry itself; of several the one that ended last.
+    """
+    times = ["queue_time", "start_time", "end_time", "pid"]
+    row = F.struct(*[F.col(c) if c in found.columns else F.lit(None).cast("int" if c == "pid" else "string").alias(c) for c in times])
+    order = F.struct(F.coalesce("workflow", F.lit(False)), row["end_time"], row["start_time"], row["queue_time"], row["pid"])
+    rows = found.filter("file IS NOT NULL AND entry IS NOT NULL AND task IS NOT NULL").withColumn("subentry", F.coalesce("subentry", F.lit("")))
+    return rows.groupBy("file", "entry", "subentry", "task").agg(F.max_by(row, order).alias("r")).select("file", "entry", "subentry", "task", "r.*")
+
+
+def sync_tasks(tasks: DataFrame, found: DataFrame) -> DataFrame:
+    """``tasks`` with a record, done, of every task that a file says is finished (``finished_tasks``' input) and that has no record that is done. Times that a file lacks are null."""
+    done = tasks.filter(F.col("status") == DONE).select("file", "task", "entry", F.coalesce("subentry", F.lit("")).alias("subentry")).distinct()
+    missing = finished_tasks(found).join(done, ["file", "task", "entry", "subentry"], "left_anti")
+    return _appended(tasks, missing.withColumn("status", F.lit(DONE)), ["file", "task", "entry", "subentry"])
+
+
+def sync_status(found: DataFrame, entries: DataFrame, by_entry: list[str], by_file: list[str], root: str = "entry") -> DataFrame:
+    """(file, task, status) of every file of ``entries`` (file, entry) from what the files say: tasks of ``by_entry`` count entry by entry, those of ``by_file`` once, at the root entry."""
+    done = finished_tasks(found).filter("subentry = ''").select("file", "entry", "task", F.lit(True).alias("done"))
+    names = lambda tasks: F.explode(F.array(*[F.lit(t) for t in tasks]) if tasks else F.array().cast("array<string>"))
+    own = entries.select("file", "entry").distinct()
+    single = own.withColumn("task", names(by_entry)).join(done, ["file", "entry", "task"], "left")
+    whole = own.withColumn("task", names(by_file)).join(done.filter(F.col("entry") == root).drop("entry"), ["file", "task"], "left")
+    rows = single.select("file", "task", "entry", "done").unionByName(whole.select("file", "task", "entry", "done"))
+    return catalog_status(rows.withColumn("done", F.coalesce("done", F.lit(False))))
+
+
 def new_scans(files: DataFrame, listed: DataFrame) -> DataFrame:
     """Scan files that name a parent which doesn't list them yet."""
     return files.filter(F.col("parent").isNotNull()).join(listed.select("parent", "scan"), ["parent", "scan"], "left_anti")

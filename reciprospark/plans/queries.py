@@ -123,7 +123,15 @@ def frame_weights(spark, d):
     return frames.frame_weights(log, 10, 600).select("frame", "weight")
 
 
-@query()
+_MONITOR = f"""{LOG_SQL}, o AS (SELECT frame, cast(monitor AS DOUBLE) AS v, row_number() OVER (ORDER BY frame) - 1 AS i, count(*) OVER () AS n FROM log),
+e AS (SELECT frame, i, n, CASE WHEN n >= 3 AND i = 0 THEN lead(v) OVER w WHEN n >= 3 AND i = n - 1 THEN lag(v) OVER w ELSE v END / 1000.0 AS v FROM o WINDOW w AS (ORDER BY i)),
+p AS (SELECT *, (width - 1) // 2 AS half FROM (SELECT *, CASE WHEN n > 1000 THEN 501 WHEN n > 200 THEN 101 ELSE n - 1 + n % 2 END AS width FROM e)),
+c AS (SELECT frame, i, n, v, width, half, greatest(half, least(n - 1 - half, i)) AS mid FROM p),
+s AS (SELECT c.frame, any_value(c.n) AS n, any_value(c.v) AS v, any_value(c.i - c.mid) AS x, cast(any_value(c.width) AS DOUBLE) AS s0, sum(cast(d.i - c.mid AS DOUBLE) ** 2) AS s2, sum(cast(d.i - c.mid AS DOUBLE) ** 4) AS s4,
+    sum(d.v) AS b0, sum((d.i - c.mid) * d.v) AS b1, sum((d.i - c.mid) ** 2 * d.v) AS b2 FROM c JOIN p d ON d.i BETWEEN c.mid - c.half AND c.mid + c.half GROUP BY c.frame)"""
+
+
+@query(f"""WITH {_MONITOR} SELECT frame, round(CASE WHEN n < 3 THEN v ELSE (s4 * b0 - s2 * b2) / (s0 * s4 - s2 * s2) + x * b1 / s2 + x * x * (s0 * b2 - s2 * b0) / (s0 * s4 - s2 * s2) END, 6) AS monitor FROM s""")
 def smooth_monitor(spark, d):
     return frames.smooth_monitor(views.log(spark, d), 1000.0).select("frame", F.round("monitor", 6).alias("monitor"))
 
@@ -396,6 +404,31 @@ def record_task(spark, d):
     return after.agg(F.count("*").alias("n"), (F.max("id") - top).alias("added"))
 
 
+_FOUND = """found AS (SELECT o_custkey AS file, o_orderkey % 3 AS entry, o_orderpriority AS task, o_orderkey % 2 = 0 AS workflow, CASE WHEN o_orderkey % 5 > 0 THEN cast(o_orderkey AS VARCHAR) END AS end_time FROM orders WHERE o_orderkey % 7 < 3)"""
+
+
+def _found(spark, d):
+    key = F.col("o_orderkey")
+    rows = views.table(spark, d, "orders").filter(key % 7 < 3)
+    return rows.select(F.col("o_custkey").alias("file"), (key % 3).alias("entry"), F.lit(None).cast("string").alias("subentry"), F.col("o_orderpriority").alias("task"), (key % 2 == 0).alias("workflow"), F.when(key % 5 > 0, key.cast("string")).alias("end_time"))
+
+
+@query(f"""WITH {TASKS_SQL}, {_FOUND}, best AS (SELECT file, entry, task, end_time FROM found QUALIFY row_number() OVER (PARTITION BY file, entry, task ORDER BY workflow DESC, end_time DESC NULLS LAST) = 1)
+SELECT file, entry, task, 3 AS status, end_time FROM best ANTI JOIN (SELECT file, entry, task FROM tasks WHERE status = 3) USING (file, entry, task)""")
+def sync_tasks(spark, d):
+    """The records that syncing adds."""
+    t = views.tasks(spark, d).withColumn("queue_time", F.lit("2024-01-01"))
+    top = t.agg(F.max("id")).first()[0]
+    return catalog.sync_tasks(t, _found(spark, d)).filter(F.col("id") > top).select("file", "entry", "task", "status", "end_time")
+
+
+@query(f"""WITH {TASKS_SQL}, {_FOUND}, e AS (SELECT DISTINCT file, entry FROM tasks), k AS (SELECT file, entry, t.task, whole FROM e, (VALUES ('1-URGENT', false), ('2-HIGH', false), ('5-LOW', true)) t(task, whole)),
+f AS (SELECT DISTINCT file, entry, task FROM found), j AS (SELECT k.file, k.task, count(f.task) AS done, count(*) AS n FROM k LEFT JOIN f ON f.file = k.file AND f.task = k.task AND f.entry = CASE WHEN whole THEN 0 ELSE k.entry END GROUP BY 1, 2)
+SELECT file, task, CASE done WHEN 0 THEN 0 WHEN n THEN 3 ELSE 2 END AS status FROM j""")
+def sync_status(spark, d):
+    return catalog.sync_status(_found(spark, d), views.tasks(spark, d), ["1-URGENT", "2-HIGH"], ["5-LOW"], root=0).select("file", "task", "status")
+
+
 # Volumes
 
 
