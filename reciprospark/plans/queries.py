@@ -180,9 +180,21 @@ def apply_pixel_mask(spark, d):
     return masks.apply_pixel_mask(f, mask, zero=True).select("frame", "y", "x", "counts")
 
 
-@query()
+def _bragg_sql(t1: float) -> str:
+    """Boxes of 3 by 3 pixels whose border pixels are repeated outwards."""
+    return f"""WITH {FRAMES_SQL}, lim AS (SELECT min(frame) AS lo, max(frame) AS hi FROM frames),
+p AS (SELECT f.frame, y.i AS y, x.i AS x FROM (SELECT unnest(range((SELECT lo FROM lim), (SELECT hi + 1 FROM lim))) AS frame) f, range(8) y(i), range(8) x(i)),
+c AS (SELECT p.frame, p.y, p.x, coalesce(f.counts, 0) AS counts FROM p LEFT JOIN frames f ON f.frame = p.frame AND f.y = p.y AND f.x = p.x),
+d AS (SELECT a.frame, a.y, a.x, b.counts - a.counts AS d FROM c a JOIN c b ON b.frame = a.frame + 1 AND a.y = b.y AND a.x = b.x),
+w AS (SELECT q.frame, q.y, q.x, greatest(0, least(7, q.y + dy)) AS py, greatest(0, least(7, q.x + dx)) AS px FROM d q, range(-1, 2) r(dy), range(-1, 2) s(dx)),
+near AS (SELECT w.frame, w.y, w.x, CASE WHEN abs(sum(n.d)) >= 9 * {t1} THEN 1 ELSE 0 END AS v FROM w JOIN d n ON n.frame = w.frame AND n.y = w.py AND n.x = w.px GROUP BY 1, 2, 3),
+wide AS (SELECT w.frame, w.y, w.x FROM w JOIN near n ON n.frame = w.frame AND n.y = w.py AND n.x = w.px GROUP BY 1, 2, 3 HAVING sum(n.v) > 9 * 0.5)
+SELECT frame, cast(y AS INT) AS y, cast(x AS INT) AS x FROM wide UNION SELECT frame + 1, cast(y AS INT), cast(x AS INT) FROM wide"""
+
+
+@query(_bragg_sql(40))
 def bragg_mask(spark, d):
-    return masks.bragg_mask(views.frames(spark, d), 8, 8, t1=40.0, h1=3, t2=0.5, h2=3)
+    return masks.bragg_mask(views.frames(spark, d), 8, 8, t1=40.0, h1=3, t2=0.5, h2=3).select("frame", "y", "x")
 
 
 # Frames in bands
@@ -211,14 +223,7 @@ def banded_frame_diff(spark, d):
     return bands.to_frames(bands.frame_diff(bands.to_bands(views.frames(spark, d).drop("scan"), 8, 8, 3))).select("frame", "y", "x", F.col("counts").alias("diff"))
 
 
-@query(f"""WITH {FRAMES_SQL}, lim AS (SELECT min(frame) AS lo, max(frame) AS hi FROM frames),
-p AS (SELECT f.frame, y.i AS y, x.i AS x FROM (SELECT unnest(range((SELECT lo FROM lim), (SELECT hi + 1 FROM lim))) AS frame) f, range(8) y(i), range(8) x(i)),
-c AS (SELECT p.frame, p.y, p.x, coalesce(f.counts, 0) AS counts FROM p LEFT JOIN frames f ON f.frame = p.frame AND f.y = p.y AND f.x = p.x),
-d AS (SELECT a.frame, a.y, a.x, b.counts - a.counts AS d FROM c a JOIN c b ON b.frame = a.frame + 1 AND a.y = b.y AND a.x = b.x),
-w AS (SELECT q.frame, q.y, q.x, greatest(0, least(7, q.y + dy)) AS py, greatest(0, least(7, q.x + dx)) AS px FROM d q, range(-1, 2) r(dy), range(-1, 2) s(dx)),
-near AS (SELECT w.frame, w.y, w.x, CASE WHEN abs(sum(n.d)) >= 9 * 40.05 THEN 1 ELSE 0 END AS v FROM w JOIN d n ON n.frame = w.frame AND n.y = w.py AND n.x = w.px GROUP BY 1, 2, 3),
-wide AS (SELECT w.frame, w.y, w.x FROM w JOIN near n ON n.frame = w.frame AND n.y = w.py AND n.x = w.px GROUP BY 1, 2, 3 HAVING sum(n.v) > 9 * 0.5)
-SELECT frame, cast(y AS INT) AS y, cast(x AS INT) AS x FROM wide UNION SELECT frame + 1, cast(y AS INT), cast(x AS INT) FROM wide""")
+@query(_bragg_sql(40.05))
 def banded_bragg_mask(spark, d):
     found = bands.bragg_mask(bands.to_bands(views.frames(spark, d).drop("scan"), 8, 8, 3), 8, 8, t1=40.05, h1=3, t2=0.5, h2=3)
     return bands.mask_rows(found).select("frame", "y", "x")
@@ -795,6 +800,24 @@ def ring_table(spark, d):
     return table.select("h", "k", "l", "ring", F.round("ring_angle", 6).alias("ring_angle"))
 
 
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey AS lattice, l_partkey % 7 AS h, l_orderkey % 5 AS k, l_linenumber % 4 AS l FROM lineitem),
+t AS (SELECT *, degrees(2 * asin(sqrt(pow(h / (4 + (lattice % 10) / 10.0), 2) + pow(k / 4.3, 2) + pow(l / (5 + (lattice % 7) / 7.0), 2)) * 0.25)) AS tt FROM m WHERE h + k + l > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY lattice ORDER BY tt, h, k, l) AS i FROM t),
+walk AS (SELECT lattice, i, 0 AS ring, tt AS mean, cast(2 AS DOUBLE) AS weight FROM o WHERE i = 1 UNION ALL
+SELECT o.lattice, o.i, CASE WHEN o.tt - w.mean > 0.3 THEN w.ring + 1 ELSE w.ring END, CASE WHEN o.tt - w.mean > 0.3 THEN o.tt ELSE (w.mean * w.weight + o.tt * 2) / (w.weight + 2) END, CASE WHEN o.tt - w.mean > 0.3 THEN 2 ELSE w.weight + 2 END
+FROM walk w JOIN o ON o.lattice = w.lattice AND o.i = w.i + 1),
+a AS (SELECT o.lattice, h, k, l, ring, tt FROM o JOIN walk w ON o.lattice = w.lattice AND o.i = w.i)
+SELECT lattice, h, k, l, ring, round(avg(tt) OVER (PARTITION BY lattice, ring), 5) AS ring_angle FROM a""")
+def ring_tables(spark, d):
+    """A lattice per supplier, its edges from the supplier's number and its reflections from the supplier's lines."""
+    key = F.col("l_suppkey")
+    rows = views.table(spark, d, "lineitem").select(key.alias("lattice"), (F.col("l_partkey") % 7).alias("h"), (F.col("l_orderkey") % 5).alias("k"), (F.col("l_linenumber") % 4).alias("l")).distinct().filter("h + k + l > 0")
+    a, c = 4 + (F.col("lattice") % 10) / 10.0, 5 + (F.col("lattice") % 7) / 7.0
+    size = F.sqrt(F.pow(F.col("h") / a, F.lit(2.0)) + F.pow(F.col("k") / 4.3, F.lit(2.0)) + F.pow(F.col("l") / c, F.lit(2.0)))
+    table = lattice.ring_table(rows.select("lattice", "h", "k", "l", F.degrees(2 * F.asin(size * 0.25)).alias("two_theta"), F.lit(2).alias("multiplicity")), 0.3)
+    return table.select("lattice", "h", "k", "l", "ring", F.round("ring_angle", 5).alias("ring_angle"))
+
+
 @query(f"""WITH {HITS_SQL}, p AS (SELECT frame, y, x, {_POLAR} AS polar FROM hits), r(ring, a) AS (VALUES (0, 2.0), (1, 3.5), (2, 5.5), (3, 8.0))
 SELECT frame, y, x, (SELECT ring FROM r ORDER BY abs(p.polar - a), ring LIMIT 1) AS ring FROM p""")
 def assign_rings(spark, d):
