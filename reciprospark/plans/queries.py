@@ -746,7 +746,12 @@ def hkl_to_pixel(spark, d):
     return spots.filter(geo.on_detector(HITS_GEOMETRY, F.col("x"), F.col("y"), F.col("z"), 385)).select("h", "k", "l", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
-@query()
+@query(f"""WITH {_G1}, v AS (SELECT qx, qy, qz FROM g WHERE counts > 60), lat AS (SELECT t.k AS k, t.k * 0.03 AS lat, t.k * 0.03 > pi() / 2 - 0.015 AS last FROM range(53) t(k)),
+rows_ AS (SELECT k, lat, CASE WHEN last THEN pi() ELSE 2 * pi() END AS turn, CASE WHEN last THEN greatest(1, n // 2) ELSE n END AS n FROM (SELECT *, greatest(1, cast(round(2 * pi() * sin(lat) / 0.03) AS BIGINT)) AS n FROM lat)),
+placed AS (SELECT *, sum(n) OVER (ORDER BY k) - n AS before FROM rows_),
+d AS (SELECT before + j AS direction, sin(lat) * cos(j * (turn / n)) AS tx, sin(lat) * sin(j * (turn / n)) AS ty, cos(lat) AS tz FROM (SELECT *, unnest(range(n)) AS j FROM placed)),
+top AS (SELECT 1.1 * max(sqrt(qx * qx + qy * qy + qz * qz)) AS q_max FROM v)
+SELECT cast(direction AS BIGINT) AS direction, cast(floor(abs(qx * tx + qy * ty + qz * tz) * (512 / q_max)) AS INT) AS bin, count(*) AS n FROM v, d, top GROUP BY 1, 2""")
 def projection_histogram(spark, d):
     axes = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(orient.hemisphere())], "direction int, tx double, ty double, tz double")
     return orient.projection_histogram(_qs(spark, d), axes)

@@ -118,7 +118,7 @@ def test_geometry_from_ring_points(spark):
 
 def test_energies_titles_and_valid_peaks(spark):
     r = spark.createDataFrame([("s1", None, 300.0), ("s2", "NaCl", None)], "name string, formula string, t double")
-    got = r.select(scalars.title(F.col("name"), F.col("formula"), F.col("t"), "K", "nxmasked_pdf").alias("title"), g.photon_energy(F.lit(1.0)).alias("e")).collect()
+    got = r.select(scalars.title(F.col("name"), F.col("formula"), F.col("t"), "K", "masked_pdf").alias("title"), g.photon_energy(F.lit(1.0)).alias("e")).collect()
     assert [x.title for x in got] == ["s1 300.0K masked pdf", "NaCl masked pdf"] and got[0].e == pytest.approx(12.39842, abs=1e-5)
 
 
