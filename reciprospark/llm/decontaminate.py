@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .names import free
 from .storage import dropped, small_batches, stored
+from .workers import lean
 
 K1, B = 1.2, 0.75
 #: Part of an item's own BM25 score from which it is retrieved.
@@ -325,7 +326,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                     ids = pa.array([index.item_ids[k] for k in item])
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), ids, *numbers], ["doc", "item", "score", "question_overlap", "answer_overlap"])
 
-        own = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
+        own = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(lean(run), schema)
         own = own if only else stored(own, "leaks")
         found = own if found is None else found.unionByName(own)
     if found is None:
@@ -347,7 +348,7 @@ def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                     keep[[r[0] for r in index.leaks(part, threshold, question, answer)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
         if not only:
             docs = stored(docs, "without-leaks")
             if before is not None:

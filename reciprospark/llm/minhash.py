@@ -30,6 +30,7 @@ from . import overlap
 from .components import components
 from .names import free
 from .storage import Scratch, small_batches, stored
+from .workers import lean
 
 SHINGLE = 5
 MINIMA = 126
@@ -123,7 +124,7 @@ def sketches(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_shingles long, print binary, sign array<int>, bands array<long>")
+    return rows.mapInArrow(lean(run), f"id {kind}, n_shingles long, print binary, sign array<int>, bands array<long>")
 
 
 def _few(rows: DataFrame, id_col: str, most: int) -> bool:
@@ -144,7 +145,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, si
     if _few(wanted, "node", 500_000):  # 32 bytes each
         ids, wanted = F.broadcast(ids), F.broadcast(wanted)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(ids, "id", "left_semi").select("text")
-    return rows.mapInArrow(run, "print binary, set array<long>").join(wanted.select("num", "print"), "print").select("num", "set").dropDuplicates(["num"])
+    return rows.mapInArrow(lean(run), "print binary, set array<long>").join(wanted.select("num", "print"), "print").select("num", "set").dropDuplicates(["num"])
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

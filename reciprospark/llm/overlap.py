@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import mixed
 from .storage import Scratch
+from .workers import lean
 
 #: A group is divided if it has more pairs than this many times the records that its parts would have, and stays so if their pairs are fewer than its own over this.
 WORTH = 2
@@ -90,7 +91,7 @@ def records(rows: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield _emitted(found)
 
-    return rows.mapInArrow(run, RECORD)
+    return rows.mapInArrow(lean(run), RECORD)
 
 
 def _divided(found: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -107,7 +108,7 @@ def _divided(found: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
             if out:
                 yield _emitted(out)
 
-    return found.select("g", "num", "c", "n", "at", "spent", "got").join(rows.select("num", "keys", "weights"), "num").select("g", "num", "c", "n", "at", "spent", "got", "keys", "weights").mapInArrow(run, RECORD)
+    return found.select("g", "num", "c", "n", "at", "spent", "got").join(rows.select("num", "keys", "weights"), "num").select("g", "num", "c", "n", "at", "spent", "got", "keys", "weights").mapInArrow(lean(run), RECORD)
 
 
 def _groups(level: DataFrame, scratch: Scratch) -> DataFrame:
@@ -168,7 +169,7 @@ def product(met: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             yield batch.select(["u", "v"]).filter(pa.array((100 + percent) * common >= percent * n))
 
-    return both.select("u", "v", "n_u", "n_v", "keys_u", "weights_u", "keys_v", "weights_v").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "n_u", "n_v", "keys_u", "weights_u", "keys_v", "weights_v").mapInArrow(lean(run), "u long, v long")
 
 
 def _entries_of(keys: pa.Array, weights: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -30,13 +30,12 @@ from . import bytewords as bw
 from .chunks import ChunkTable, per_text, places_of
 from .names import free
 from .storage import small_batches
+from .workers import held, lean
 
 MARK = "▁"
 #: Entries of a worker's table of piece pairs (some 40 MB); a full one starts anew.
 KEPT_PAIRS = 400_000
 
-_open: dict[str, "PrefixTable"] = {}
-
 
 class PrefixTable:
     """Encoder for one model file."""
@@ -196,11 +195,13 @@ class PrefixTable:
         return odd
 
 
+def _key(path: str) -> tuple[str, str]:
+    return "sentencepiece", path
+
+
 def opened(path: str) -> PrefixTable:
-    """The encoder of a model file, made once per worker process."""
-    if path not in _open:
-        _open[path] = PrefixTable(path)
-    return _open[path]
+    """The encoder of a model file, held by a worker process while it has tasks of this operator."""
+    return held(_key(path), lambda: PrefixTable(path))
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,7 +221,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, n_texts), lists, decoded], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
+    found = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(lean(run, _key(model_path)), f"id {kind}, ids array<int>, decoded string")
     return found.select(F.col("id").alias(id_col), *[F.col(c).alias(free(c, id_col)) for c in ("ids", "decoded")])
 
 

@@ -29,6 +29,7 @@ from . import bytewords as bw
 from .chunks import places_of
 from .names import free
 from .storage import small_batches, stored
+from .workers import lean, release
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 17
@@ -36,6 +37,8 @@ DIMENSIONS = 8
 EPOCHS = 4
 #: Words of a step.
 BATCH = 2048
+#: Words whose n-grams are summed at once, for memory.
+WORDS_AT_ONCE = 1 << 16
 #: An n-gram of c texts of the sample counts c / (c + RARE).
 RARE = 1.0
 RATE = 0.3
@@ -114,12 +117,11 @@ def words_of(part: bw.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def bags(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(per text its distinct words, n-gram buckets of all words one after another, number of n-grams of each word)."""
-    names, owners, known = [], [], np.zeros(0, np.uint64)
+    own, known = [], np.zeros(0, np.uint64)
     flat, size = [], []
-    done = 0
     for part in bw.text_slices(pa.array(texts, pa.string())):
         name, text, word = words_of(part)
-        unique, at = np.unique(name, return_index=True)
+        unique, at, which = np.unique(name, return_index=True, return_inverse=True)
         new = ~np.isin(unique, known)
         known = np.concatenate([known, unique[new]])
         rank = np.full(len(name) + 1, -1)
@@ -130,15 +132,13 @@ def bags(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndar
         order = np.argsort(owner, kind="stable")[(owner < 0).sum() :]
         flat.append(bucket[order].astype(np.int32))
         size.append(np.bincount(owner[order], minlength=int(new.sum())))
-        names.append(name)
-        owners.append(text + done)
-        done += len(part.starts)
-    order = np.argsort(known)
-    place = order[np.searchsorted(known, np.concatenate(names or [known]), sorter=order)] if len(known) else np.zeros(0, np.int64)
-    owner = np.concatenate(owners or [place])
-    pairs = np.unique(owner * max(1, len(known)) + place)
-    cuts = np.searchsorted(pairs, np.arange(1, len(texts)) * max(1, len(known)))
-    return [p % max(1, len(known)) for p in np.split(pairs, cuts)], np.concatenate(flat or [np.zeros(0, np.int32)]), np.concatenate(size or [np.zeros(0, np.int64)])
+        # a text lies in one slice: the distinct words of its texts are found here, and no list of all words stays
+        order = np.argsort(known)
+        place = order[np.searchsorted(known, unique, sorter=order)][which] if len(unique) else np.zeros(0, np.int64)
+        pairs = np.unique(text * max(1, len(known)) + place)
+        cuts = np.searchsorted(pairs, np.arange(1, len(part.starts)) * max(1, len(known)))
+        own += [p % max(1, len(known)) for p in np.split(pairs, cuts)]
+    return own, np.concatenate(flat or [np.zeros(0, np.int32)]), np.concatenate(size or [np.zeros(0, np.int64)])
 
 
 def descend(flat: np.ndarray, size: np.ndarray, shares: np.ndarray, part_of: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
@@ -207,21 +207,26 @@ def fit(texts: list[str | None], labels: np.ndarray, weight_of_1: float, weight_
     if not (labels == 1).any() or not (labels == 0).any():
         return Model()
     own, flat, size = bags(texts)
+    release()
     if not len(flat):
         return Model()
     at, fold = np.cumsum(size) - size, np.arange(len(labels)) % FOLDS
-    grams = [np.unique(flat[places_of(at[o], size[o])]) for o in own]
     if any(len(set(labels[(fold == f) == side])) < 2 for f in range(FOLDS) for side in (False, True)):
         fold[:] = 0  # too few rows to hold any back
+    in_fold = np.zeros((FOLDS, BUCKETS))  # texts that hold each n-gram
+    for o, f in zip(own, fold):
+        in_fold[f, np.unique(flat[places_of(at[o], size[o])])] += 1
     x, parts = np.zeros((len(labels), len(HEIGHTS) + 3)), []
     for f in range(fold.max() + 1):
         learns = fold != f if fold.any() else fold == f
-        counts, in_texts = np.zeros((len(size), 2)), np.zeros(BUCKETS)
+        counts, in_texts = np.zeros((len(size), 2)), in_fold[np.unique(fold[learns])].sum(0)
         for i in np.flatnonzero(learns):
             counts[own[i], labels[i]] += 1
-            in_texts[grams[i]] += 1
         numbers, bias = descend(flat, size, counts / np.maximum(counts.sum(0), 1), in_texts / (in_texts + RARE), np.random.default_rng(seed + f))
-        z = np.bincount(np.repeat(np.arange(len(size)), size), numbers[flat], len(size)) / np.maximum(size, 1) + bias
+        z = np.zeros(len(size))
+        for lo in range(0, len(size), WORDS_AT_ONCE):
+            n = size[lo : lo + WORDS_AT_ONCE]
+            z[lo : lo + WORDS_AT_ONCE] = np.bincount(np.repeat(np.arange(len(n)), n), numbers[flat[at[lo] : at[lo] + n.sum()]], len(n)) / np.maximum(n, 1) + bias
         clean = np.repeat(z, counts[:, 0].astype(int))
         heights = np.quantile(clean if len(clean) else z, [FLOOR, *HEIGHTS])
         back = np.flatnonzero(fold == f)
@@ -254,7 +259,7 @@ def fitted(docs: DataFrame, labels: DataFrame, trains, id_col: str = "doc_id", t
         model = fit([r[1] for r in rows], np.array([r[2] for r in rows], int), weights[1], weights[0])
         yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], ["model"])
 
-    got = sample.select("labelled_id", "text", "label").repartition(1).mapInArrow(train, "model binary").collect()
+    got = sample.select("labelled_id", "text", "label").repartition(1).mapInArrow(lean(train), "model binary").collect()
     return Model.unpacked(bytes(got[0]["model"])) if got else Model()
 
 
@@ -286,7 +291,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(found)), pa.array(found, pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), f"id {kind}, score double")
     return rows.select(F.col("id").alias(id_col), F.col("score").alias(free("score", id_col)))
 
 
@@ -303,4 +308,4 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
                 keep[part.first : part.first + len(found)] = found < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
