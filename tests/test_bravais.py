@@ -1,5 +1,8 @@
 """Conventional cells found again from reduced cells of known lattices."""
 
+import math
+import time
+
 import numpy as np
 import pytest
 
@@ -42,3 +45,58 @@ def test_known_lattices_are_found(spark):
 def test_settings_keep_volume_and_hand():
     m = np.array([[1, 0, 0], [0, 1, 0], [1, 1, 2]])
     assert len(bravais.settings_of(m)) == 6 and all(round(np.linalg.det(s)) == 2 for s in bravais.settings_of(m))
+
+
+def every_form(ub):
+    """The best cell of each form by all ordered triples of combinations, and their number."""
+    axes = np.linalg.inv(ub)
+    n = np.array([x for x in np.ndindex(7, 7, 7)]) - 3
+    n = n[np.gcd.reduce(n, axis=1) == 1]
+    size = np.linalg.norm(n @ axes, axis=1)
+    n = n[(order := np.argsort(size, kind="stable"))[size[order] <= 3.5 * np.linalg.norm(axes, axis=1).max()]]
+    v, half = n @ axes, np.array([tuple(x) > (0, 0, 0) for x in n.tolist()])
+    size = np.linalg.norm(v, axis=1)
+    angle = np.arccos(np.clip(v @ v.T / np.outer(size, size), -1, 1))
+    alike = np.abs(size[:, None] - size) <= 0.1 * np.maximum(size[:, None], size)
+    near = lambda want: angle >= math.pi / 2 - 1e-6 if want is None else np.abs(angle - math.radians(want)) <= 0.1
+    found = {}
+    for system, (edges, angles) in bravais.SYSTEMS.items():
+        if system == "triclinic":
+            continue
+        ab, bc = near(angles[2]) & (alike if (0, 1) in edges else True), near(angles[0]) & (alike if (1, 2) in edges else True)
+        i, j = np.nonzero(ab & half[:, None])
+        pair, k = np.nonzero(bc[j] & near(angles[1])[i])
+        m = np.stack([n[i[pair]], n[j[pair]], n[k]], 1)
+        volume = np.rint(np.linalg.det(m) * np.sign(np.linalg.det(axes))).astype(int)
+        small = (np.abs(volume) >= 1) & (np.abs(volume) <= 4)
+        m, volume = (m * np.sign(volume)[:, None, None])[small], volume[small]
+        error, cell = bravais._fit(m @ axes, edges, angles)
+        for c in bravais.CENTRINGS[system]:
+            held = (np.abs(volume) == len(bravais.POINTS[c]) + 1) & (error <= 0.05)
+            for p in bravais.POINTS[c]:
+                held &= ((np.array(p) @ m) % 6 == 0).all(1)
+            if own := np.flatnonzero(held).tolist():
+                k = min(own, key=lambda q: (round(error[q], 6), round(cell[q, :3].sum(), 6)))
+                found[system, c] = (error[k], *cell[k], *m[k].ravel())
+    return found
+
+
+def test_best_of_all_triples():
+    rng = np.random.default_rng(5)
+    for place, (_, centring, cell) in enumerate(LATTICES):
+        axes = HALF[centring] @ np.linalg.inv(g.b_matrix(*cell))
+        ub = (-1) ** place * orient.reduced_cell(np.linalg.inv(axes @ np.linalg.qr(rng.standard_normal((3, 3)))[0] + 0.01 * rng.standard_normal((3, 3))), 3)
+        got, want = {f[:2]: (f[2], *f[3], *f[4].ravel()) for f in bravais.forms(ub)}, every_form(ub)
+        assert got.pop(("triclinic", "P"))[7:] == tuple((-1) ** place * np.eye(3, dtype=int).ravel())
+        assert sorted(got) == sorted(want)
+        for form in want:
+            assert got[form] == pytest.approx(want[form], abs=1e-9), form
+
+
+def test_a_lattice_takes_milliseconds():
+    """The search by all triples took 40 ms and more a lattice."""
+    rng = np.random.default_rng(6)
+    began = time.thread_time()
+    for _ in range(300):
+        assert bravais.forms(np.linalg.inv(np.diag(rng.uniform(3, 9, 3)) + rng.uniform(-0.5, 0.5, (3, 3))))
+    assert time.thread_time() - began < 6
