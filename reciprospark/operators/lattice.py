@@ -114,3 +114,17 @@ def match_pair_angles(pairs: DataFrame, primary: DataFrame, secondary: DataFrame
     members = F.array(*[F.struct(F.abs(F.col("angle") - m[0]).alias("off"), *[F.lit(v).alias(n) for n, v in zip(names, m)]) for m in known])
     best = pairs.select("pair_id", "angle", F.array_min(members).alias("m")).filter(F.col("m.off") < tolerance)
     return best.select("pair_id", "angle", *[f"m.{n}" for n in names])
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of which each takes long, dealt to as many tasks as a shuffle has and at least one a core: a million of them can be one small file, which Spark reads in one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
+def matrices(pdf: pd.DataFrame, most: float) -> tuple[list, np.ndarray]:
+    """The ids and matrices (k x 3 x 3) of rows (id, ub array of 9) whose matrix is whole and finite and has a condition number below ``most``."""
+    own = [(i, u) for i, ub in zip(pdf["id"], pdf["ub"]) if ub is not None and len(ub) == 9 and np.isfinite(u := np.asarray(ub, float)).all()]
+    ubs = np.array([u for _, u in own]).reshape(-1, 3, 3)
+    good = np.flatnonzero(np.linalg.cond(ubs) < most) if len(own) else []
+    return [own[k][0] for k in good], ubs[good]

@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reciprospark.functions import geometry as g
 from reciprospark.operators import bravais, orient
@@ -100,3 +101,10 @@ def test_a_lattice_takes_milliseconds():
     for _ in range(300):
         assert bravais.forms(np.linalg.inv(np.diag(rng.uniform(3, 9, 3)) + rng.uniform(-0.5, 0.5, (3, 3))))
     assert time.thread_time() - began < 6
+
+
+def test_lattices_of_one_file_are_dealt_to_all_cores(spark):
+    rows = spark.range(0, 40, 1, 1).select("id", F.array(*[F.lit(0.25 if i % 4 == 0 else 0.0) for i in range(9)]).alias("ub"))
+    found = bravais.lattice_forms(rows)
+    assert found.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in bravais.best_cells(found).collect()) == list(range(40))
