@@ -122,9 +122,9 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
-def matrices(pdf: pd.DataFrame, most: float) -> tuple[list, np.ndarray]:
-    """The ids and matrices (k x 3 x 3) of rows (id, ub array of 9) whose matrix is whole and finite and has a condition number below ``most``."""
-    own = [(i, u) for i, ub in zip(pdf["id"], pdf["ub"]) if ub is not None and len(ub) == 9 and np.isfinite(u := np.asarray(ub, float)).all()]
-    ubs = np.array([u for _, u in own]).reshape(-1, 3, 3)
-    good = np.flatnonzero(np.linalg.cond(ubs) < most) if len(own) else []
-    return [own[k][0] for k in good], ubs[good]
+def matrices(ubs: pd.Series, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places of arrays of 9 numbers that are whole and finite and as matrices have a condition number of at most ``most``, and these matrices (k x 3 x 3)."""
+    own = [(k, u) for k, ub in enumerate(ubs) if ub is not None and len(ub) == 9 and np.isfinite(u := np.asarray(ub, float)).all()]
+    places, found = np.array([k for k, _ in own], int), np.array([u for _, u in own]).reshape(-1, 3, 3)
+    good = np.flatnonzero(np.linalg.cond(found) <= most) if len(own) else places
+    return places[good], found[good]

@@ -7,7 +7,8 @@ candidates, or the normal equations of a least squares step (at most 15 x 15).
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,15 @@ from pyspark.sql import functions as F
 from reciprospark.functions import geometry as geo
 from reciprospark.functions.geometry import Geometry
 
+from .lattice import dealt, matrices
+
 STEP, BINS, TOP = 0.03, 512, 500
 #: Triples that one pass over the scattering vectors counts.
 TRIPLES = 2000
+#: Lattices that are reduced at once: their combinations (665 each) stay in a core's cache.
+LATTICES = 64
+#: Pairs of combinations whose third ones are tried before the bound on the total is looked up again.
+PAIRS = 1024
 
 
 def hemisphere(step: float = STEP) -> np.ndarray:
@@ -419,43 +426,99 @@ def ring_points(image: DataFrame, geometry: Geometry, rings: list[tuple[int, flo
     return rows.groupBy("ring", "ring_angle", "sector").agg(best.alias("p")).select("ring", "ring_angle", "sector", "p.*")
 
 
-def reduced_cell(ub: np.ndarray, reach: int = 5) -> np.ndarray | None:
-    """The UB of the cell with the shortest edges whose axes are combinations (up to ``reach``) of the given ones; of equals the one with most angles off 90 degrees. None without a cell.
+def _ranges(first: np.ndarray, last: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place, number) for the numbers from ``first`` to below ``last`` of each place, in order, ``most`` at a time."""
+    n = np.maximum(last - first, 0)
+    ends = np.cumsum(n)
+    start = first - (ends - n)
+    for lo in range(0, int(n.sum()), most):
+        flat = np.arange(lo, min(lo + most, ends[-1]))
+        place = np.searchsorted(ends, flat, side="right")
+        yield place, start[place] + flat
+
 
-    All combinations count: pairs of axes are taken by length, and the third axis is the first that gives the volume, until no
-    longer vector can improve the total.
+def _triples(n: np.ndarray, size: np.ndarray, most: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, i, j, k, total) of all triples of combinations ``n`` (rows x k x 3, by length ``size``) of determinant 1 or -1 with a total length of at most ``most``, in order.
+
+    The lengths of independent combinations are at least those of the first three independent ones, one by one; sums that can't be met with these are passed over.
+    Who reads the triples may lower ``most`` meanwhile.
     """
-    ub = np.asarray(ub, float)
-    if not np.isfinite(ub).all() or np.linalg.cond(ub) > 1e12:
-        return None
-    axes = np.linalg.inv(ub)
-    n = np.array([(a, b, c) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) for c in range(-reach, reach + 1) if (a, b, c) > (0, 0, 0)])
-    v = n @ axes
-    order = np.argsort(np.linalg.norm(v, axis=1), kind="stable")
-    n, v = n[order], v[order]
-    best, key = None, None
-    size = np.linalg.norm(v, axis=1)
-    over = lambda total: key is not None and total > key[0] * 1.001
-    for i in range(len(v) - 2):
-        if over(size[i] + size[i + 1] + size[i + 2]):
+    rows = np.arange(len(n))
+    cross = np.cross(n[:, :1], n)
+    second = (cross != 0).any(2).argmax(1)
+    third = ((n @ cross[rows, second][:, :, None])[:, :, 0] != 0).argmax(1)
+    one, two, three = size[:, 0], size[rows, second], size[rows, third]
+    # a little more than ``most``, for the sums are made in another order
+    limit = lambda r: most[r] * (1 + 1e-9)
+    within = lambda others: (size <= (limit(rows) - others)[:, None]).sum(1)
+    last = within(one + three)
+    for row, i in _ranges(np.zeros_like(rows), within(two + three)):
+        for p, j in _ranges(i + 1, last[row]):
+            for lo in range(0, len(p), PAIRS):
+                r, first, then = row[p[lo : lo + PAIRS]], i[p[lo : lo + PAIRS]], j[lo : lo + PAIRS]
+                own = np.flatnonzero(size[r, first] + size[r, then] + np.maximum(size[r, then], three[r]) <= limit(r))
+                r, first, then = r[own], first[own], then[own]
+                cross = np.cross(n[r, first], n[r, then])
+                for q, k in _ranges(np.maximum(then + 1, third[r]), within(one + two)[r]):
+                    total = size[r[q], first[q]] + size[r[q], then[q]] + size[r[q], k]
+                    own = np.flatnonzero((total <= most[r[q]]) & (np.abs((cross[q] * n[r[q], k]).sum(1)) == 1))
+                    yield r[q[own]], first[q[own]], then[q[own]], k[own], total[own]
+
+
+def _first_total(n: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The total length of each row's first triple (i, j, k) of determinant 1 or -1; infinite without one."""
+    total, open_ = np.full(len(n), np.inf), np.arange(len(n))
+    for i, j in combinations(range(n.shape[1] - 1), 2):
+        if not len(open_):
             break
-        for j in range(i + 1, len(v) - 1):
-            if over(size[i] + size[j] + size[j + 1]):
-                break
+        one = np.abs((n[open_, j + 1 :] @ np.cross(n[open_, i], n[open_, j])[:, :, None])[:, :, 0]) == 1
+        met = one.any(1)
+        r = open_[met]
+        total[r] = size[r, i] + size[r, j] + size[r, j + 1 + one[met].argmax(1)]
+        open_ = open_[~met]
+    return total
+
+
+def reduced_axes(axes: np.ndarray, reach: int = 5) -> np.ndarray:
+    """The axes of the cells with the shortest edges that are combinations (up to ``reach``) of the given axes (rows x 3 x 3); of equals those with most angles off 90 degrees. NaN without a cell.
+
+    All combinations count: triples are taken by the lengths of their vectors, from the first that gives the volume on, and none is left out whose total could be as short.
+    """
+    span = np.arange(-reach, reach + 1)
+    n = np.stack(np.meshgrid(span, span, span, indexing="ij"), 3).reshape(-1, 3)[len(span) ** 3 // 2 + 1 :].astype(float)
+    out = np.full(axes.shape, np.nan)
+    v = n @ axes
+    size = np.linalg.norm(v, axis=2)
+    whole = np.flatnonzero(np.isfinite(size).all(1))
+    if len(n) < 3 or not len(whole):
+        return out
+    order = np.argsort(size[whole], axis=1, kind="stable")
+    size, sorted_n = np.take_along_axis(size[whole], order, 1), n[order]
+    # a triple counts only if it is no longer than the best before by more than a thousandth
+    most = _first_total(sorted_n, size) * 1.001
+    key: dict[int, tuple] = {}
+    for r, i, j, k, total in _triples(sorted_n, size, most):
+        ijk = np.stack([i, j, k], 1)
+        m = v[whole[r][:, None], order[r[:, None], ijk]]
+        length = np.linalg.norm(m, axis=2)
+        off = sum((np.abs((m[:, a] * m[:, b]).sum(1)) > 1e-6 * length[:, a] * length[:, b]).astype(int) for a, b in ((0, 1), (0, 2), (1, 2)))
+        for place, (row, now, n_off) in enumerate(zip(r.tolist(), total.tolist(), off.tolist())):
+            best = key.get(row)
             # the volume is that of the given cell where the combinations' determinant is 1
-            for k in (j + 1 + np.flatnonzero(np.abs(n[j + 1 :] @ np.cross(n[i], n[j])) == 1)).tolist():
-                total = size[i] + size[j] + size[k]
-                if over(total):
-                    break
-                m = v[[i, j, k]]
-                off = sum(abs(m[a] @ m[b]) > 1e-6 * np.linalg.norm(m[a]) * np.linalg.norm(m[b]) for a, b in ((0, 1), (0, 2), (1, 2)))
-                if key is None or total < key[0] * 0.999 or (total <= key[0] * 1.001 and off > key[1]):
-                    best, key = m, (total if key is None else min(total, key[0]), off)
-    if best is None:
+            if best is None or now < best[0] * 0.999 or (now <= best[0] * 1.001 and n_off > best[1]):
+                key[row] = (now if best is None else min(now, best[0]), n_off)
+                most[row], out[whole[row]] = key[row][0] * 1.001, m[place]
+    out[whole] *= np.where(np.linalg.det(out[whole]) < 0, -1, 1)[:, None, None]
+    return out
+
+
+def reduced_cell(ub: np.ndarray, reach: int = 5) -> np.ndarray | None:
+    """The UB of ``reduced_axes`` of a UB. None without a cell."""
+    ub = np.asarray(ub, float)
+    if not np.isfinite(ub).all() or np.linalg.cond(ub) > 1e12:
         return None
-    if np.linalg.det(best) < 0:
-        best = -best
-    return np.linalg.inv(best)
+    found = reduced_axes(np.linalg.inv(ub)[None], reach)[0]
+    return None if np.isnan(found).any() else np.linalg.inv(found)
 
 
 def niggli_cells(ubs: DataFrame, reach: int = 5) -> DataFrame:
@@ -463,16 +526,13 @@ def niggli_cells(ubs: DataFrame, reach: int = 5) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for i, ub in zip(pdf["id"], pdf["ub"]):
-                cell = None if ub is None or len(ub) != 9 else reduced_cell(np.asarray(ub, float).reshape(3, 3), reach)
-                if cell is None:
-                    out.append((i, *[None] * 6))
-                    continue
-                m = np.linalg.inv(cell)
-                e = np.linalg.norm(m, axis=1)
-                ang = [math.degrees(math.acos(max(-1, min(1, m[p] @ m[q] / (e[p] * e[q]))))) for p, q in ((1, 2), (0, 2), (0, 1))]
-                out.append((i, *map(float, e), *ang))
-            yield pd.DataFrame(out, columns=["id", "a", "b", "c", "alpha", "beta", "gamma"])
-
-    return ubs.select("id", "ub").mapInPandas(run, "id long, a double, b double, c double, alpha double, beta double, gamma double")
+            cells = np.full((len(pdf), 6), np.nan)
+            places, found = matrices(pdf["ub"], 1e12)
+            for lo in range(0, len(places), LATTICES):
+                m = reduced_axes(np.linalg.inv(found[lo : lo + LATTICES]), reach)
+                e = np.linalg.norm(m, axis=2)
+                ang = [np.degrees(np.arccos(np.clip((m[:, p] * m[:, q]).sum(1) / (e[:, p] * e[:, q]), -1, 1))) for p, q in ((1, 2), (0, 2), (0, 1))]
+                cells[places[lo : lo + LATTICES]] = np.concatenate([e, np.stack(ang, 1)], 1)
+            yield pd.DataFrame({"id": pdf["id"], **dict(zip(("a", "b", "c", "alpha", "beta", "gamma"), cells.T))})
+
+    return dealt(ubs.select("id", "ub")).mapInPandas(run, "id long, a double, b double, c double, alpha double, beta double, gamma double")

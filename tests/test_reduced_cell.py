@@ -1,7 +1,10 @@
 """Reduced cells of lattices with a long axis and of rows without a cell."""
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reciprospark.operators import orient
 
@@ -32,3 +35,30 @@ def test_shortest_of_all_combinations():
         cell = np.linalg.inv(orient.reduced_cell(np.linalg.inv(axes), reach))
         assert np.linalg.det(cell) == pytest.approx(abs(np.linalg.det(axes)))
         assert np.linalg.norm(cell, axis=1).sum() <= 1.001 * (size[i] + size[j] + size[k]).min()
+
+
+def test_a_long_axis_takes_milliseconds():
+    """All pairs of short combinations were tried with every third one before, some 40 ms a lattice."""
+    rng = np.random.default_rng(3)
+    began = time.thread_time()
+    for _ in range(200):
+        cell = np.array([3.0, 3.1, 60.0]) * rng.uniform(0.98, 1.02, 3)
+        found = np.linalg.inv(orient.reduced_cell(np.linalg.inv(SKEW @ np.diag(cell))))
+        assert sorted(np.linalg.norm(found, axis=1)) == pytest.approx(sorted(cell))
+    assert time.thread_time() - began < 2.5
+
+
+def test_a_cell_is_the_same_among_others():
+    rng = np.random.default_rng(4)
+    axes = np.concatenate([rng.standard_normal((30, 3, 3)), SKEW @ np.diag((3.0, 3.1, 60.0))[None], np.full((1, 3, 3), np.nan), np.eye(3)[None]])
+    found = orient.reduced_axes(axes)
+    assert np.isnan(found[-2]).all() and np.isfinite(np.delete(found, -2, 0)).all()
+    for k in range(len(axes)):
+        assert np.array_equal(found[k], orient.reduced_axes(axes[k][None])[0], equal_nan=True)
+
+
+def test_lattices_of_one_file_are_dealt_to_all_cores(spark):
+    rows = spark.range(0, 40, 1, 1).select("id", F.when(F.col("id") != 7, F.array(*[F.lit(0.25 if i % 4 == 0 else 0.0) for i in range(9)])).alias("ub"))
+    found = orient.niggli_cells(rows)
+    assert found.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+    assert {r.id: r.a and round(r.a, 9) for r in found.collect()} == {i: None if i == 7 else 4.0 for i in range(40)}
