@@ -128,3 +128,9 @@ def matrices(ubs: pd.Series, most: float) -> tuple[np.ndarray, np.ndarray]:
     places, found = np.array([k for k, _ in own], int), np.array([u for _, u in own]).reshape(-1, 3, 3)
     good = np.flatnonzero(np.linalg.cond(found) <= most) if len(own) else places
     return places[good], found[good]
+
+
+def scaled(axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices (k x 3 x 3) without a power of two each, so that squares of their lengths neither overflow nor vanish, and the powers."""
+    power = np.frexp(np.abs(axes).max((1, 2)))[1]
+    return np.ldexp(axes, -power[:, None, None]), power

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from reciprospark.functions import geometry as geo
 from reciprospark.functions.geometry import Geometry
 
-from .lattice import dealt, matrices
+from .lattice import dealt, matrices, scaled
 
 STEP, BINS, TOP = 0.03, 512, 500
 #: Triples that one pass over the scattering vectors counts.
@@ -487,6 +487,7 @@ def reduced_axes(axes: np.ndarray, reach: int = 5) -> np.ndarray:
     span = np.arange(-reach, reach + 1)
     n = np.stack(np.meshgrid(span, span, span, indexing="ij"), 3).reshape(-1, 3)[len(span) ** 3 // 2 + 1 :].astype(float)
     out = np.full(axes.shape, np.nan)
+    axes, power = scaled(axes)
     v = n @ axes
     size = np.linalg.norm(v, axis=2)
     whole = np.flatnonzero(np.isfinite(size).all(1))
@@ -509,7 +510,7 @@ def reduced_axes(axes: np.ndarray, reach: int = 5) -> np.ndarray:
                 key[row] = (now if best is None else min(now, best[0]), n_off)
                 most[row], out[whole[row]] = key[row][0] * 1.001, m[place]
     out[whole] *= np.where(np.linalg.det(out[whole]) < 0, -1, 1)[:, None, None]
-    return out
+    return np.ldexp(out, power[:, None, None])
 
 
 def reduced_cell(ub: np.ndarray, reach: int = 5) -> np.ndarray | None:
@@ -529,10 +530,10 @@ def niggli_cells(ubs: DataFrame, reach: int = 5) -> DataFrame:
             cells = np.full((len(pdf), 6), np.nan)
             places, found = matrices(pdf["ub"], 1e12)
             for lo in range(0, len(places), LATTICES):
-                m = reduced_axes(np.linalg.inv(found[lo : lo + LATTICES]), reach)
+                m, power = scaled(reduced_axes(np.linalg.inv(found[lo : lo + LATTICES]), reach))
                 e = np.linalg.norm(m, axis=2)
                 ang = [np.degrees(np.arccos(np.clip((m[:, p] * m[:, q]).sum(1) / (e[:, p] * e[:, q]), -1, 1))) for p, q in ((1, 2), (0, 2), (0, 1))]
-                cells[places[lo : lo + LATTICES]] = np.concatenate([e, np.stack(ang, 1)], 1)
+                cells[places[lo : lo + LATTICES]] = np.concatenate([np.ldexp(e, power[:, None]), np.stack(ang, 1)], 1)
             yield pd.DataFrame({"id": pdf["id"], **dict(zip(("a", "b", "c", "alpha", "beta", "gamma"), cells.T))})
 
     return dealt(ubs.select("id", "ub")).mapInPandas(run, "id long, a double, b double, c double, alpha double, beta double, gamma double")

@@ -108,3 +108,11 @@ def test_lattices_of_one_file_are_dealt_to_all_cores(spark):
     found = bravais.lattice_forms(rows)
     assert found.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
     assert sorted(r.id for r in bravais.best_cells(found).collect()) == list(range(40))
+
+
+@pytest.mark.parametrize("unit", [1e-160, 1e160])
+def test_any_unit_of_length(unit):
+    ub = np.diag([0.25, 0.2, 0.125])
+    found = {f[:2]: f[3] for f in bravais.forms(ub / unit)}
+    assert list(found) == [f[:2] for f in bravais.forms(ub)]
+    assert sorted(found["orthorhombic", "P"][:3] / unit) == pytest.approx([4, 5, 8]) and found["orthorhombic", "P"][3:] == pytest.approx([90] * 3)

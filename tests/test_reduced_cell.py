@@ -62,3 +62,10 @@ def test_lattices_of_one_file_are_dealt_to_all_cores(spark):
     found = orient.niggli_cells(rows)
     assert found.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
     assert {r.id: r.a and round(r.a, 9) for r in found.collect()} == {i: None if i == 7 else 4.0 for i in range(40)}
+
+
+def test_any_unit_of_length(spark):
+    rows = [(i, (np.linalg.inv(SKEW @ np.diag((3.0, 4.0, 5.0))) / unit).ravel().tolist()) for i, unit in enumerate((1e-160, 1.0, 1e160))]
+    for r in orient.niggli_cells(spark.createDataFrame(rows, "id long, ub array<double>")).collect():
+        assert sorted(x / (1e-160, 1.0, 1e160)[r.id] for x in (r.a, r.b, r.c)) == pytest.approx([3, 4, 5])
+        assert (r.alpha, r.beta, r.gamma) == pytest.approx((90, 90, 90))
